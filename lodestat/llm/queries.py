@@ -7,21 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, piece_bpe
-from .common import documents
+from . import langid, linear, mixing, piece_bpe
+from .common import documents, remainder
+
+#: Labelled rows of each class that the classifiers are fitted on.
+QUALITY_ROWS, TOXICITY_ROWS = 1500, 3000
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, remainder("doc_id", 4) != 2)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1, QUALITY_ROWS)
+    return _classified(linear.score(docs, linear.fit_quality(texts, marks)), 3, 1)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.placements(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return placed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_places")).alias("taken"), F.transform("mix_places", lambda x: x["shard"]).alias("shards"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 5) != 0, TOXICITY_ROWS)
+    return _classified(linear.score(docs, linear.fit_toxicity(texts, marks)), 5, 0)
+
+
+def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sentencepiece, op7_mixing)}
+    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op7_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
