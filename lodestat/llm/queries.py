@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linear, mixing, piece_bpe
+from . import fingerprints, langid, linear, mixing, piece_bpe
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(linear.score(docs, linear.fit_quality(texts, marks)), 3, 1)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.placements(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return placed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_places")).alias("taken"), F.transform("mix_places", lambda x: x["shard"]).alias("shards"))
@@ -47,7 +51,7 @@ def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op7_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
