@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, linear, mixing, piece_bpe
+from . import fingerprints, langid, linear, minhash, mixing, piece_bpe
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
@@ -40,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_places")).alias("taken"), F.transform("mix_places", lambda x: x["shard"]).alias("shards"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 5) != 0, TOXICITY_ROWS)
@@ -51,7 +55,7 @@ def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
