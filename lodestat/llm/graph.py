@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,37 +34,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
 
 
-def link_lists(posts: DataFrame, test: Callable[[DataFrame], DataFrame], attributes: DataFrame | None = None, near: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link_lists(posts: DataFrame, test: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None, cheap: Sequence[str] = ()) -> DataFrame:
     """(node, component) such that all members of posting lists that ``test`` links are in one component.
 
-    ``posts`` has (key, id, own): a list joins its ``own`` members with all members.  First every member is
-    tested against one centre of its list, chosen by hash.  What is then in one component needs no
-    further test; of the rest, members outside the centre's component are tested against all others.  So a list
-    of mutually linked members costs as many tests as it has members, and no link between components is missed.
-    ``test`` maps pairs (a, b) to the linked ones; ``near(suffix_a, suffix_b)`` is a cheap necessary condition on columns
-    of ``attributes`` (id, ...), checked inside the join.
+    ``posts`` has (key, id, own): a list joins its ``own`` members with all its members; an own member's rows
+    are members too, and rows may repeat.  First every member is tested against one centre of its list, chosen
+    by hash.  What is then in one component needs no further test; of the rest, members outside the centre's
+    component are tested against all others.  So a list of mutually linked members costs as many tests as it has
+    members, and no link between components is missed.
+
+    ``fetch`` gives (id, ...) rows for the distinct ids of lists with two members or more; ``test`` maps pairs (a, b) and those
+    rows to the linked pairs; ``near(suffix_a, suffix_b)`` is a necessary condition on the ``cheap`` columns,
+    checked inside the join.
     """
-    centres = posts.filter("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), F.count("*").alias("n"))
-    centres = centres.select("key", F.col("c.id").alias("centre"), "n")
-    matched = checkpointed(posts.join(centres, "key").filter("n > 1 OR id <> centre"))
+    centres = posts.filter("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), (F.min("id") < F.max("id")).alias("many"))
+    centres = centres.select("key", F.col("c.id").alias("centre"), "many")
+    matched = checkpointed(posts.join(centres, "key").filter("many OR id <> centre"))
+    known = fetch(matched.select("id").unionAll(matched.select("centre")).distinct())
     star = matched.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = checkpointed(test(star))
+    links = checkpointed(test(star, known))
     first = checkpointed(components(links))
 
-    lists = matched.filter("n > 1").select("key", "id", "own", "centre")
     label = first.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     of_centre = first.select(F.col("node").alias("centre"), F.col("component").alias("centre_comp"))
-    lists = lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lists = lists.join(of_centre, "centre", "left").withColumn("centre_comp", F.coalesce("centre_comp", "centre")).filter("id <> centre")
-    if attributes is not None:
-        lists = lists.join(attributes, "id")
+    lists = matched.filter("many AND id <> centre").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lists = lists.join(of_centre, "centre", "left").withColumn("centre_comp", F.coalesce("centre_comp", "centre"))
+    lists = lists.select("key", "id", "own", "comp", (F.col("comp") != F.col("centre_comp")).alias("outside")).distinct()
+    if cheap:
+        lists = lists.join(known.select("id", *cheap), "id")
     lists = checkpointed(lists)
-    left, right = (lists.select(*[F.col(c).alias(f"{c}_{s}" if c != "key" else c) for c in lists.columns]) for s in "ab")
-    apart = (F.col("comp_a") != F.col("comp_b")) if near is None else (F.col("comp_a") != F.col("comp_b")) & near("_a", "_b")
-    outside, inside = F.col("comp_a") != F.col("centre_comp_a"), F.col("comp_b") != F.col("centre_comp_b")
-    one = left.filter(outside).join(right.filter("own_b").withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart)
-    two = left.filter(~outside).join(right.filter("own_b").filter(inside).withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & apart)
-    rest = one.select("id_a", "id_b").unionAll(two.select("id_a", "id_b"))
-    rest = rest.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    more = test(rest)
-    return components(links.unionAll(more))
+    some = lists.groupBy("key").agg(F.max("outside").alias("any"), F.max("own").alias("some")).filter("any AND some").select("key")
+    lists = lists.join(some, "key", "left_semi")
+    member = lists.select("key", *[F.col(c).alias(f"{c}_a") for c in lists.columns if c != "key"])
+    own = lists.filter("own").select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in lists.columns if c != "key"])
+    apart = (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b"))
+    if near is not None:
+        apart = apart & near("_a", "_b")
+    rest = [member.filter("outside_a").join(own, apart), member.filter("NOT outside_a").join(own.filter("outside_b"), apart)]
+    pairs = rest[0].select("id_a", "id_b").unionAll(rest[1].select("id_a", "id_b"))
+    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return components(links.unionAll(test(pairs, known)))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, linear, minhash, mixing, piece_bpe
+from . import fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, warc
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
 QUALITY_ROWS, TOXICITY_ROWS = 1500, 3000
 
 
+def op1_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.train(docs, remainder("doc_id", 4) != 2)
@@ -21,6 +25,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_decisions(documents(spark, sf_dir))
+    return found.select("doc_id", "line_no", "class_id", "n_copies", "kept")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(documents(spark, sf_dir))
 
@@ -44,6 +53,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=4)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(documents(spark, sf_dir, "pages")))
+    page = F.col("id").cast("bigint").alias("page_id")
+    return made.select(page, "kind", "record_id", "refers_to", "target_uri", "source_block_digest", "source_payload_digest", "block_digest", "content_length", "n_links", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 5) != 0, TOXICITY_ROWS)
@@ -55,7 +70,8 @@ def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op10_toxicity)}
+    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
