@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -47,6 +47,24 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+LOW = tuple(f"low{i}" for i in range(COORDINATES // 16))
+
+
+def low_bits(sig: np.ndarray) -> list[np.ndarray]:
+    """The lowest four bits of sixteen coordinates at a time, packed into one word."""
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    return [((sig[:, i : i + 16].astype(np.uint64) & np.uint64(15)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(0, COORDINATES, 16)]
+
+
+def may_agree(a: str, b: str) -> Column:
+    """Whether the lowest bits of at least MATCHES coordinates agree, as they do where the values themselves do."""
+    terms = []
+    for low in LOW:
+        x = f"({low}{a} ^ {low}{b})"
+        terms.append(f"16 - bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)")
+    return F.expr(f"{' + '.join(terms)} >= {MATCHES}")
+
+
 def digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """One 64-bit hash of each set."""
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(K.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
@@ -59,7 +77,7 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc, n, node, sig): number of shingles, digest of the set, and signature of each text."""
+    """(doc, n, node, sig, low0..low2): number of shingles, digest of the set, signature, and its values' lowest four bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +85,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
             for lo, hi, part, off in K.chunks(data, offsets):
                 hashes, bounds = text_shingles(part, off, size)
                 sig = signatures(hashes, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(digests(hashes, bounds)), _binary(sig.ravel(), np.arange(hi - lo + 1) * COORDINATES)], names=["doc", "n", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(digests(hashes, bounds)), _binary(sig.ravel(), np.arange(hi - lo + 1) * COORDINATES), *[pa.array(x) for x in low_bits(sig)]], names=["doc", "n", "node", "sig", *LOW])
 
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, n bigint, node bigint, sig binary")
+    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, n bigint, node bigint, sig binary, " + ", ".join(f"{x} bigint" for x in LOW))
 
 
 def families(classes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -97,12 +115,11 @@ def families(classes: DataFrame, coordinates: int = COORDINATES, matches: int =
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(n, coordinates) for i in (2, 3))
                 yield batch.filter(pa.array((a == b).sum(axis=1) >= matches)).select([0, 1])
 
-    sig_a, sig_b = (classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-
-    def test(pairs: DataFrame) -> DataFrame:
+    def test(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        sig_a, sig_b = (known.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
         return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a bigint, b bigint")
 
-    return link_lists(chosen, test)
+    return link_lists(chosen, test, lambda ids: classes.withColumnRenamed("node", "id"), may_agree, LOW)
 
 
 def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -163,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = checkpointed(sketches(docs, id_col, text_col, size))
     full = rows.filter("n > 0")
-    classes = checkpointed(full.groupBy("node").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig")))
+    classes = checkpointed(full.groupBy("node").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"), *[F.min(x).alias(x) for x in LOW]))
     family = checkpointed(families(classes))
 
     members = family.withColumnRenamed("component", "fam").join(classes.select("node", "rep", "n"), "node")
