@@ -232,3 +232,15 @@ def score(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", text_col:
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {out} double").withColumnRenamed("id", id_col)
+
+
+def keep_below(docs: DataFrame, model: LinearModel, bound: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text scores below ``bound``, with all their columns; a map without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(*K.text_buffers(batch.column(place))) < bound))
+
+    return docs.mapInArrow(run, docs.schema)

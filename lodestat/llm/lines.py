@@ -245,14 +245,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Other lines stay as they are, blank ones too.  ``chars_col``, where present, is counted anew.
     """
-    gone = line_decisions(docs, id_col, text_col).filter("NOT kept").distinct().groupBy(F.col(id_col).alias("g_id"), F.col("row_hash").alias("g_row")).agg(F.collect_list("line_no").alias("g_lines"))
+    gone = line_decisions(docs, id_col, text_col).filter("NOT kept").distinct().groupBy(F.col(id_col).alias("__g_id"), F.col("row_hash").alias("__g_row")).agg(F.collect_list("line_no").alias("__g_lines"))
     row = F.xxhash64(text_col)
-    kept = docs.withColumn("g_own", row).join(gone, F.col(id_col).eqNullSafe(F.col("g_id")) & (F.col("g_own") == F.col("g_row")), "left")
+    kept = docs.withColumn("__g_own", row).join(gone, F.col(id_col).eqNullSafe(F.col("__g_id")) & (F.col("__g_own") == F.col("__g_row")), "left")
     parts = F.split(F.col(text_col), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "g_lines")
-    text = F.when(F.col("g_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
-    kept = kept.withColumn("g_text", text).filter(F.col("g_lines").isNull() | F.col("g_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("g_text").alias(c) if c == text_col else F.char_length("g_text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
+    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__g_lines")
+    text = F.when(F.col("__g_lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
+    kept = kept.withColumn("__g_text", text).filter(F.col("__g_lines").isNull() | F.col("__g_text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col("__g_text").alias(c) if c == text_col else F.char_length("__g_text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
     return kept.select(*columns)
 
 

@@ -93,7 +93,8 @@ def placements(
     ``mix_places`` has one (epoch, shard, place) for each copy that the mix takes; a document outside the
     mix has none.  ``weights`` repeat over the sources in code-point order, null last.  A null text has no
     words; null ids and sources are ordinary values; rows equal in id, source and size are taken together;
-    an empty table gives an empty one.  Names of other columns are kept.  Reruns agree: every
+    an empty table gives an empty one.  Other
+    columns stay, but ``docs`` may have none with a name given here or beginning with ``p_``; ``mix`` has no such limit.  Reruns agree: every
     choice follows from the seed and the rows, not from partitions.
     """
     spark = docs.sparkSession
@@ -149,15 +150,16 @@ def placements(
     return drawn.withColumn("mix_places", F.expr(place)).drop(*[n for n, _ in names if n.startswith("p_")], "p_hash", "p_block")
 
 
-def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: ``docs`` once for each copy taken, with ``mix_epoch``, ``mix_shard`` and ``mix_place``.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """The mix itself: the rows of ``docs`` once for each copy taken, then ``mix_epoch``, ``mix_shard`` and ``mix_place``.
 
     Rows are dealt to partitions by shard and ordered by place within each shard, which is its local shuffle.
     """
-    placed = placements(docs, **options)  # type: ignore[arg-type]
-    rows = placed.withColumn("mix_at", F.explode("mix_places"))
-    rows = rows.withColumns({"mix_epoch": F.col("mix_at.epoch"), "mix_shard": F.col("mix_at.shard"), "mix_place": F.col("mix_at.place")})
-    return rows.drop("mix_at", "mix_places").repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    whole = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
+    placed = placements(whole, "i", "s", "t", **options)  # type: ignore[arg-type]
+    rows = placed.select("row", F.explode("mix_places").alias("at")).select("row", F.col("at.epoch").alias("epoch"), F.col("at.shard").alias("shard"), F.col("at.place").alias("place"))
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("epoch").alias("mix_epoch"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
 
 
 def _edges(in_block: DataFrame, fan: int) -> DataFrame:
