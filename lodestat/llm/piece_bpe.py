@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Entries that the caches of one Python worker hold at most; they start afresh when full.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 #: Longer parts are not kept in the cache.
 CACHE_PART_CHARS = 48
 
@@ -50,14 +50,16 @@ class PieceCodec:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.pieces = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
-        self.splittable = not any(MARK in p.lstrip(MARK) for p in self.score)
+        self.splittable = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score)
         self.automaton = ahocorasick.Automaton()
         for piece in self.score:
             if self.merged(piece) == [piece]:  # the rules reach it
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.encoded, self.decoded = _Words(self), {}
+        self.encoded, self.odd = _Words(self), {}
+        self.line_feed = f"{self.byte_ids.get(10, self.unknown)},"
+        self.id_text = {p: str(i) for p, i in self.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """The merge rules applied one by one; only for pieces and pairs of pieces."""
@@ -75,7 +77,7 @@ class PieceCodec:
     def compatible(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 4 * CACHE_ENTRIES:
+            if len(self.pairs) >= CACHE_ENTRIES:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -83,17 +85,21 @@ class PieceCodec:
     def part_pieces(self, part: str) -> list[str]:
         """Pieces of one part, through the table of last tokens."""
         last: list[str] = list(part)  # a character that no piece covers stays alone
-        decided = bytearray(len(part))
-        for end, piece in self.automaton.iter(part):
-            if not decided[end]:
-                before = end - len(piece)
-                if before < 0 or self.compatible(last[before], piece):
-                    last[end], decided[end] = piece, 1
+        pairs, done = self.pairs, -1
+        for end, (piece, length) in self.automaton.iter(part):  # by end, longest first
+            if end != done:
+                if length > end:
+                    last[end], done = piece, end
+                    continue
+                fits = pairs.get((before := last[end - length], piece))
+                if fits if fits is not None else self.compatible(before, piece):
+                    last[end], done = piece, end
         out, at = [], len(part) - 1
         while at >= 0:
             out.append(last[at])
             at -= len(last[at])
-        return out[::-1]
+        out.reverse()
+        return out
 
     def part_ids(self, part: str) -> list[int]:
         out: list[int] = []
@@ -140,13 +146,14 @@ class PieceCodec:
         """(number of ids, decimal ids joined by commas, the text that decoding gives); words come from the cache."""
         if not text:
             return 0, "", ""
-        encoded, decoded = self.encoded, self.decoded
         if self.splittable and self.dummy_prefix and MARK not in text:
-            words = text.split(" ")
+            words = text.replace("\n", " \n").split(" ")  # no piece holds a line feed, so parts begin there too
             if "" not in words:
+                encoded = self.encoded
                 ids = ",".join([encoded[w] for w in words])
-                back = "".join([decoded[w] if w in decoded else encoded.text(w) for w in words])
-                return ids.count(",") + 1, ids, back[1:] if back[0] == " " else back
+                # Decoding a word gives the word back, but for those in `odd`: each was decoded when it was first seen.
+                back = text if not self.odd else "".join([self.odd.get(w) or (w if w[0] == "\n" else " " + w) for w in words])[1:]
+                return ids.count(",") + 1, ids, back
         found = [self.part_ids(p) for p in self.parts(text)]
         ids = ",".join([str(i) for part in found for i in part])
         back = "".join([self.join_pieces(part) for part in found])
@@ -154,25 +161,35 @@ class PieceCodec:
 
 
 class _Words(dict):
-    """Ids, joined by commas, of a word with a mark before it; ``codec.decoded`` has the texts."""
+    """Ids, joined by commas, of a word with a mark before it, or of one that begins with a line feed.
+
+    The codec's ``odd`` has texts that decode otherwise.
+    """
 
     def __init__(self, owner: PieceCodec):
         super().__init__()
         self.owner = owner
 
     def __missing__(self, word: str) -> str:
-        ids = self.owner.part_ids(MARK + word)
-        value = ",".join(map(str, ids))
+        c = self.owner
+        line = word[0] == "\n"
+        pieces = c.part_pieces(word[1:] if line else MARK + word)
+        try:
+            value = ",".join([c.id_text[p] for p in pieces])
+            back = "".join(pieces).replace(MARK, " ")
+            if line:
+                value, back = (c.line_feed + value).rstrip(","), "\n" + back
+        except KeyError:
+            ids = c.part_ids(word if line else MARK + word)
+            value, back = ",".join(map(str, ids)), c.join_pieces(ids)
+        if back != (word if line else " " + word):
+            c.odd[word] = back
         if len(word) <= CACHE_PART_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-                self.owner.decoded.clear()
-            self[word], self.owner.decoded[word] = value, self.owner.join_pieces(ids)
+            self[word] = value
         return value
 
-    def text(self, word: str) -> str:
-        return self.owner.join_pieces(self.owner.part_ids(MARK + word))
-
 
 def _utf8(run: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that fits no character."""
