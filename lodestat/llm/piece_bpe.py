@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,16 +221,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encode each whole text and decode it again.
 
     Returns one row per row of ``docs``: the id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by
-    commas) and ``decoded_sha256``; with ``with_ids`` also ``ids`` (array) and ``decoded`` (string).
+    commas) and ``decoded_sha256``; ``with_ids`` adds ``ids`` (array), ``with_text`` adds ``decoded`` (string).
     A null text counts as empty: no ids, decoded to the empty text.  Repeated rows give
     repeated rows, an empty table an empty one, and other columns are not read.
     The work is a map: nothing is shuffled and a lost task is simply run again.
     """
     path = model_path or default_model()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids + ["decoded"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -241,15 +246,28 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in joined.split(",")] if joined else [])
+                    ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, dtype=np.int32))
+                if with_text:
                     texts.append(back)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))))
+            if with_text:
+                columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if with_ids else [])
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def decode_documents(encoded: DataFrame, model_path: str | None = None, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
+    """(id, ``decoded``): the text of each row's ids; a null list gives null, an empty one the empty text."""
+    path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if ids is None else codec(path).decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "decoded"])
+
+    source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
