@@ -136,12 +136,16 @@ class LinearModel:
 
 
 def sparse_rows(features: Features, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct indexes, summed values) of each text."""
+    """(distinct indexes, summed values) of each text; n-grams valued by presence share one value."""
+    once = isinstance(features, CharNgrams)
     out = []
     for text in texts:
         data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        found = [(i, v) for i, _, v in features.features(data, np.array([0, len(data)]))]
-        index = np.concatenate([i for i, _ in found]) if found else np.zeros(0, dtype=np.int64)
+        found = [(np.unique(i).astype(np.int32) if once else i.astype(np.int32), v) for i, _, v in features.features(data, np.array([0, len(data)]))]
+        if once:
+            out.append((np.unique(np.concatenate([i for i, _ in found])) if found else np.zeros(0, dtype=np.int32), np.ones(1)))
+            continue
+        index = np.concatenate([i for i, _ in found]) if found else np.zeros(0, dtype=np.int32)
         kinds, inverse = np.unique(index, return_inverse=True)
         value = np.concatenate([np.full(len(i), v[0]) for i, v in found]) if found else np.zeros(0)
         out.append((kinds, np.bincount(inverse, weights=value, minlength=len(kinds))))

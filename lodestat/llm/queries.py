@@ -11,7 +11,7 @@ from . import fingerprints, flatgraph, langid, linear, lines, minhash, mixing, p
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
-QUALITY_ROWS, TOXICITY_ROWS = 1500, 3000
+QUALITY_ROWS, TOXICITY_ROWS = 1500, 1500
 
 
 def op1_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
