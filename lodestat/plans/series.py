@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import detrended
@@ -17,6 +18,12 @@ def r(df, *names, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def _by_spread(df, column):
+    """(series_id, t, column) in units of the series' standard deviation."""
+    spread = F.stddev_samp("value").over(Window.partitionBy("series_id"))
+    return df.select("series_id", F.col("t").cast("bigint").alias("t"), (F.col(column) / spread).alias(column))
+
+
 def _daily(spark, sf_dir):
     """Daily sums of value of each event type, as short series."""
     e = table(spark, sf_dir, "events").groupBy("event_type", F.dayofmonth("ts").alias("day")).agg(F.sum("value").alias("value"))
@@ -30,8 +37,8 @@ DAILY = "s AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY e
 QUERIES = {
     "dfa_hurst": lambda s, d: r(T.dfa(user_series(s, d), SCALES), "hurst", "r2"),
     "dfa_fluctuation": lambda s, d: r(T.dfa_fluctuation(user_series(s, d), SCALES, both_ways=False), "f"),
-    "detrend_linear": lambda s, d: r(detrended(user_series(s, d), "value", "t", ["series_id"]).select("series_id", F.col("t").cast("bigint").alias("t"), "resid"), "resid", digits=3),
-    "cumulative_profile": lambda s, d: r(T.cumulative_profile(user_series(s, d)).withColumn("t", F.col("t").cast("bigint")), "profile", digits=3),
+    "detrend_linear": lambda s, d: r(_by_spread(detrended(user_series(s, d), "value", "t", ["series_id"]), "resid"), "resid"),
+    "cumulative_profile": lambda s, d: r(_by_spread(T.cumulative_profile(user_series(s, d)).join(user_series(s, d), ["series_id", "t"]), "profile"), "profile"),
     "haar_wavedec3": lambda s, d: r(T.haar(user_series(s, d), 3), "coef"),
     "haar_dwt_l1": lambda s, d: r(T.haar(user_series(s, d), 1), "coef"),
     "wavedec_db2": lambda s, d: r(T.wavedec(user_series(s, d), 2, "db2"), "coef"),
@@ -74,8 +81,8 @@ _POWER = f"WITH {DAILY}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id)
 SQL = {
     "dfa_hurst": f"WITH {SERIES}, {_FLAT}{_F.format(ways=f'{_FRONT} UNION ALL {_BACK}')} SELECT series_id, round(regr_slope(ln(f), ln(scale)), 6) AS hurst, round(regr_r2(ln(f), ln(scale)), 6) AS r2, count(*) AS n_scales FROM f WHERE f > 0 GROUP BY series_id",
     "dfa_fluctuation": f"WITH {SERIES}, {_FLAT}{_F.format(ways=_FRONT)} SELECT series_id, scale, round(f, 6) AS f FROM f",
-    "detrend_linear": f"WITH {SERIES} SELECT series_id, t, round(value - regr_intercept(value, t) OVER w - regr_slope(value, t) OVER w * t, 3) AS resid FROM s WINDOW w AS (PARTITION BY series_id)",
-    "cumulative_profile": f"WITH {SERIES}, x AS (SELECT *, value - avg(value) OVER (PARTITION BY series_id) AS v FROM s) SELECT series_id, t, round(sum(v) OVER (PARTITION BY series_id ORDER BY t), 3) AS profile FROM x",
+    "detrend_linear": f"WITH {SERIES} SELECT series_id, t, round((value - regr_intercept(value, t) OVER w - regr_slope(value, t) OVER w * t) / stddev_samp(value) OVER w, 6) AS resid FROM s WINDOW w AS (PARTITION BY series_id)",
+    "cumulative_profile": f"WITH {SERIES}, x AS (SELECT *, (value - avg(value) OVER (PARTITION BY series_id)) / stddev_samp(value) OVER (PARTITION BY series_id) AS v FROM s) SELECT series_id, t, round(sum(v) OVER (PARTITION BY series_id ORDER BY t), 6) AS profile FROM x",
     "haar_wavedec3": _haar(3),
     "haar_dwt_l1": _haar(1),
     "detcoef_haar": f"SELECT * FROM ({_haar(3)}) WHERE kind = 'd' AND level = 2",
