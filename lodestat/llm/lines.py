@@ -201,7 +201,7 @@ def near_counts(a: str, b: str) -> Column:
     """Whether two byte-class counts may belong to lines within the tolerance: each edit moves two counts by one."""
     terms = []
     for k in range(16):
-        diff = f"((shiftrightunsigned(sk{a}, {4 * k}) - shiftrightunsigned(sk{b}, {4 * k})) & 15)"
+        diff = f"(((shiftrightunsigned(sk{a}, {4 * k}) & 15) - (shiftrightunsigned(sk{b}, {4 * k}) & 15) + 16) & 15)"
         terms.append(f"least({diff}, 16 - {diff})")
     return F.expr(f"({' + '.join(terms)}) <= {2 * TOLERANCE}")
 
