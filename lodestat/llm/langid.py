@@ -103,7 +103,7 @@ class LanguageModel:
             open_ = np.searchsorted(-room, -np.arange(1, WINDOW + 1), side="right")
             for l, table in enumerate(self.tables):
                 state = np.zeros(len(start), dtype=np.int32)
-                total = np.ones(len(start), dtype=np.int32)  # the phrase that a window begins with
+                total = np.zeros(len(start), dtype=np.int32)
                 for j in range(int(room[0])):
                     n = open_[j]
                     found = table[state[:n] + code[start[:n] + j]]
@@ -135,6 +135,7 @@ def build(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> La
         at = np.array([s * width + c for s, step in enumerate(steps) for c in step], dtype=np.int64)
         to = np.array([t for step in steps for t in step.values()], dtype=np.int64)
         table[at] = 2 * to * width
+        table[:width] = restart  # from the start any byte begins a phrase
         tables.append(table.astype(np.int32))
     return LanguageModel(languages, classes, width, np.log2(np.array([len(t) for t in texts]) + 2.0), tables)
 

@@ -48,7 +48,7 @@ def shares(sizes: Sequence[int], weights: Sequence[float], total: float, max_rep
                 targets[i] = left * weights[i] / weight
             break
         for i in full:
-            targets[i] = max_repeat * sizes[i]
+            targets[i] = float(max_repeat * sizes[i])
             open_.discard(i)
         left = float(total) - math.fsum(targets[i] for i in range(len(sizes)) if i not in open_)
     return targets
@@ -180,29 +180,42 @@ def _edges(in_block: DataFrame, fan: int) -> DataFrame:
 
 
 def _picks(in_block: DataFrame, spark, kind, edge: dict, wanted: dict) -> dict:
-    """Documents from each source's edge on, in permuted order, that still fit into the words wanted.
+    """Documents from each source's edge on whose words come nearest to those still wanted.
 
-    A last one may go beyond them if that comes nearer.  The edge blocks hold about EDGE_BLOCKS * BLOCK_DOCS
-    documents a source, for MAX_SOURCES sources at most.
+    The edge blocks hold about EDGE_BLOCKS * BLOCK_DOCS documents a source, for MAX_SOURCES sources at most.
     """
     if not edge:
         return {}
     schema = T.StructType([T.StructField("s2", kind), T.StructField("block2", T.LongType())])
     at = F.broadcast(spark.createDataFrame([(s, b + i) for s, (b, _) in edge.items() for i in range(EDGE_BLOCKS)], schema))
-    rows = in_block.join(at, in_block.s.eqNullSafe(at.s2) & (in_block.block == at.block2)).groupBy("s", "h").agg(F.sum("w").alias("w")).collect()
-    left = {s: wanted[s] - before for s, (_, before) in edge.items()}
-    out: dict = {}
-    spare: dict = {}
+    rows = in_block.join(at, in_block.s.eqNullSafe(at.s2) & (in_block.block == at.block2)).groupBy("s", "h").agg(F.sum("w").alias("w")).filter("w > 0").collect()
+    near: dict = {}
     for r in sorted(rows, key=lambda r: r.h):
-        if 0 < r.w <= left[r.s]:
-            left[r.s] -= r.w
-            out.setdefault(r.s, []).append(r.h)
-        elif r.w:
-            spare[r.s] = min(spare.get(r.s, (r.w, r.h)), (r.w, r.h))
-    for s, (w, h) in spare.items():
-        if w < 2 * left[s]:
-            out.setdefault(s, []).append(h)
-    return out
+        near.setdefault(r.s, []).append((r.h, int(r.w)))
+    return {s: nearest_subset(near.get(s, []), wanted[s] - before) for s, (_, before) in edge.items()}
+
+
+def nearest_subset(items: list[tuple[int, int]], target: int) -> list[int]:
+    """Keys of the items whose sizes sum nearest to ``target``, early items first among equals.
+
+    Sums reached are bits of one integer; targets beyond 2**22 are taken in coarser units.
+    """
+    unit = max(1, target >> 22)
+    goal, reached = target // unit, [1]
+    items = [x for x in items if x[1] <= 2 * target]  # what is beyond twice the target is farther from it than nothing
+    mask = (1 << 2 * goal + 1) - 1
+    for _, w in items:
+        reached.append((reached[-1] | reached[-1] << w // unit) & mask)
+    below = (reached[-1] & ((1 << goal + 1) - 1)).bit_length() - 1
+    above = reached[-1] >> goal + 1
+    over = (above & -above).bit_length() + goal if above else None
+    at = over if over is not None and over - goal < goal - below else below
+    out = []
+    for i in range(len(items), 0, -1):
+        if not reached[i - 1] >> at & 1:
+            out.append(items[i - 1][0])
+            at -= items[i - 1][1] // unit
+    return out[::-1]
 
 
 def _permutation(n: int, rng: np.random.Generator) -> tuple[int, int]:
