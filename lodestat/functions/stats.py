@@ -26,6 +26,14 @@ def over(by: Sequence[str] | str) -> WindowSpec:
     return Window.partitionBy(*([by] if isinstance(by, str) else by))
 
 
+def with_totals(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+    """``df`` with aggregates over all its rows as columns: one row, sent to the others.
+
+    Unlike a window without a partition this does not bring all rows into one task.
+    """
+    return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))
+
+
 def center(x: str, by: Sequence[str]) -> Column:
     return F.col(x) - F.avg(x).over(over(by))
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import finite
+from ..functions.stats import finite, with_totals
 from .resample import hash_int
 
 
@@ -68,9 +68,7 @@ def ecm_start(df: DataFrame, row: str, col: str, value: str, method: str = "twos
 def additive(df: DataFrame, row: str, col: str, value: str, rounds: int = 2, out: str = "filled") -> DataFrame:
     """Bias-only factorisation: grand mean plus row and column effects by alternating means; fills missing cells."""
     v = finite(value)
-    rows = df.withColumn("_v", v)
-    mu = F.avg("_v").over(Window.partitionBy(F.lit(0)))
-    rows = rows.withColumn("_mu", mu).withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
+    rows = with_totals(df.withColumn("_v", v), {"_mu": F.avg("_v")}).withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
     for _ in range(rounds):
         rows = rows.withColumn("_a", F.avg(F.col("_v") - F.col("_mu") - F.col("_b")).over(Window.partitionBy(row)))
         rows = rows.withColumn("_b", F.avg(F.col("_v") - F.col("_mu") - F.col("_a")).over(Window.partitionBy(col)))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ratio
+from ..functions.stats import ratio, with_totals
 
 from .linalg import pca, procrustes_match
 
@@ -44,11 +44,11 @@ def rc_coef(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def rspm(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, z, r): reproducible map of two maps: their mean standard score, over the spread of their difference."""
-    w = Window.partitionBy(F.lit(0))
-    rows = df.select(key, ((F.col(a) - F.avg(a).over(w)) / F.stddev_samp(a).over(w)).alias("za"), ((F.col(b) - F.avg(b).over(w)) / F.stddev_samp(b).over(w)).alias("zb"),
-                     (F.avg(a).over(w) / F.stddev_samp(a).over(w) + F.avg(b).over(w) / F.stddev_samp(b).over(w)).alias("m"), F.corr(a, b).over(w).alias("r"))
-    rows = rows.withColumns({"signal": (F.col("za") + F.col("zb")) / math.sqrt(2), "noise": (F.col("za") - F.col("zb")) / math.sqrt(2)})
-    return rows.select(key, ratio(F.col("signal") + F.col("m") / math.sqrt(2), F.stddev_samp("noise").over(w)).alias("z"), "r")
+    rows = with_totals(df.select(key, F.col(a).alias("a"), F.col(b).alias("b")), {"ma": F.avg("a"), "mb": F.avg("b"), "sa": F.stddev_samp("a"), "sb": F.stddev_samp("b"), "r": F.corr("a", "b")})
+    za, zb = ratio(F.col("a") - F.col("ma"), F.col("sa")), ratio(F.col("b") - F.col("mb"), F.col("sb"))
+    level = (ratio(F.col("ma"), F.col("sa")) + ratio(F.col("mb"), F.col("sb"))) / math.sqrt(2)
+    rows = rows.select(key, ((za + zb) / math.sqrt(2) + level).alias("signal"), ((za - zb) / math.sqrt(2)).alias("noise"), "r")
+    return with_totals(rows, {"spread": F.stddev_samp("noise")}).select(key, ratio(F.col("signal"), F.col("spread")).alias("z"), "r")
 
 
 def rspm_array(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import finite, percentiles, ratio
+from ..functions.stats import finite, percentiles, ratio, with_totals
 from .resample import boot_mean, boot_slope, boot_summary
 from .univariate import friedman, friedman_ranks
 
@@ -77,9 +77,8 @@ def fence_segments(df: DataFrame, sample: str, treatment: str, value: str, toler
 def cd_sets(df: DataFrame, treatment: str, block: str, value: str, alpha: float = 0.05) -> DataFrame:
     """(treatment, mean_rank, top, low): who is within a critical difference of the best and of the worst mean rank."""
     r, cd = friedman_ranks(df, treatment, block, value), friedman(df, treatment, block, value, alpha).select("critical_difference")
-    w = Window.partitionBy(F.lit(0))
-    rows = r.crossJoin(F.broadcast(cd))  # one row
-    top, low = F.col("mean_rank") >= F.max("mean_rank").over(w) - F.col("critical_difference"), F.col("mean_rank") <= F.min("mean_rank").over(w) + F.col("critical_difference")
+    rows = with_totals(r, {"most": F.max("mean_rank"), "least": F.min("mean_rank")}).crossJoin(F.broadcast(cd))  # one row
+    top, low = F.col("mean_rank") >= F.col("most") - F.col("critical_difference"), F.col("mean_rank") <= F.col("least") + F.col("critical_difference")
     return rows.select(treatment, "mean_rank", top.alias("top"), low.alias("low"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.stats import finite, ratio, tied_rank
+from ..functions.stats import finite, ratio, tied_rank, with_totals
 from . import linalg
 
 
@@ -39,6 +39,27 @@ def fdr(df: DataFrame, p: str, by: Sequence[str] = (), q: float = 0.05, dependen
     return rows.withColumn("mask", mask).drop("_p", "_n", "_r", "_pass", "_top")
 
 
+def fdr_one_family(df: DataFrame, p: str, q: float = 0.05, dependent: bool = False) -> DataFrame:
+    """``fdr`` of one family of any size, without sorting it.
+
+    The critical rank is the greatest k with k = #(p <= k * q / (n * c)); from k = n down, counting again gets there in a
+    few passes, each a sum over the cluster.
+    """
+    rows = df.withColumn("_p", finite(p))
+    n = k = rows.filter("_p IS NOT NULL").count()
+    c = math.log(n) + 0.5772156649015329 + 1 / n if dependent and n else 1.0
+    crit = None
+    while k:
+        r = rows.filter(F.col("_p") <= k * q / (n * c)).agg(F.count("*").alias("k"), F.max("_p").alias("top")).first()
+        if r.k == k:
+            crit = r.top
+            break
+        k = r.k
+    limit = F.lit(crit).cast("double")
+    mask = F.when(F.col("_p").isNull(), -1).when(F.col("_p") <= limit, 1).otherwise(0)
+    return rows.withColumns({"crit": limit, "mask": mask}).drop("_p")
+
+
 def fdr_from(df: DataFrame, stat: str, kind: str, dof: str | None = None, tails: int = 2, **options: object) -> DataFrame:
     """``fdr`` of p values, t statistics (with ``dof``) or z statistics."""
     if kind == "p":
@@ -93,9 +114,8 @@ def anova_rm(df: DataFrame, value: str, time: str, subject: str, group: str | No
     Every subject has one value at each time.
     """
     rows = df.select(F.col(subject).alias("s"), F.col(time).alias("t"), (F.col(group) if group else F.lit(0)).alias("g"), finite(value).alias("y"))
-    one = Window.partitionBy(F.lit(0))
-    means = rows.withColumns({
-        "m": F.avg("y").over(one), "mg": F.avg("y").over(Window.partitionBy("g")), "mt": F.avg("y").over(Window.partitionBy("t")),
+    means = with_totals(rows, {"m": F.avg("y")}).withColumns({
+        "mg": F.avg("y").over(Window.partitionBy("g")), "mt": F.avg("y").over(Window.partitionBy("t")),
         "mgt": F.avg("y").over(Window.partitionBy("g", "t")), "ms": F.avg("y").over(Window.partitionBy("s"))})
     sums = means.agg(
         F.sum(F.expr("pow(mg - m, 2)")).alias("G"), F.sum(F.expr("pow(ms - mg, 2)")).alias("S(G)"), F.sum(F.expr("pow(mt - m, 2)")).alias("T"),
@@ -150,8 +170,8 @@ def f_map_many(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> D
 
 def cooks_distance(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``leverage``, ``cook`` and ``flagged`` (cook > 4 / n) for the line of y on x in each group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = df.withColumns({"_n": F.regr_count(y, x).over(w), "_mx": F.avg(x).over(w), "_sxx": F.regr_sxx(y, x).over(w), "_b": F.regr_slope(y, x).over(w), "_a": F.regr_intercept(y, x).over(w), "_syy": F.regr_syy(y, x).over(w), "_sxy": F.regr_sxy(y, x).over(w)})
+    fits = {"_n": F.regr_count(y, x), "_mx": F.avg(x), "_sxx": F.regr_sxx(y, x), "_b": F.regr_slope(y, x), "_a": F.regr_intercept(y, x), "_syy": F.regr_syy(y, x), "_sxy": F.regr_sxy(y, x)}
+    rows = df.withColumns({n: f.over(Window.partitionBy(*by)) for n, f in fits.items()}) if by else with_totals(df, fits)
     h = 1 / F.col("_n") + ratio((F.col(x) - F.col("_mx")) ** 2, F.col("_sxx"))
     mse = ratio(F.col("_syy") - ratio(F.col("_sxy") ** 2, F.col("_sxx")), F.col("_n") - 2)
     e = F.col(y) - F.col("_a") - F.col("_b") * F.col(x)

@@ -84,6 +84,7 @@ QUERIES = {
     "fdr_bh": _fdr_query(),
     "fdr_by": _fdr_query(dependent=True),
     "fdr_count_rule": _fdr_query(compat=True),
+    "fdr_one_family": lambda s, d: r(U.fdr_one_family(_supplier_p(s, d), "p").select("l_returnflag", "l_suppkey", "p", "crit", "mask"), "p", "crit", digits=9),
     "friedman_ranks": lambda s, d: r(U.friedman_ranks(blocks(s, d), "event_type", "user_id", "value"), "mean_rank"),
     "friedman_test": lambda s, d: r(U.friedman(blocks(s, d), "event_type", "user_id", "value"), "q", "p", "critical_difference"),
     "friedman_q": lambda s, d: r(U.friedman(blocks(s, d), "event_type", "user_id", "value").select("n_blocks", "n_treatments", "q"), "q"),
@@ -137,6 +138,7 @@ def _huber(rounds: int = 5, k: float = 1.5) -> str:
 SQL = {
     "fdr_bh": _fdr(False),
     "fdr_by": _fdr(True),
+    "fdr_one_family": _fdr(False).replace("PARTITION BY l_returnflag", ""),
     "fdr_count_rule": _fdr(False, True),
     "friedman_ranks": f"{_RANKS} SELECT event_type, round(avg(rk), 6) AS mean_rank, count(*) AS n_blocks, max(k) AS n_treatments FROM rk GROUP BY event_type",
     "friedman_q": f"{_RANKS}, mr AS (SELECT event_type, avg(rk) AS m, count(*) AS b, max(k) AS s FROM rk GROUP BY 1) SELECT b AS n_blocks, s AS n_treatments, round(12.0 * b / (s * (s + 1)) * sum(power(m - (s + 1) / 2.0, 2)), 6) AS q FROM mr GROUP BY b, s",

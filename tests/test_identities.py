@@ -59,6 +59,7 @@ def test_fdr_rules(spark):
     assert {r.crit for r in univariate.fdr(df, "p").collect()} == {0.04}
     assert {r.crit for r in univariate.fdr(df, "p", compat=True).collect()} == {0.03}
     assert univariate.fdr(df, "p").filter("i = 4").first()["mask"] == -1
+    assert [(r.crit, r["mask"]) for r in univariate.fdr_one_family(df, "p").orderBy("i").collect()] == [(r.crit, r["mask"]) for r in univariate.fdr(df, "p").orderBy("i").collect()]
 
 
 def test_regression_and_mixed_model(spark):
