@@ -194,7 +194,7 @@ SQL = {
     "kernel_smooth_box": _smooth("(CASE WHEN abs(x - x0) < 4 THEN 1.0 ELSE 0.0 END)"),
     "kernel_cv": f"WITH {_POINTS}, id AS (SELECT row_number() OVER () AS i, x, y FROM pt), h AS (SELECT CAST(unnest({WIDTHS}) AS DOUBLE) AS h), f AS (SELECT h, p.i, p.y, sum(q.y * exp(-(p.x - q.x) * (p.x - q.x) / (2 * h * h))) / sum(exp(-(p.x - q.x) * (p.x - q.x) / (2 * h * h))) AS f FROM id p, id q, h WHERE p.i <> q.i GROUP BY ALL) SELECT h, round(sum(power(y - f, 2)), 0) AS sse, count(*) AS n FROM f GROUP BY h",
     "fence_changes": f"WITH {BLOCKS}, x AS (SELECT user_id, event_type, value, lead(value) OVER (PARTITION BY user_id ORDER BY event_type) AS n FROM b) SELECT user_id, event_type, round(value, 3) AS value, round(n, 3) AS next_value, CASE WHEN n - value > 1 THEN 1 WHEN n - value < -1 THEN -1 ELSE 0 END AS direction FROM x WHERE n IS NOT NULL",
-    "ellipse_params": "WITH m AS (SELECT l_returnflag, avg(l_quantity) AS cx, avg(l_tax) AS cy, var_samp(l_quantity) AS a, var_samp(l_tax) AS b, covar_samp(l_quantity, l_tax) AS c FROM lineitem GROUP BY 1) SELECT l_returnflag, round(cx, 5) AS cx, round(cy, 5) AS cy, round(sqrt((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c)), 5) AS major, round(sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0)), 5) AS minor, round(0.5 * atan2(2 * c, a - b), 5) AS angle FROM m",
+    "ellipse_params": "WITH m AS (SELECT l_returnflag, avg(l_quantity) AS cx, avg(l_tax) AS cy, var_samp(l_quantity) AS a, var_samp(l_tax) AS b, covar_samp(l_quantity, l_tax) AS c FROM lineitem GROUP BY 1) SELECT l_returnflag, round(cx, 5) AS cx, round(cy, 5) AS cy, round(sqrt((a + b) / 2 + sqrt(power((a - b) / 2, 2) + c * c)), 5) AS major, round(sqrt(greatest((a + b) / 2 - sqrt(power((a - b) / 2, 2) + c * c), 0)), 5) AS minor, round(0.5 * atan2(2 * c, a - b), 5) + 0.0 AS angle FROM m",
     "ellipse_axis": "SELECT round(avg(l_quantity), 5) AS cx, round(avg(l_tax), 5) AS cy, round(stddev_samp((l_quantity + 2 * l_tax) / sqrt(5.0)), 5) AS along, round(stddev_samp((l_tax - 2 * l_quantity) / sqrt(5.0)), 5) AS across FROM lineitem",
     "mip_projection": "WITH x AS (SELECT l_orderkey % 7 AS x, l_partkey % 5 AS y, CAST(l_linenumber AS BIGINT) AS z, l_extendedprice AS v FROM lineitem) SELECT 'x' AS axis, y AS u, z AS v, round(max(x.v), 2) AS top, round(min(x.v), 2) AS bottom FROM x GROUP BY y, z UNION ALL SELECT 'y', x, z, round(max(x.v), 2), round(min(x.v), 2) FROM x GROUP BY x, z UNION ALL SELECT 'z', x, y, round(max(x.v), 2), round(min(x.v), 2) FROM x GROUP BY x, y",
     "slice_layout": "SELECT p_partkey % 10 AS x, p_partkey % 7 AS y, p_partkey % 12 AS z, p_partkey AS value, (p_partkey % 12) % 4 * 10 + p_partkey % 10 AS px, (p_partkey % 12) // 4 * 7 + p_partkey % 7 AS py FROM part",

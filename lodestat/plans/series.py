@@ -15,7 +15,8 @@ SCALES = [4, 8, 16]
 
 
 def r(df, *names, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    """``df`` with the named columns rounded, and -0 as 0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _by_spread(df, column):
@@ -82,7 +83,7 @@ SQL = {
     "dfa_hurst": f"WITH {SERIES}, {_FLAT}{_F.format(ways=f'{_FRONT} UNION ALL {_BACK}')} SELECT series_id, round(regr_slope(ln(f), ln(scale)), 6) AS hurst, round(regr_r2(ln(f), ln(scale)), 6) AS r2, count(*) AS n_scales FROM f WHERE f > 0 GROUP BY series_id",
     "dfa_fluctuation": f"WITH {SERIES}, {_FLAT}{_F.format(ways=_FRONT)} SELECT series_id, scale, round(f, 6) AS f FROM f",
     "detrend_linear": f"WITH {SERIES} SELECT series_id, t, round((value - regr_intercept(value, t) OVER w - regr_slope(value, t) OVER w * t) / stddev_samp(value) OVER w, 6) AS resid FROM s WINDOW w AS (PARTITION BY series_id)",
-    "cumulative_profile": f"WITH {SERIES}, x AS (SELECT *, (value - avg(value) OVER (PARTITION BY series_id)) / stddev_samp(value) OVER (PARTITION BY series_id) AS v FROM s) SELECT series_id, t, round(sum(v) OVER (PARTITION BY series_id ORDER BY t), 6) AS profile FROM x",
+    "cumulative_profile": f"WITH {SERIES}, x AS (SELECT *, (value - avg(value) OVER (PARTITION BY series_id)) / stddev_samp(value) OVER (PARTITION BY series_id) AS v FROM s) SELECT series_id, t, round(sum(v) OVER (PARTITION BY series_id ORDER BY t), 6) + 0.0 AS profile FROM x",
     "haar_wavedec3": _haar(3),
     "haar_dwt_l1": _haar(1),
     "detcoef_haar": f"SELECT * FROM ({_haar(3)}) WHERE kind = 'd' AND level = 2",

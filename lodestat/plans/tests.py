@@ -144,7 +144,7 @@ SQL = {
     "friedman_q": f"{_RANKS}, mr AS (SELECT event_type, avg(rk) AS m, count(*) AS b, max(k) AS s FROM rk GROUP BY 1) SELECT b AS n_blocks, s AS n_treatments, round(12.0 * b / (s * (s + 1)) * sum(power(m - (s + 1) / 2.0, 2)), 6) AS q FROM mr GROUP BY b, s",
     "quade_w": f"{_RANKS}, bq AS (SELECT user_id, rank() OVER (ORDER BY rg) + (count(*) OVER (PARTITION BY rg) - 1) / 2.0 AS q FROM (SELECT user_id, max(rg) AS rg FROM rk GROUP BY 1)), sx AS (SELECT event_type, q * (rk - (k + 1) / 2.0) AS s, k FROM rk JOIN bq USING (user_id)), aj AS (SELECT event_type, sum(s) AS sj, sum(s * s) AS ss, count(*) AS b, max(k) AS k FROM sx GROUP BY 1), z AS (SELECT sum(ss) AS a, sum(sj * sj) / max(b) AS bb, max(b) AS b, max(k) AS k FROM aj) SELECT b AS n_blocks, k - 1 AS d1, (b - 1) * (k - 1) AS d2, round((b - 1) * bb / (a - bb), 6) AS w FROM z",
     "anova_rm1_f": _ANOVA,
-    "gaussian_info": f"WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ad, corr(l_extendedprice, l_discount) AS bd FROM lineitem) SELECT round(ab, 6) AS ab, round(ad, 6) AS ad, round(bd, 6) AS bd, round(-0.5 * ln(1 - ab * ab), 6) AS mi_ab, round(-0.5 * ln(1 - ad * ad), 6) AS mi_ad, round(-0.5 * ln(1 - bd * bd), 6) AS mi_bd, round(-0.5 * ln({_DET} / ((1 - ad * ad) * (1 - bd * bd))), 6) AS cmi_ab_d, round(-0.5 * ln(1 - ab * ab) + 0.5 * ln({_DET} / ((1 - ad * ad) * (1 - bd * bd))), 6) AS interaction, round(-0.5 * ln({_DET}), 6) AS total_correlation, round(1.5 * ln(2 * pi() * exp(1.0)) + 0.5 * ln({_DET}), 6) AS joint_entropy FROM c",
+    "gaussian_info": f"WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ad, corr(l_extendedprice, l_discount) AS bd FROM lineitem) SELECT round(ab, 6) AS ab, round(ad, 6) AS ad, round(bd, 6) AS bd, round(-0.5 * ln(1 - ab * ab), 6) AS mi_ab, round(-0.5 * ln(1 - ad * ad), 6) AS mi_ad, round(-0.5 * ln(1 - bd * bd), 6) AS mi_bd, round(-0.5 * ln({_DET} / ((1 - ad * ad) * (1 - bd * bd))), 6) AS cmi_ab_d, round(-0.5 * ln(1 - ab * ab) + 0.5 * ln({_DET} / ((1 - ad * ad) * (1 - bd * bd))), 6) + 0.0 AS interaction, round(-0.5 * ln({_DET}), 6) AS total_correlation, round(1.5 * ln(2 * pi() * exp(1.0)) + 0.5 * ln({_DET}), 6) AS joint_entropy FROM c",
     "f_map_r2": "SELECT l_suppkey, count(*) AS n, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2, round(regr_r2(l_extendedprice, l_quantity) * (count(*) - 2) / nullif(1 - regr_r2(l_extendedprice, l_quantity), 0), 4) AS f FROM lineitem GROUP BY 1",
     "cooks_d_linear": "WITH g AS (SELECT count(*) AS n, avg(p_size) AS mx, regr_sxx(p_retailprice, p_size) AS sxx, regr_syy(p_retailprice, p_size) AS syy, regr_sxy(p_retailprice, p_size) AS sxy, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part), x AS (SELECT p_partkey, n, 1.0 / n + power(p_size - mx, 2) / sxx AS h, p_retailprice - a - b * p_size AS e, (syy - sxy * sxy / sxx) / (n - 2) AS mse FROM part, g) SELECT p_partkey, round(h, 8) AS leverage, round(e * e * h / (2 * mse * power(1 - h, 2)), 8) AS cook, e * e * h / (2 * mse * power(1 - h, 2)) > 4.0 / n AS flagged FROM x",
     "partial_corr": "WITH c AS (SELECT corr(l_extendedprice, l_quantity) AS xy, corr(l_extendedprice, l_discount) AS xz, corr(l_quantity, l_discount) AS yz FROM lineitem) SELECT round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS r FROM c",
