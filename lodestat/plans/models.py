@@ -14,8 +14,10 @@ from ..operators import multivariate as M
 from ..operators import outliers as O
 from ..operators import plotdata as P
 from ..operators import resample as B
+from ..operators import resampled as R
+from ..operators import univariate as U
 from .series import r
-from .tables import blocks, days, table, wide_vectors
+from .tables import blocks, days, table, weeks, wide_vectors
 
 DIMS = 8
 
@@ -203,7 +205,58 @@ def _shade(s, d):
     return r(P.shade_fill(x.select("event_type", "x", (F.col("m") - F.col("sd")).alias("low"), (F.col("m") + F.col("sd")).alias("high")), "event_type", "x", "low", "high", 20), "x", "low", "high", digits=4)
 
 
+def _orders(s, d):
+    x = table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").cast("double").alias("n"), F.avg("o_totalprice").alias("y"), F.avg(F.month("o_orderdate")).alias("m"))
+    return x.withColumn("grp", (F.col("id") % 2).cast("int"))
+
+
+def _terms(reps):
+    return r(B.boot_summary(reps, "stat", ["term"]), "av", "se", "bsr", "ci_low", "ci_high", digits=4)
+
+
+def _pls_half(s, d):
+    _, x, y = _sample(s, d, 16)
+    return s.createDataFrame(R.pls_splithalf(x, y.astype(float), [1, 2, 4, 8], 20))
+
+
+def _pls_predict(s, d):
+    _, x, y = _sample(s, d, 16)
+    return s.createDataFrame(R.pls_predict(x, y, 2, 20))
+
+
+def _npls_boot(s, d):
+    ids, x, y = _sample(s, d, 16, 120)
+    rows = [(f, m, i, float(v)) for f, modes in enumerate(R.npls_bootstrap(x.reshape(len(x), 4, 4), y.astype(float), 1, ids, 50)) for m, bsr in enumerate(modes) for i, v in enumerate(bsr)]
+    return _frame(s, rows, "factor int, mode int, i int, bsr double")
+
+
+def _matfac3(s, d):
+    x = np.array(_subjects(s, d))
+    x[np.random.default_rng(1).random(x.shape) < 0.1] = np.nan
+    full, _ = R.matfac3(x, 1, 0.1, tries=1)
+    return _frame(s, [(i, j, k, float(full[i, j, k])) for i, j, k in np.ndindex(full.shape)], "subject int, sample int, var_id int, filled double")
+
+
+def _volume_lda(s, d):
+    e = table(s, d, "events").groupBy((F.col("user_id") % 6).cast("int").alias("subject"), F.dayofmonth("ts").alias("t"), F.hash("event_type").alias("h")).agg(F.avg("value").alias("value"))
+    voxels = e.select("subject", F.pmod("h", F.lit(3)).alias("x"), F.pmod(F.floor(F.col("h") / 3), F.lit(3)).cast("int").alias("y"), F.lit(0).alias("z"), "t", "value").groupBy("subject", "x", "y", "z", "t").agg(F.avg("value").alias("value"))
+    onsets = e.select("subject", "t").distinct().withColumn("label", F.when(F.col("t") % 3 == 0, 0).when(F.col("t") % 3 == 1, 1).otherwise(-1))
+    return r(R.group_lda_map(voxels, voxels.select("x", "y", "z"), onsets, splits=10), "value", digits=4)
+
+
 QUERIES = {
+    "lmm_bootstrap": lambda s, d: _terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)),
+    "lmm_bootstrap_fdr": lambda s, d: U.fdr(_terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)).filter("term <> '(intercept)'"), "p"),
+    "lmm_bootstrap_impute": lambda s, d: r(B.boot_summary(R.mixed_bootstrap_impute(days(s, d).filter("day <= 5"), "value", "day", "user_id", 40), "change", ["time"]).filter("time > 1"), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
+    "reg_boot": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n", "m"], ["id"], reps=50)),
+    "reg_boot_delta": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n"], ["id"], tried="m", reps=50)),
+    "pcorr_boot": lambda s, d: _terms(R.pcorr_boot(_orders(s, d), "y", "n", ["m"], ["id"], reps=50)),
+    "adjusted_diff": lambda s, d: _terms(R.adjusted_diff(_orders(s, d), "y", "grp", ["n"], ["id"], 50)),
+    "pls_splithalf": _pls_half,
+    "pls_predict": _pls_predict,
+    "npls_bootstrap": _npls_boot,
+    "matfac_three_way": _matfac3,
+    "group_lda_map": _volume_lda,
     "lda_splithalf": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 2), "vec_id", "x", "label"), "r", "p", "d", digits=5),
     "lda_group": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 10), "vec_id", "x", "label").groupBy("k").agg(F.median("r").alias("r"), F.median("p").alias("p")), "r", "p", digits=5),
     "lda_optimum": lambda s, d: r(M.rp_optimum(M.split_halves(_two(s, d), _plan(s, d, 6), "vec_id", "x", "label"), ["rep"]), "d", digits=5),
