@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm import linear, lines, minhash, mixing, piece_bpe
-from lodestat.llm.common import checkpoint_folder, documents, remainder
+from lodestat.llm.common import bounded_batches, checkpoint_folder, documents, remainder
 from lodestat.llm.queries import TOXICITY_ROWS
 
 
@@ -25,22 +25,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line of any document has, exactly or nearly."""
+    bounded_batches(spark)
     return lines.dedup_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    bounded_batches(spark)
     gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each time that the mix takes them, shard by shard in shuffled order."""
+    bounded_batches(spark)
     return mixing.mix(docs).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, with digests of the ids and of the text that they decode to."""
+    bounded_batches(spark)
     return piece_bpe.encode_documents(docs, with_ids=True)
 
 

@@ -12,7 +12,17 @@ BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Size of the Arrow batches that Python workers get; long texts then do not add up in a worker.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of ``sf_dir``; from now on the session hands Python workers bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

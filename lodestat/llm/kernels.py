@@ -7,7 +7,7 @@ texts of about ``limit`` bytes; memory is bounded by that or by the longest text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,15 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 _POWERS: dict[int, np.ndarray] = {}
+#: What empties the caches that operators keep in a Python worker beyond a task.
+CACHES: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Empty the caches of other operators, which a reused worker still holds, and give unused memory back."""
+    for empty in CACHES:
+        empty()
+    pa.default_memory_pool().release_unused()
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -264,6 +264,7 @@ def score(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits float32 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         m = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(*K.text_buffers(batch.column(1))))], names=["id", out])
@@ -278,6 +279,7 @@ def keep_below(docs: DataFrame, model: LinearModel, bound: float, text_col: str
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(*K.text_buffers(batch.column(place))) < bound))
 

@@ -89,6 +89,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, row, line, id) of every line that is not blank; ``row`` tells texts of one doc apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(2))
             for lo, hi, part, off in K.chunks(data, offsets):
@@ -104,6 +105,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, id, own) of the distinct lines of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         seen: set[int] = set()
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(2))
@@ -123,6 +125,7 @@ def lines_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     """(id, line, sk) of the lines with the given ids; ``sk`` counts bytes by class, modulo 16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         seen: set[int] = set()
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(2))

@@ -80,6 +80,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     """(doc, n, node, sig, low0..low2): number of shingles, digest of the set, signature, and its values' lowest four bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
             for lo, hi, part, off in K.chunks(data, offsets):
@@ -189,6 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = checkpointed(members.join(sizes, "fam").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(0))
             for _, _, part, off in K.chunks(data, offsets):

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
-#: Entries that the caches of one Python worker hold at most; they start afresh when full.
-CACHE_ENTRIES = 600_000
+#: Entries that the caches of one Python worker, which outlive a task, hold at most; they start afresh when full.
+CACHE_ENTRIES = 200_000
 #: Longer parts are not kept in the cache.
 CACHE_PART_CHARS = 48
 
@@ -212,7 +214,14 @@ def _utf8(run: bytes) -> str:
 @lru_cache(maxsize=2)
 def codec(model_path: str) -> PieceCodec:
     """One codec for each Python worker and model."""
-    return PieceCodec(model_path)
+    made = PieceCodec(model_path)
+
+    def empty() -> None:
+        made.encoded.clear()
+        made.pairs.clear()
+
+    K.CACHES.append(empty)
+    return made
 
 
 def default_model() -> str:
