@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, bounds)), _binary(hashes, bounds)], names=["node", "hashes"])
 
     count = members.count()
-    wanted = small_or_shuffled(members.select(F.col("rep").alias(id_col)), 16, count)
+    wide = 16 if docs.schema[id_col].dataType.typeName() != "struct" else 64
+    wanted = small_or_shuffled(members.select(F.col("rep").alias(id_col)), wide, count)
     texts = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(wanted, id_col, "left_semi").select("t")
     found = texts.mapInArrow(sets, "node bigint, hashes binary")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -233,5 +234,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates, the first by id (null last) and then by row hash.
+
+    Decisions are on rows: each has its id and a 64-bit hash of all its columns, so that null and repeated ids are told apart.
+    Of equal rows one stays.  Texts that are null or without words are linked with nothing, and all stay.
+    """
+    mark = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    rows = docs.withColumn("__g_mark", mark)
+    named = rows.select(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.col("__g_mark").alias("mark")).alias("__g_row"), F.col(text_col).alias("__g_text"))
+    found = near_duplicates(named, "__g_row", "__g_text", size, percent).filter("n_shingles > 0")
+    odd = found.groupBy(F.col("__g_row.mark").alias("__g_mark")).agg((~F.max("kept")).alias("gone"), F.count("*").alias("n")).filter("gone OR n > 1")
+    odd = checkpointed(odd.select("__g_mark", "gone"))
+    again = odd.filter("NOT gone").select("__g_mark")
+    out = rows.join(small_or_shuffled(odd.select("__g_mark"), 16), "__g_mark", "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(small_or_shuffled(again, 16), "__g_mark", "left_semi").dropDuplicates(["__g_mark"]))
+    return out.select(*docs.columns)
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])

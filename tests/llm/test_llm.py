@@ -433,6 +433,31 @@ def test_minhash_edges(edge, empty):
     assert all(by[i].n_shingles == 0 and by[i].component_id == i for i in (1, 2, 3))
 
 
+def test_pipeline_keeps_one_row_a_group_of_near_duplicates(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    a, b, c, d, e, f = (near_copies(rng, 1, 3) for _ in range(6))
+    rows = [(None, a[0]), (3, a[1]), (None, b[0]), (7, c[0]), (7, d[0]), (8, d[1]), (2, d[2]), (None, e[0]), (None, e[1]), (9, f[0]), (9, f[0]), (9, f[0])]
+    rows += [(4, "one and two"), (4, "three and four"), (None, None), (None, None), (5, " "), (5, " ")]
+    rows = [(i, t, s, None) for (i, t), s in zip(rows, "xyxyxyxyxyzzxyxxxx", strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(3)
+    sets = [shingle_set(t, 5) for _, t, _, _ in rows]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    comp = closure(range(len(rows)), links)
+    groups = collections.defaultdict(list)
+    for i, k in comp.items():
+        groups[k].append(rows[i])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    left = collections.Counter(tuple(r) for r in out.collect())
+    assert links and left.total() == len(groups)
+    for members in groups.values():
+        assert sum(left[r] > 0 for r in set(members)) == 1
+        known = [r[0] for r in members if r[0] is not None]
+        assert {r[0] for r in members if left[r]} == {min(known) if known else None}
+
+
 # 9
 
 
