@@ -26,7 +26,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_decisions(documents(spark, sf_dir))
+    found = lines.line_decisions(documents(spark, sf_dir), min_bytes=0)
     return found.select("doc_id", "line_no", "class_id", "n_copies", "kept")
 
 

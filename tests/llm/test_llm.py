@@ -259,6 +259,22 @@ def test_line_dedup_edges(spark, edge, empty):
     assert got == {1: docs.first().text, 2: "short\nnew here, not seen before"}
 
 
+def test_short_lines_are_deduplicated_exactly(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\nAnd ornd.\nLes.\n\nx", 0), (2, "x\nless.\n Les. \n\nLes", 0), (3, "Les.\nx", 0), (4, "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = [(d, n, x.strip(" ")) for d, t, _ in rows for n, x in enumerate(t.split("\n")) if x.strip(" ")]
+    first = {}
+    for d, n, x in at:
+        first.setdefault(x, (d, n))
+    got = {(r.doc_id, r.line_no): (r.kept, r.n_copies) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(d, n): (first[x] == (d, n), sum(y == x for _, _, y in at)) for d, n, x in at}
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: "Les.\nAnd ornd.\n\nx", 2: "less.\n\nLes", 4: "y"}
+
+
 # 4
 
 
