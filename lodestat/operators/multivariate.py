@@ -7,7 +7,7 @@ what is solved densely on the driver is no larger than variables by variables or
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, with_totals
 
-from .linalg import pca, procrustes_match
+from .linalg import array_moments, pca, procrustes_match
 
 
 def rv_coef(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -127,6 +127,42 @@ def svd_nobias(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, proj.var(axis=0, ddof=1), vt.T
 
 
+def _left_out(df: DataFrame, array: str, extra: Sequence[str], run: Callable[..., dict[str, np.ndarray]], names: Sequence[str]) -> list:
+    """Sums of what ``run`` gives for each chunk of rows (arrays, extra columns): (name, k, value) rows, k from 0."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            whole = pdf[[v is not None and bool(np.isfinite(np.asarray(v, dtype=float)).all()) for v in pdf["x"]]].dropna()
+            for lo in range(0, len(whole), 256):
+                part = whole.iloc[lo : lo + 256]
+                x = np.array([np.asarray(v, dtype=float) for v in part["x"]])
+                for name, v in run(x, *(part[c].to_numpy(float) for c in extra)).items():
+                    total[name] = total.get(name, 0.0) + v
+        yield pd.DataFrame([(name, i, float(v)) for name in names for i, v in enumerate(np.atleast_1d(total.get(name, [])))], columns=["name", "k", "v"])
+
+    rows = df.select(F.col(array).alias("x"), *extra).mapInPandas(sums, "name string, k int, v double")
+    return rows.groupBy("name", "k").agg(F.sum("v").alias("v")).orderBy("name", "k").collect()  # a few numbers a variable
+
+
+def svd_nobias_rows(df: DataFrame, array: str) -> np.ndarray:
+    """The spread of ``svd_nobias`` with the rows of ``df`` as its columns: each row is left out of the cross-products once."""
+    n, mean, m = array_moments(df, array)
+    gram = m + n * np.outer(mean, mean)
+    u = np.linalg.eigh(gram)[1][:, ::-1]
+    center = u.T @ mean  # projections are summed about a point near their mean
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        v = np.linalg.eigh(gram - x[:, :, None] * x[:, None, :])[1][:, :, ::-1]
+        flip = np.sign(np.einsum("rij,ij->rj", v, u))
+        p = flip * np.einsum("rij,ri->rj", v, x) - center
+        return {"s": p.sum(axis=0), "q": (p * p).sum(axis=0)}
+
+    found = _left_out(df, array, [], run, ["s", "q"])
+    total, square = (np.array([r.v for r in found if r["name"] == name]) for name in ("s", "q"))
+    return (square - total**2 / n) / (n - 1)
+
+
 def tensor_rank_one(z: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> tuple[float, list[np.ndarray]]:
     """Best rank-one approximation of a tensor by alternating power steps."""
     modes = [np.linalg.svd(np.moveaxis(z, m, 0).reshape(z.shape[m], -1), full_matrices=False)[0][:, 0] for m in range(z.ndim)]
@@ -278,6 +314,27 @@ def pcr_loo(x: np.ndarray, y: np.ndarray, k: int) -> float:
     return press / tss
 
 
+def pcr_loo_rows(df: DataFrame, array: str, y: str, ks: Sequence[int]) -> list[float]:
+    """``pcr_loo`` of all rows for each k: a row is left out by taking it from the cross-products of the whole table."""
+    n, mean, m = array_moments(df.select(F.concat(F.array(F.col(y).cast("double")), array).alias("x")), "x")
+    my, mx, cov, cross = mean[0], mean[1:], m[1:, 1:], m[1:, 0]
+    share = n / (n - 1)
+
+    def run(x: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        x, v = x - mx, v - my
+        val, vec = np.linalg.eigh(cov - share * x[:, :, None] * x[:, None, :])
+        val, vec = val[:, ::-1], vec[:, :, ::-1]
+        slope = np.einsum("rij,ri->rj", vec, cross - share * v[:, None] * x)
+        slope = np.where(val > 1e-14 * val[:, :1], slope / np.where(val > 0, val, 1.0), 0.0)
+        fit = np.cumsum(slope * np.einsum("rij,ri->rj", vec, share * x), axis=1)
+        return {"press": ((share * v[:, None] - fit) ** 2).sum(axis=0), "tss": np.array([((share * v) ** 2).sum()])}
+
+    found = _left_out(df, array, [y], run, ["press", "tss"])
+    press = [r.v for r in found if r["name"] == "press"]
+    tss = next(r.v for r in found if r["name"] == "tss")
+    return [press[min(k, len(press)) - 1] / tss for k in ks]
+
+
 def plsc(x: np.ndarray, y: np.ndarray, condition: np.ndarray, subject: np.ndarray, factors: int = 2, perms: int = 200, boots: int = 200, seed: int = 1) -> dict:
     """Behavioural PLS correlation: salience of X and Y over conditions, with permutation and bootstrap evidence.
 

@@ -125,10 +125,15 @@ def _distatis(s, d):
     return _frame(s, rows, "item int, axis1 double, axis2 double, major double, minor double, share1 double")
 
 
+def _whole_two(s, d):
+    """All dimensions of all vectors of the two classes."""
+    return wide_vectors(s, d).filter(F.col("label").isin(0, 1))
+
+
 def _tensor(s, d):
-    _, x, y = _sample(s, d, 16)
-    z = np.tensordot(y - y.mean(), x.reshape(len(x), 4, 4), axes=(0, 0))
-    size, modes = M.tensor_rank_one(z)
+    """Covariances of the class with the whole embedding, as a table of 8 rows."""
+    _, _, m = L.array_moments(_whole_two(s, d).select(F.concat(F.array(F.col("label").cast("double")), "x").alias("x")), "x")
+    size, modes = M.tensor_rank_one(m[0, 1:].reshape(8, -1))
     return _frame(s, [(m, i, float(v), size) for m, mode in enumerate(modes) for i, v in enumerate(mode)], "mode int, i int, weight double, size double")
 
 
@@ -139,15 +144,18 @@ def _rcaa(s, d):
 
 
 def _svd_nobias(s, d):
-    _, x, _ = _sample(s, d, DIMS, 60)
-    _, var, _ = M.svd_nobias(x.T)
-    return _frame(s, [(i, float(v)) for i, v in enumerate(var)], "component int, variance double")
+    return _frame(s, [(i, float(v)) for i, v in enumerate(M.svd_nobias_rows(_whole_two(s, d), "x"))], "component int, variance double")
+
+
+def _pcr_loo(s, d):
+    ks = (1, 2, 4)
+    return _frame(s, list(zip(ks, M.pcr_loo_rows(_whole_two(s, d), "x", "label", ks), strict=True)), "k int, rss double")
 
 
 def _procrustes(s, d):
-    _, x, _ = _sample(s, d)
-    half = [L.pca(np.cov(x[i::2].T), 3)[1] for i in (0, 1)]
-    index, flip = L.procrustes_match(*half)
+    """Axes of one half of the vectors matched to those of the other; a hash of the id deals the halves."""
+    halves = [_whole_two(s, d).filter(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == h) for h in (0, 1)]
+    index, flip = L.procrustes_match(*[L.pca(L.array_moments(h, "x")[2], 3)[1] for h in halves])
     return _frame(s, [(i, int(index[i]), float(flip[i])) for i in range(3)], "component int, matched int, flip double")
 
 
@@ -261,7 +269,7 @@ QUERIES = {
     "lda_group": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 10), "vec_id", "x", "label").groupBy("k").agg(F.median("r").alias("r"), F.median("p").alias("p")), "r", "p", digits=5),
     "lda_optimum": lambda s, d: r(M.rp_optimum(M.split_halves(_two(s, d), _plan(s, d, 6), "vec_id", "x", "label"), ["rep"]), "d", digits=5),
     "pcr_r2": lambda s, d: r(M.pcr_r2(wide_vectors(s, d, DIMS), B.split_plan(wide_vectors(s, d, DIMS), "vec_id", 5, share=0.9), "vec_id", "x", "label", [1, 2, 4]), "press", "tss", "r2", digits=4),
-    "pcr_loo": lambda s, d: _frame(s, [(k, M.pcr_loo(_sample(s, d, DIMS, 60)[1], _sample(s, d, DIMS, 60)[2].astype(float), k)) for k in (1, 2, 4)], "k int, rss double"),
+    "pcr_loo": _pcr_loo,
     "plsc_behaviour": _plsc(False),
     "plsc_task": _plsc(True),
     "npls": _npls,

@@ -30,9 +30,9 @@ def vectors_sql(dims: int, first: int = 1, name: str = "v") -> str:
     return f"{name} AS (SELECT vec_id AS sample_id, label, j AS var_id, CAST(embedding[j + {first - 1}] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(1, {dims + 1})) AS j))"
 
 
-def wide_vectors(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
-    """(vec_id, label, x) with x the first dimensions as doubles."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("x"))
+def wide_vectors(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+    """(vec_id, label, x) with x the first dimensions, or all of them, as doubles."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding" if dims is None else F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("x"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,3 +237,16 @@ def test_streaming_segments(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {round(r.d, 6) for r in spark.sql("SELECT * FROM disp WHERE t >= 3").collect()} == {4.0}
+
+
+def test_models_of_vectors_use_the_whole_table(spark, sf_dir):
+    from lodestat.plans import models
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("label IN (0, 1)").select("embedding", "label", "vec_id").toPandas()
+    x, y = np.array(rows["embedding"].tolist(), dtype=float), rows["label"].to_numpy(float)
+    got = {name: models.QUERIES[name](spark, sf_dir).collect() for name in ("svd_nobias", "pcr_loo", "tensor_rank_one", "procrustes_match")}
+    assert [r.variance for r in got["svd_nobias"]] == pytest.approx(list(multivariate.svd_nobias(x.T)[1]), rel=1e-6)
+    assert [r.rss for r in got["pcr_loo"]] == pytest.approx([multivariate.pcr_loo(x, y, k) for k in (1, 2, 4)], rel=1e-8)
+    z = ((y - y.mean()) @ x).reshape(8, -1)
+    assert got["tensor_rank_one"][0].size == pytest.approx(np.linalg.svd(z)[1][0])
+    assert len(got["procrustes_match"]) == 3
