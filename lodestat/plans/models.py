@@ -160,7 +160,7 @@ def _procrustes(s, d):
 
 
 def _logdet(s, d):
-    _, _, m = L.array_moments(wide_vectors(s, d, DIMS), "x")
+    _, _, m = L.array_moments(wide_vectors(s, d), "x")
     return _frame(s, [(L.logdet(m),)], "logdet double")
 
 

@@ -250,3 +250,12 @@ def test_models_of_vectors_use_the_whole_table(spark, sf_dir):
     z = ((y - y.mean()) @ x).reshape(8, -1)
     assert got["tensor_rank_one"][0].size == pytest.approx(np.linalg.svd(z)[1][0])
     assert len(got["procrustes_match"]) == 3
+
+
+def test_logdet_of_the_whole_embedding(spark, sf_dir):
+    from lodestat.plans import models
+
+    x = np.array(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").toPandas()["embedding"].tolist(), dtype=float)
+    x = x - x.mean(axis=0)
+    assert x.shape[1] > models.DIMS
+    assert models.QUERIES["logdet"](spark, sf_dir).first().logdet == pytest.approx(np.linalg.slogdet(x.T @ x)[1], rel=1e-8)
