@@ -190,14 +190,14 @@ def _quadratic(kind):
 
 def _holdout(kind):
     def run(s, d):
-        rows = days(s, d).filter("user_id <= 60 AND day <= 10").toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
+        rows = days(s, d).toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
         return _frame(s, I.hold_out_errors(rows, kind, 20, 3), "setting double, error double")
 
     return run
 
 
 def _ecm(s, d):
-    x = days(s, d).filter("day <= 6").toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
+    x = days(s, d).toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
     mean, cov, trace = I.ecm_mle(x)
     return _frame(s, [(i + 1, j + 1, float(mean[i]), float(cov[i, j]), float(trace[-1])) for i in range(len(mean)) for j in range(len(mean))], "i int, j int, mean_i double, cov double, objective double")
 
@@ -255,7 +255,7 @@ def _volume_lda(s, d):
 QUERIES = {
     "lmm_bootstrap": lambda s, d: _terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)),
     "lmm_bootstrap_fdr": lambda s, d: U.fdr(_terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)).filter("term <> '(intercept)'"), "p"),
-    "lmm_bootstrap_impute": lambda s, d: r(B.boot_summary(R.mixed_bootstrap_impute(days(s, d).filter("day <= 5"), "value", "day", "user_id", 40), "change", ["time"]).filter("time > 1"), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
+    "lmm_bootstrap_impute": lambda s, d: r(B.boot_summary(R.mixed_bootstrap_impute(days(s, d), "value", "day", "user_id", 40), "change", ["time"]).filter("time > 1"), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
     "reg_boot": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n", "m"], ["id"], reps=50)),
     "reg_boot_delta": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n"], ["id"], tried="m", reps=50)),
     "pcorr_boot": lambda s, d: _terms(R.pcorr_boot(_orders(s, d), "y", "n", ["m"], ["id"], reps=50)),

@@ -259,3 +259,13 @@ def test_logdet_of_the_whole_embedding(spark, sf_dir):
     x = x - x.mean(axis=0)
     assert x.shape[1] > models.DIMS
     assert models.QUERIES["logdet"](spark, sf_dir).first().logdet == pytest.approx(np.linalg.slogdet(x.T @ x)[1], rel=1e-8)
+
+
+def test_imputation_models_use_all_users_and_days(spark, sf_dir):
+    from lodestat.plans import models, tables
+
+    x = tables.days(spark, sf_dir).toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
+    mean = imputation.ecm_mle(x)[0]
+    assert {r.i: r.mean_i for r in models.QUERIES["ecm_mle"](spark, sf_dir).collect()} == pytest.approx(dict(enumerate(mean, 1)))
+    assert [r.error for r in models.QUERIES["impute_svd_modeltest"](spark, sf_dir).collect()] == pytest.approx([e for _, e in imputation.hold_out_errors(x, "soft", 20, 3)])
+    assert sorted(r.time for r in models.QUERIES["lmm_bootstrap_impute"](spark, sf_dir).collect()) == list(range(2, 31))
