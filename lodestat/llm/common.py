@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,25 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where that is unset, as in tests, is one made."""
+    """The shared folder named in ``spark.checkpoint.dir``; only a local session without one, as in tests, has its own made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestat-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestat-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, which cuts its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared checkpoint folder and read from there.
+
+    That cuts its lineage, and the estimates of size that joins multiply: the plans of iterative operators start
+    from the size of the files.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_or_shuffled
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -34,43 +34,121 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
 
 
-def link_lists(posts: DataFrame, test: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None, cheap: Sequence[str] = ()) -> DataFrame:
+#: Members that a list may have left outside its first centre's component before they are all tested against the list.
+LEFT = 32
+#: Fresh centres of a crowded list in one turn, and turns at most; a list goes on only while a turn halves what is left.
+CENTRES, TURNS = 16, 3
+#: Rows of a list in one task of the last join; longer lists are dealt over several by salt.
+LIST_ROWS = 4096
+
+
+def link_lists(
+    posts: DataFrame,
+    test: Callable[[DataFrame, DataFrame], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None = None,
+    cheap: Sequence[str] = (),
+    comps: DataFrame | None = None,
+) -> DataFrame:
     """(node, component) such that all members of posting lists that ``test`` links are in one component.
 
     ``posts`` has (key, id, own): a list joins its ``own`` members with all its members; an own member's rows
     are members too, and rows may repeat.  First every member is tested against one centre of its list, chosen
-    by hash.  What is then in one component needs no further test; of the rest, members outside the centre's
-    component are tested against all others.  So a list of mutually linked members costs as many tests as it has
-    members, and no link between components is missed.
+    by hash.  What is then in one component needs no further test.  A list with more than LEFT members outside
+    the centre's component takes CENTRES of them as fresh centres, for TURNS turns at most; then the members still outside, but
+    for those that were centres, are tested against all others of their list.  Each step tests a fixed multiple of the rows
+    of a list at most, but for the last one in lists whose members are linked with scarcely any others; that one
+    is dealt over as many tasks as the list is long.  No link between components is missed.
 
     ``fetch`` gives (id, ...) rows for the distinct ids of lists with two members or more; ``test`` maps pairs (a, b) and those
     rows to the linked pairs; ``near(suffix_a, suffix_b)`` is a necessary condition on the ``cheap`` columns,
-    checked inside the join.
+    checked inside the join.  ``comps`` (node, component) are components known before, which need no test within.
     """
     centres = posts.filter("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), (F.min("id") < F.max("id")).alias("many"))
     centres = centres.select("key", F.col("c.id").alias("centre"), "many")
     matched = checkpointed(posts.join(centres, "key").filter("many OR id <> centre"))
     known = fetch(matched.select("id").unionAll(matched.select("centre")).distinct())
     star = matched.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    links = checkpointed(test(star, known))
-    first = checkpointed(components(links))
+    if comps is not None:
+        star = _ends(star, comps).filter("comp_a <> comp_b").select("a", "b")
+    comps = _joined(comps, test(star, known))
 
-    label = first.select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    of_centre = first.select(F.col("node").alias("centre"), F.col("component").alias("centre_comp"))
-    lists = matched.filter("many AND id <> centre").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    lists = lists.join(of_centre, "centre", "left").withColumn("centre_comp", F.coalesce("centre_comp", "centre"))
-    lists = lists.select("key", "id", "own", "comp", (F.col("comp") != F.col("centre_comp")).alias("outside")).distinct()
+    lists = matched.filter("many AND id <> centre").groupBy("key", "id").agg(F.max("own").alias("own"), F.first("centre").alias("centre"))
+    lists = lists.withColumns({"settled": F.lit(False), "before": F.lit(2**31 - 1)})
     if cheap:
         lists = lists.join(known.select("id", *cheap), "id")
-    lists = checkpointed(lists)
-    some = lists.groupBy("key").agg(F.max("outside").alias("any"), F.max("own").alias("some")).filter("any AND some").select("key")
-    lists = lists.join(some, "key", "left_semi")
-    member = lists.select("key", *[F.col(c).alias(f"{c}_a") for c in lists.columns if c != "key"])
-    own = lists.filter("own").select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in lists.columns if c != "key"])
-    apart = (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b"))
+    lists = checkpointed(_unfinished(_labelled(lists, comps)))
+    for turn in range(TURNS):
+        crowded = lists.groupBy("key").agg(F.sum(F.col("todo").cast("int")).cast("int").alias("left"), F.first("before").alias("was"))
+        crowded = checkpointed(crowded.filter((F.col("left") > LEFT) & (2 * F.col("left").cast("bigint") <= F.col("was"))).select("key", "left"))
+        if crowded.isEmpty():
+            break
+        here = lists.join(crowded, "key").drop("before").withColumnRenamed("left", "before")
+        seat = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(CENTRES)).alias("seat")
+        fresh = here.filter("todo").groupBy("key", seat).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp", *cheap)).alias("c"))
+        fresh = checkpointed(fresh.select(F.col("key").alias("key_b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("id", "comp", *cheap)]))
+        comps = _joined(comps, test(_meet(here.filter("NOT settled"), fresh, near, ()), known))
+        done = fresh.select(F.col("key_b").alias("key"), F.col("id_b").alias("id"), F.lit(True).alias("was"))
+        here = here.join(done, ["key", "id"], "left").withColumn("settled", F.col("settled") | F.col("was").isNotNull()).drop("was")
+        lists = lists.join(crowded, "key", "left_anti").unionByName(here)
+        lists = checkpointed(_unfinished(_labelled(lists.drop("comp", "todo"), comps)))
+    if lists.isEmpty():
+        return comps
+
+    hot = lists.groupBy("key").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("salts")).filter("salts > 1")
+    lists = lists.filter("NOT settled").join(small_or_shuffled(checkpointed(hot), 12), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    dealt = lists.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    copied = lists.filter("todo").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    copied = copied.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "salt", "id", "own", "comp", *cheap)])
+    last = _meet(dealt, copied, near, ("salt",), (F.col("own") | F.col("own_b")) & (~F.col("todo") | (F.col("id") < F.col("id_b"))))
+    return _joined(comps, test(last, known))
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of those known and of new links (a, b) between their nodes or others.
+
+    Links are first drawn between components, so that what is to be done follows the new links alone.
+    """
+    if comps is None:
+        return checkpointed(components(links))
+    drawn = checkpointed(_ends(links, comps).filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+    if drawn.isEmpty():
+        return comps
+    moved = checkpointed(components(drawn))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = comps.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return checkpointed(known.unionAll(moved.join(comps, "node", "left_anti").select("node", "component")))
+
+
+def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """``lists`` with the component of each member, and whether it is ``todo``: not the first centre's, and no centre itself so far."""
+    label = comps.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    of_centre = comps.select(F.col("node").alias("centre"), F.col("component").alias("centre_comp"))
+    lists = lists.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    lists = lists.join(of_centre, "centre", "left").withColumn("centre_comp", F.coalesce("centre_comp", "centre"))
+    return lists.withColumn("todo", (F.col("comp") != F.col("centre_comp")) & ~F.col("settled")).drop("centre_comp")
+
+
+def _unfinished(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that have an own member and one still to be tested."""
+    some = lists.groupBy("key").agg(F.max("todo").alias("any"), F.max("own").alias("some")).filter("any AND some").select("key")
+    return lists.join(some, "key", "left_semi")
+
+
+def _meet(members: DataFrame, others: DataFrame, near: Callable[[str, str], Column] | None, by: Sequence[str], also: Column | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of members and others of one list that are in different components."""
+    on = F.col("comp") != F.col("comp_b")
+    for k in ("key", *by):
+        on = on & (F.col(k) == F.col(f"{k}_b"))
     if near is not None:
-        apart = apart & near("_a", "_b")
-    rest = [member.filter("outside_a").join(own, apart), member.filter("NOT outside_a").join(own.filter("outside_b"), apart)]
-    pairs = rest[0].select("id_a", "id_b").unionAll(rest[1].select("id_a", "id_b"))
-    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return components(links.unionAll(test(pairs, known)))
+        on = on & near("", "_b")
+    pairs = members.join(others, on if also is None else on & also)
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the components of both ends; a node outside ``comps`` is its own."""
+    for x in "ab":
+        named = comps.select(F.col("node").alias(x), F.col("component").alias(f"comp_{x}"))
+        pairs = pairs.join(named, x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
+    return pairs

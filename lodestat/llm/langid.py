@@ -5,27 +5,30 @@ phrases that occur in that labelled text; the fewer phrases a byte of text needs
 language (Ziv and Merhav, 1993).  The language with the fewest phrases, normalised by length, wins.
 
 Automata become flat tables whose missing transitions already lead to the start of the next phrase,
-so that many windows of text are parsed in step by array lookups.  A phrase does not run from one
-window into the next; every byte of every text is parsed.
+so that many windows of text are parsed in step by array lookups, each as if a phrase began with it.  Phrases that run
+on from the window before are then followed until both parses begin a phrase at the same byte, from
+where they are one.  So the count is that of one parse from end to end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import checkpointed
 
-#: Bytes of labelled text that an automaton is built from at most, and labelled rows sampled for it.
-TRAIN_BYTES = 40_000
-TRAIN_ROWS = 60
-#: More languages than this are refused.
-MAX_LANGUAGES = 64
+#: Labelled texts that an automaton is built from, whole, and the bytes over which a text is only taken where its language has no shorter one.
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 24, 4096
+#: Languages whose automata a Python worker holds at once; with more, the texts go round again for each group.
+LANGUAGES_AT_ONCE = 16
 WINDOW = 256
 UNDETERMINED = "und"
 
@@ -99,28 +102,65 @@ class LanguageModel:
             start = bounds[:-1][text] + WINDOW * (np.arange(len(text)) - first[text])
             room = np.minimum(bounds[1:][text] - start, WINDOW)
             order = np.argsort(-room, kind="stable")  # full windows first: those still open are a prefix
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            after = np.full(len(order), -1)  # the window that goes on from this one
+            follows = np.flatnonzero(text[1:] == text[:-1])
+            after[rank[follows]] = rank[follows + 1]
             start, room, text = start[order], room[order], text[order]
-            open_ = np.searchsorted(-room, -np.arange(1, WINDOW + 1), side="right")
             for l, table in enumerate(self.tables):
-                state = np.zeros(len(start), dtype=np.int32)
-                total = np.zeros(len(start), dtype=np.int32)
-                for j in range(int(room[0])):
-                    n = open_[j]
-                    found = table[state[:n] + code[start[:n] + j]]
-                    total[:n] += found & 1
-                    state[:n] = found >> 1
+                total = parse(table, code, start, room, after)
                 counts[lo:hi, l] = np.bincount(text, weights=total, minlength=len(length))
         return counts * self.bits, sizes
 
 
-def build(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> LanguageModel:
-    """Automata of at most ``train_bytes`` normalised bytes of each language's texts, in the order given."""
+def parse(table: np.ndarray, code: np.ndarray, start: np.ndarray, room: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each window (longest windows first); ``after`` has the window that goes on from each, or -1."""
+    n, longest = len(start), int(room[0])
+    begins = np.zeros((longest, n), dtype=bool)
+    state = np.zeros(n, dtype=table.dtype)
+    open_ = np.searchsorted(-room, -np.arange(1, longest + 1), side="right")
+    for j in range(longest):
+        k = open_[j]
+        found = table[state[:k] + code[start[:k] + j]]
+        begins[j, :k] = found & 1
+        state[:k] = found >> 1
+    upto = np.cumsum(begins, axis=0, dtype=np.int16)
+    alone, ends = upto[-1].astype(np.int64), state.copy()
+    total = alone.copy()
+    before = np.flatnonzero(after >= 0)
+    while len(before):  # windows whose predecessor ends in another state than was last assumed
+        here = after[before]
+        now, count, live = ends[before], np.zeros(len(here), dtype=np.int64), np.arange(len(here))
+        kept = ends[here].copy()
+        for j in range(int(room[here].max())):
+            live = live[room[here[live]] > j]
+            at = here[live]
+            found = table[now[live] + code[start[at] + j]]
+            new = (found & 1).astype(bool)
+            now[live] = found >> 1
+            count[live] += new
+            met = new & begins[j, at]
+            if met.any():
+                done = live[met]
+                count[done] += alone[here[done]] - upto[j, here[done]]
+                now[done] = state[here[done]]
+                live = live[~met]
+            if not len(live):
+                break
+        total[here], ends[here] = count, now
+        before = here[(ends[here] != kept) & (after[here] >= 0)]
+    return total
+
+
+def build(samples: dict[str, list[bytes]]) -> LanguageModel:
+    """Automata of the normalised bytes of each language's texts, in the order given."""
     languages = sorted(samples)
     texts = []
     for language in languages:
         joined = b"\n".join(samples[language])
         data, _ = normalised(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]))
-        texts.append(data[:train_bytes])
+        texts.append(data)
     seen = np.unique(np.concatenate(texts)) if texts else np.zeros(0, dtype=np.uint8)
     classes = np.ones(256, dtype=np.int32)
     classes[seen] = np.arange(2, len(seen) + 2)
@@ -136,50 +176,70 @@ def build(samples: dict[str, list[bytes]], train_bytes: int = TRAIN_BYTES) -> La
         to = np.array([t for step in steps for t in step.values()], dtype=np.int64)
         table[at] = 2 * to * width
         table[:width] = restart  # from the start any byte begins a phrase
-        tables.append(table.astype(np.int32))
+        tables.append(table.astype(np.int32) if len(table) < 2**30 else table)
     return LanguageModel(languages, classes, width, np.log2(np.array([len(t) for t in texts]) + 2.0), tables)
 
 
-def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS, seed: int = 3) -> LanguageModel:
-    """Model from about ``rows`` labelled rows a language, chosen by a hash of their id and taken in its order."""
+@lru_cache(maxsize=1)
+def _built(samples: tuple[tuple[str, tuple[bytes, ...]], ...]) -> LanguageModel:
+    """The model of one group of languages, once for each Python worker."""
+    return build({l: list(t) for l, t in samples})
+
+
+K.CACHES.append(_built.cache_clear)
+
+
+def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT_BYTES, seed: int = 3) -> dict[str, list[bytes]]:
+    """What is learnt: ``rows`` labelled texts a language at most, whole, in the order of a hash of the text.
+
+    Texts of up to ``text_bytes`` bytes are taken; a language without any has its shortest text.  Null languages
+    and texts, and texts without a letter, are left out; equal texts count once; the choice does not depend on partitions.
+    """
     known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r.l: r.n for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return build({})
-    rate = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, rows / n))])
-    h = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30))
-    chosen = known.filter(h < rate[F.col(lang_col)] * (1 << 30)).select(F.col(lang_col).alias("l"), h.alias("h"), F.col(text_col).alias("t")).limit(2 * rows * len(counts))
-    samples: dict[str, list[bytes]] = {l: [] for l in counts}
-    for r in sorted(chosen.collect(), key=lambda r: (r.h, r.t)):  # 2 * rows of a language at most
-        samples[r.l].append(r.t.encode())
-    return build({l: t for l, t in samples.items() if t})
-
-
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``lang_pred``, ``score``) of every row, from its whole text.
+    known = known.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("size"), F.xxhash64(F.lit(seed), text_col).alias("h"))
+    short = F.col("size") <= text_bytes
+    found = known.groupBy("l").agg(F.approx_count_distinct(F.when(short, F.col("h"))).alias("n"), F.min(F.struct("size", "h")).alias("least")).collect()  # one row a language
+    if not found:
+        return {}
+    plan = [(r.l, min(1.0, 2 * rows / r.n) if r.n else 0.0, r.least.h if not r.n else None) for r in found]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(plan, f"l {known.schema['l'].dataType.simpleString()}, rate double, only bigint"))
+    near = F.pmod("h", F.lit(1 << 30))
+    chosen = known.join(rates, "l").filter((short & (near < F.col("rate") * (1 << 30))) | (F.col("h") == F.col("only")))
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(chosen.groupBy("l", near.alias("near")).agg(F.min("t").alias("t")).collect(), key=lambda r: (r.near, r.t)):  # about 2 * rows texts a language
+        texts.setdefault(r.l, []).append(r.t.encode())
+    return {l: t[:rows] for l, t in texts.items()}
+
+
+def identify(docs: DataFrame, samples: dict[str, list[bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``lang_pred``, ``score``) of every row, from its whole text, by the labelled texts of each language.
 
     A text that is null or has no letter is ``und`` with score 0, and so is any text where there is nothing to learn
-    from.  The score is the winner's share of the inverse phrase rates.  Ties go to the first language by name.
+    from.  The score is the winner's share of the inverse phrase rates.  Ties go to the first language by name.  Repeated rows and
+    null ids are treated like any other, and an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TRAIN_BYTES * 2 * byte classes * 4 bytes a language at most
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    state = source.withColumns({"best": F.lit(float("inf")), "lang_pred": F.lit(UNDETERMINED), "total": F.lit(0.0)})
+    names = sorted(samples)
+    for lo in range(0, len(names), LANGUAGES_AT_ONCE):
+        group = tuple((l, tuple(samples[l])) for l in names[lo : lo + LANGUAGES_AT_ONCE])
+        state = (state if lo == 0 else checkpointed(state)).mapInArrow(_compared(docs.sparkSession.sparkContext.broadcast(group)), state.schema)  # TRAIN_ROWS texts of each language
+    known = F.coalesce("letters", F.lit(False)) & (F.col("total") > 0)
+    score = F.when(known, 1.0 / (F.greatest("best", F.lit(1.0)) * F.col("total"))).otherwise(0.0)
+    return state.select(F.col("id").alias(id_col), F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"), score.alias("score"))
+
 
+def _compared(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        model = _built(shared.value)
         for batch in batches:
-            letters = np.asarray(batch.column(2).fill_null(False))
-            n = len(letters)
-            if m.languages and n:
-                counts, _ = m.phrases(*K.text_buffers(batch.column(1)))
-                best = counts.argmin(axis=1)
-                inverse = 1.0 / np.maximum(counts, 1.0)
-                share = inverse[np.arange(n), best] / inverse.sum(axis=1)
-                name = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-                share = np.where(letters, share, 0.0)
-            else:
-                name, share = [UNDETERMINED] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(share)], names=["id", "lang_pred", "score"])
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+            if not batch.num_rows:
+                continue
+            counts, _ = model.phrases(*K.text_buffers(batch.column(1)))
+            at = counts.argmin(axis=1)
+            least, before = counts[np.arange(len(at)), at], np.asarray(batch.column(3))
+            name = [model.languages[i] if x < y else z for i, x, y, z in zip(at, least, before, batch.column(4).to_pylist(), strict=True)]
+            total = np.asarray(batch.column(5)) + (1.0 / np.maximum(counts, 1.0)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.minimum(least, before)), pa.array(name, pa.string()), pa.array(total)], names=batch.schema.names)
+
+    return run

@@ -7,7 +7,8 @@ follow-the-regularised-leader (FTRL-proximal) updates; a score is the logistic o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,19 +24,23 @@ U64 = np.uint64
 TOKEN_CLASS = np.full(256, 2, dtype=np.uint8)
 TOKEN_CLASS[K.IS_SPACE] = 0
 TOKEN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-UPPER = np.zeros(256, dtype=bool)
-UPPER[65:91] = True
+#: Bytes of word shapes: a space, or the mark of a capital, another letter, a digit, or anything else.
+SHAPE = np.full(256, ord("."), dtype=np.uint8)
+SHAPE[K.IS_SPACE] = 32
+SHAPE[48:58], SHAPE[65:91], SHAPE[97:123], SHAPE[128:] = ord("9"), ord("A"), ord("a"), ord("a")
 
 
 @dataclass(frozen=True)
 class WordNgrams:
     """Hashed unigrams and bigrams of word tokens, valued count / number of tokens.
 
-    Tokens are maximal runs of letters and digits, or of other printing characters.  A bigram of one word
-    with itself and a word in capitals each also hash to one shared feature.
+    Tokens are maximal runs of letters and digits, or of other printing characters; unigrams are hashed as
+    they are written and in lower case, bigrams as they are written.  N-grams of the shapes of whole words
+    stand beside them: bytes by class (capital, other letter, digit, rest), runs of one class cut to two.
     """
 
     bits: int = 18
+    shape_sizes: tuple[int, ...] = (2, 3)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(indexes, n+1 bounds, value of each occurrence by text); one triple for each family of n-grams."""
@@ -53,22 +58,28 @@ class WordNgrams:
         real = kind[starts] > 0
         starts, ends = starts[real], ends[real]
         bounds = np.searchsorted(starts, offsets)
-        h = K.span_hash(K.prefix_hash(K.ASCII_LOWER[data]), starts, ends)
-        capitals = np.cumsum(np.concatenate([[0], UPPER[data]]))
-        loud = (capitals[ends] - capitals[starts] == ends - starts) & (ends - starts > 1)
-        h1 = np.where(loud, U64(0x1234567), h)
+        low, own = (K.span_hash(K.prefix_hash(x), starts, ends) for x in (K.ASCII_LOWER[data], data))
         shift = U64(64 - self.bits)
         value = 1.0 / np.maximum(np.diff(bounds), 1)
-        yield (K.mix(h) >> shift).astype(np.int64), bounds, value
-        yield (K.mix(h1 + U64(1)) >> shift).astype(np.int64), bounds, value
-        pair = np.zeros(len(h), dtype=U64)
-        same = np.zeros(len(h), dtype=bool)
-        if len(h) > 1:
-            pair[1:] = K.mix(h1[:-1] * U64(K.BASE) + h1[1:])
-            same[1:] = h[:-1] == h[1:]
-        pair[np.minimum(bounds[:-1], max(len(h) - 1, 0))] = 0  # the first word of a text has none before it
-        same[np.minimum(bounds[:-1], max(len(h) - 1, 0))] = False
-        yield (np.where(same, U64(0xABCDEF), pair) >> shift).astype(np.int64), bounds, value
+        yield (K.mix(low) >> shift).astype(np.int64), bounds, value
+        yield (K.mix(own + U64(1)) >> shift).astype(np.int64), bounds, value
+        pair = np.zeros(len(own), dtype=U64)
+        if len(own) > 1:
+            pair[1:] = K.mix(own[:-1] * U64(K.BASE) + own[1:])
+        pair[np.minimum(bounds[:-1], max(len(own) - 1, 0))] = 0  # the first word of a text has none before it
+        yield (pair >> shift).astype(np.int64), bounds, value
+        kind = SHAPE[data]
+        keep = np.ones(len(kind), dtype=bool)
+        keep[2:] = (kind[2:] != kind[1:-1]) | (kind[2:] != kind[:-2])
+        keep |= cut[:-1]
+        keep[1:] |= cut[:-2]
+        shape, offsets = kind[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+        starts, ends, bounds = K.words(shape, offsets)
+        word = K.span_hash(K.prefix_hash(shape), starts, ends)
+        value = 1.0 / np.maximum(np.diff(bounds), 1)
+        for size in self.shape_sizes:
+            index, at = K.shingles(word + U64(size), bounds, size)
+            yield (index >> shift).astype(np.int64), at, value
 
 
 @dataclass(frozen=True)
@@ -113,6 +124,8 @@ class LinearModel:
     weights: np.ndarray
     bias: float
     scale: float
+    #: False where rows of one class or of both are missing; every score is then 0.
+    fitted: bool = True
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.full(len(offsets) - 1, self.bias)
@@ -132,6 +145,8 @@ class LinearModel:
         return np.bincount(kinds >> 32, weights=self.weights[kinds & 0xFFFFFFFF], minlength=len(bounds) - 1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not self.fitted:
+            return np.zeros(len(offsets) - 1)
         return 1.0 / (1.0 + np.exp(-np.clip(self.margins(data, offsets), -35, 35)))
 
 
@@ -188,9 +203,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: in
     return w[:-1], float(w[-1])
 
 
+def unfitted(features: Features) -> LinearModel:
+    return LinearModel(features, np.zeros(1, dtype=np.float32), 0.0, 1.0, False)
+
+
 def fit_quality(texts: list[str], labels: np.ndarray, features: WordNgrams | None = None) -> LinearModel:
+    """Hashed word n-grams and FTRL updates; with no rows of one class nothing is learnt."""
     features = features or WordNgrams()
     scale = 30.0
+    if not 0 < labels.sum() < len(labels):
+        return unfitted(features)
     rows = [(i, v * scale) for i, v in sparse_rows(features, texts)]
     weights, bias = ftrl(rows, labels, 1 << features.bits, alpha=0.5, l1=0.05, l2=1.0, epochs=4)
     return LinearModel(features, weights.astype(np.float32), bias, scale)
@@ -200,12 +222,14 @@ def fit_toxicity(texts: list[str], labels: np.ndarray, features: CharNgrams | No
     """Naive Bayes log-count ratios as feature scales, FTRL weights on top (Wang and Manning, 2012).
 
     The bias is then moved so that one half falls where it parts the margins of left-out folds best, a clean text
-    above it weighing FALSE_COST times a toxic one below.
+    above it weighing FALSE_COST times a toxic one below.  With no rows of one class nothing is learnt.
     """
     features = features or CharNgrams()
+    if not 0 < labels.sum() < len(labels):
+        return unfitted(features)
     rows = sparse_rows(features, texts)
     weights, bias = _scaled_ftrl(rows, labels, 1 << features.bits)
-    if len(rows) >= 4 * folds and 0 < labels.sum() < len(labels):
+    if len(rows) >= 4 * folds:
         fold, margin = np.arange(len(rows)) % folds, np.zeros(len(rows))
         for f in range(folds):
             inside = np.flatnonzero(fold != f)
@@ -243,24 +267,49 @@ def _parting(margin: np.ndarray, labels: np.ndarray) -> float:
     return float(cuts[best].mean())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of about ``per_class`` rows of each class, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """(i, y, t): whole texts and 0/1 labels of about ``per_class`` rows of each class, chosen by a hash of the id.
 
-    The bound on the sample is ``per_class`` (an eighth more at most, in expectation); nothing else is cut.
+    The bound on the sample is ``per_class``, in expectation; texts are whole.  An id with labels of both classes counts as
+    1, one with several texts by the least of them; null ids and labels other than 0 and 1 are left out.  An id's
+    choice does not depend on partitions, and an empty table of labels gives an empty sample.
     """
-    marked = labels.filter(F.col(label_col).isin(0, 1) & learnable).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["i"])
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & learnable).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], np.zeros(0)
-    rate = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, per_class / n))])
-    chosen = marked.filter(F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < rate[F.col("y")] * (1 << 30)).limit(per_class * len(counts) * 9 // 8)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"]).collect()  # 9/8 * per_class rows of a class at most
-    rows.sort(key=lambda r: r.i)
-    return [r.t or "" for r in rows], np.array([float(r.y) for r in rows])
+    rate = F.lit(0.0)
+    for y, n in counts.items():
+        rate = F.when(F.col("y") == y, min(1.0, per_class / n)).otherwise(rate)
+    chosen = marked.filter(F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) < rate * (1 << 30))  # about 2 * per_class rows
+    rows = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
+    return rows.groupBy("i", "y").agg(F.min("t").alias("t"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], LinearModel]) -> LinearModel:
+    """The model that ``fit`` makes of a sample (i, y, t), in one task: the driver gets its weights other than zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
+        rows = sorted(x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        model = fit([t for _, t, _ in rows], np.array([float(y) for _, _, y in rows]))
+        at = np.flatnonzero(model.weights)
+        about = pickle.dumps((model.features, model.bias, model.scale, model.fitted))
+        yield pa.RecordBatch.from_arrays([pa.array([about]), pa.array([at.astype(np.int32).tobytes()]), pa.array([model.weights[at].astype(np.float32).tobytes()])], names=["about", "at", "weights"])
+
+    row = sample.select("i", "t", "y").coalesce(1).mapInArrow(run, "about binary, at binary, weights binary").first()
+    if row is None:
+        return fit([], np.zeros(0))
+    features, bias, scale, sure = pickle.loads(bytes(row.about))
+    weights = np.zeros(1 << features.bits if sure else 1, dtype=np.float32)
+    weights[np.frombuffer(row.at, dtype=np.int32)] = np.frombuffer(row.weights, dtype=np.float32)
+    return LinearModel(features, weights, bias, scale, sure)
 
 
 def score(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
-    """The id of every row and its score; a null text is scored as the empty one.  A map without a shuffle."""
+    """The id of every row and its score; a null text is scored as the empty one.  A map without a shuffle.
+
+    Repeated rows and null ids are scored like any other, an empty table gives an empty one, other columns are not
+    read, and a model that had no rows of both classes to learn from scores 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits float32 weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +323,11 @@ def score(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", text_col:
 
 
 def keep_below(docs: DataFrame, model: LinearModel, bound: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text scores below ``bound``, with all their columns; a map without a shuffle."""
+    """Rows of ``docs`` whose text scores below ``bound``, with all their columns; a map without a shuffle.
+
+    A null text is scored as the empty one; repeated rows stay or go alike; a model that had no rows of both classes
+    to learn from keeps every row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

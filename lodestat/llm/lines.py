@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import checkpointed, small_or_shuffled
+from .common import BROADCAST_BYTES, checkpointed, small_or_shuffled
 from .graph import link_lists
 
 U64 = np.uint64
 #: Greatest edit distance, and the least line lengths (bytes) for a distance of 1, of 2, ...
 TOLERANCE = 2
 LEAST_BYTES = (24, 48)
-#: Shorter lines always stay, unless callers set another bound; op3 and the pipeline have none.
-MIN_BYTES = 16
+#: Rows of a class that are too many for the tasks of one shuffled join.
+HOT = 4096
 
 
 def tolerance(length: np.ndarray) -> np.ndarray:
@@ -95,10 +95,10 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for lo, hi, part, off in K.chunks(data, offsets):
                 text, number, starts, ends = line_spans(part, off)
                 at = pa.array(text)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(at), batch.column(1).slice(lo, hi - lo).take(at), pa.array(number, pa.int32()), pa.array(line_ids(K.prefix_hash(part), starts, ends)), pa.array(ends - starts, pa.int32())], names=["doc", "row", "line", "id", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(at), batch.column(1).slice(lo, hi - lo).take(at), pa.array(number, pa.int32()), pa.array(line_ids(K.prefix_hash(part), starts, ends))], names=["doc", "row", "line", "id"])
 
     source = _source(docs, id_col, text_col)
-    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, row bigint, line int, id bigint, bytes int")
+    return source.mapInArrow(run, f"doc {source.schema['doc'].dataType.simpleString()}, row bigint, line int, id bigint")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -226,29 +226,44 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return link_lists(postings(docs, id_col, text_col), test, lambda ids: checkpointed(lines_of(docs, ids, id_col, text_col)), near_counts, ["sk"])
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line that is not blank: (id, ``row_hash``, ``line_no`` from 0, ``class_id``, ``n_copies``, ``kept``).
 
     Lines are linked where they are equal or within the edit distance that the shorter one's length allows (none under
     24 bytes, 1 from 24, 2 from 48); ``class_id`` names a component of links, ``n_copies`` counts its lines in
-    all texts, and the first by (id, line number) is kept.  Lines under ``min_bytes`` bytes are always kept; with 0 the rule holds for every
-    line.  A null text has no lines; null ids come first; repeated rows count as one text and are treated alike; an empty table gives an empty one.
+    all texts, and the first by (id, line number) is kept.  A null text has no lines; null ids come first; repeated rows count as one text and are treated alike; an empty table gives an empty one.
     """
     found = checkpointed(occurrences(docs, id_col, text_col))
     classes = checkpointed(line_classes(docs, id_col, text_col).select(F.col("node").alias("id"), "component"))
     named = found.join(small_or_shuffled(classes, 32), "id", "left").withColumn("class_id", F.coalesce("component", "id"))
-    named = named.select("doc", "row", "line", "bytes", "class_id")
-    first = named.groupBy("class_id").agg(F.min(F.struct("doc", "line", "row")).alias("first"), F.count("*").alias("n_copies"))
-    kept = (F.col("bytes") < min_bytes) | F.struct("doc", "line", "row").eqNullSafe(F.col("first"))
-    return named.join(first, "class_id").select(F.col("doc").alias(id_col), F.col("row").alias("row_hash"), F.col("line").alias("line_no"), "class_id", "n_copies", kept.alias("kept"))
+    named = named.select("doc", "row", "line", "class_id")
+    order = F.struct("doc", "line", "row")
+    many = checkpointed(named.groupBy("class_id").agg(F.min(order).alias("first"), F.count("*").alias("n_copies")).filter("n_copies > 1"))
+    out = with_many(named, many)
+    kept = F.col("first").isNull() | order.eqNullSafe(F.col("first"))
+    return out.select(F.col("doc").alias(id_col), F.col("row").alias("row_hash"), F.col("line").alias("line_no"), "class_id", F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"), kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", min_bytes: int = MIN_BYTES) -> DataFrame:
+def with_many(rows: DataFrame, many: DataFrame, key: str = "class_id", count: str = "n_copies") -> DataFrame:
+    """``rows`` left-joined with a row for each class that has several; classes of more than HOT rows are not shuffled by their key.
+
+    There are at most one HOT-th as many of those as rows, and they are sent to every executor if that fits.
+    """
+    n = many.count()
+    if n * 64 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(many), key, "left")
+    hot = checkpointed(many.filter(F.col(count) > HOT))
+    hot = small_or_shuffled(hot, 64)
+    rest = rows.join(hot.select(key), key, "left_anti").join(many.filter(F.col(count) <= HOT), key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` without the lines that ``line_decisions`` rejects; a text that loses all its lines goes as a row.
 
     Other lines stay as they are, blank ones too.  ``chars_col``, where present, is counted anew.
     """
-    gone = line_decisions(docs, id_col, text_col, min_bytes).filter("NOT kept").distinct().groupBy(F.col(id_col).alias("__g_id"), F.col("row_hash").alias("__g_row")).agg(F.collect_list("line_no").alias("__g_lines"))
+    gone = line_decisions(docs, id_col, text_col).filter("NOT kept").distinct().groupBy(F.col(id_col).alias("__g_id"), F.col("row_hash").alias("__g_row")).agg(F.collect_list("line_no").alias("__g_lines"))
     row = F.xxhash64(text_col)
     kept = docs.withColumn("__g_own", row).join(gone, F.col(id_col).eqNullSafe(F.col("__g_id")) & (F.col("__g_own") == F.col("__g_row")), "left")
     parts = F.split(F.col(text_col), "\n")

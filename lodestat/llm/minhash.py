@@ -1,15 +1,17 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 A document is posted under each pair of signature coordinate and value.  Two documents whose sets are alike
-share at least MATCHES of the COORDINATES values, so they meet in the COORDINATES - MATCHES + 1 rarest values of
-either (prefix); documents without that many shared values are skipped.  Collisions are counted
-over whole signatures and pairs above the threshold retained; they form families, in which
-links are confirmed on the full shingle sets, block against block, and only spanning links are given out.
+share at least MATCHES of the COORDINATES values, so they meet in all but MATCHES - 1 of either's values, the rarest
+first (prefix); documents without that many shared values are skipped.  Collisions are counted
+over whole signatures and pairs with MATCHES or more retained; they form families, in which
+links are confirmed on the full shingle sets.  A family of one block is compared whole in a task.  The blocks of a
+larger one are compared each within itself and with the family's pivots; what is then still apart meets again in
+the rarest shingles of its full sets.  Only spanning links are given out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ COORDINATES = 48
 MATCHES = 24
 #: Bounds on the documents and shingles of a block in which sets are compared.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Sets of a large family that are compared with all its blocks.
+PIVOTS = 48
 _RNG = np.random.default_rng(20240229)
 MULTIPLIERS = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -106,7 +110,7 @@ def families(classes: DataFrame, coordinates: int = COORDINATES, matches: int =
     posts = classes.select("node", "sig").mapInArrow(keys, "id bigint, key bigint")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     by_doc = posts.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("x"))  # at most `coordinates` entries
-    prefix = by_doc.filter(F.size("x") >= matches).select("id", F.explode(F.expr(f"slice(x, 1, size(x) - {coordinates - matches})")).alias("e"))
+    prefix = by_doc.filter(F.size("x") >= matches).select("id", F.explode(F.expr(f"slice(x, 1, size(x) - {matches - 1})")).alias("e"))
     chosen = prefix.select(F.col("e.key").alias("key"), "id", F.lit(True).alias("own"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +174,74 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> l
     return out
 
 
+def shingle_order(pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingles of a family's pivots, how many pivots have each)."""
+    return np.unique(np.concatenate(pivots), return_counts=True)
+
+
+def rarest(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The shingles of a set, rarest among the pivots first, of which a set linked to it must share at least one."""
+    kinds, count = order
+    at = np.minimum(np.searchsorted(kinds, shingles), len(kinds) - 1)
+    often = np.where(kinds[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, often))[: len(shingles) + 1 + (-percent * len(shingles)) // 100]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, list[np.ndarray], list[bool]]]:
+    """(family, whether it has more blocks, nodes, their sets, whether they are pivots) of each block, from sorted rows."""
+    key, nodes, kept, chosen = None, [], [], []
+    for batch in batches:
+        for fam, blocks, node, hashes, pivot, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (fam, blocks, block) != key:
+                if nodes:
+                    yield key[0], key[1] > 1, np.array(nodes), kept, chosen
+                key, nodes, kept, chosen = (fam, blocks, block), [], [], []
+            if not nodes or nodes[-1] != node:  # else a repeated text of a class, or a pivot in its own block
+                nodes.append(node)
+                kept.append(np.frombuffer(hashes, dtype=np.uint64))
+                chosen.append(pivot)
+            chosen[-1] |= pivot
+    if nodes:
+        yield key[0], key[1] > 1, np.array(nodes), kept, chosen
+
+
+def _linked_by_shingles(posts: DataFrame, comps: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of all links, from the components of blocks and pivots and the rarest shingles (key, id).
+
+    Members of a family's largest component are not tested against each other.
+    """
+    large = members.filter("blocks > 1").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = large.groupBy("fam", "component").agg(F.count("*").alias("n")).groupBy("fam").agg(F.max(F.struct("n", "component")).alias("c"))
+    apart = checkpointed(large.join(most, "fam").filter("component <> c.component").select(F.col("node").alias("id"), F.lit(True).alias("own")))
+    if apart.isEmpty():
+        return comps
+    posts = posts.join(apart, "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    posts = checkpointed(posts.join(posts.filter("own").select("key").distinct(), "key", "left_semi"))
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = checkpointed(members.join(ids.withColumnRenamed("id", "node"), "node").select("node", "rep", "n"))
+        found = sets_of(wanted).join(wanted.select("node", "n"), "node").dropDuplicates(["node"])
+        return checkpointed(found.withColumnRenamed("node", "id"))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                sure.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield batch.filter(pa.array(sure, pa.bool_())).select([0, 1])
+
+    def test(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        left, right = (known.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(agree, "a bigint, b bigint")
+
+    def near(a: str, b: str) -> Column:
+        return F.expr(f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b})")
+
+    return link_lists(posts, test, fetch, near, ["n"], comps)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -197,35 +269,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 hashes, bounds = text_shingles(part, off, size)
                 yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, bounds)), _binary(hashes, bounds)], names=["node", "hashes"])
 
-    count = members.count()
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """(node, hashes) of the texts with the given ids, once for each text."""
+        texts = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(small_or_shuffled(reps.select(F.col("rep").alias(id_col)).distinct(), wide), id_col, "left_semi")
+        return texts.select("t").mapInArrow(sets, "node bigint, hashes binary")
+
     wide = 16 if docs.schema[id_col].dataType.typeName() != "struct" else 64
-    wanted = small_or_shuffled(members.select(F.col("rep").alias(id_col)), wide, count)
-    texts = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(wanted, id_col, "left_semi").select("t")
-    found = texts.mapInArrow(sets, "node bigint, hashes binary")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    place = members.select("node", "fam", "block", others.alias("other"))
-    place = place.select("node", "fam", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tasks = found.join(small_or_shuffled(place, 48, count), "node").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "node")
+    seat = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(PIVOTS)).alias("seat")
+    pivots = members.filter("blocks > 1").groupBy("fam", seat).agg(F.min(F.struct(F.xxhash64(F.lit(8), "node").alias("h"), "node", "blocks")).alias("c"))
+    pivots = pivots.select("c.node", "fam", "c.blocks", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("block"), F.lit(True).alias("pivot"))
+    place = checkpointed(members.select("node", "fam", "blocks", "block", F.lit(False).alias("pivot")).unionByName(pivots))
+    tasks = sets_of(members).join(small_or_shuffled(place, 40), "node").repartition("fam", "block").sortWithinPartitions("fam", "block", "node")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, kept, out = None, [], [], []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for fam, i, j, node, hashes in zip(*columns, strict=True):
-                if (fam, i, j) != key:
-                    out += spanning_links(np.array(nodes), kept, percent)
-                    key, nodes, kept = (fam, i, j), [], []
-                if not nodes or nodes[-1] != node:  # repeated texts of a class
-                    nodes.append(node)
-                    kept.append(np.frombuffer(hashes, dtype=np.uint64))
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        out += spanning_links(np.array(nodes), kept, percent)
-        yield _pairs(out)
-
-    links = tasks.select("fam", "i", "j", "node", "hashes").mapInArrow(confirm, "a bigint, b bigint")
-    comps = components(links)
+        for fam, many, nodes, kept, chosen in _blocks(batches):
+            links = spanning_links(nodes, kept, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([False] * len(links))], names=["a", "b", "post"])
+            if many:
+                order = shingle_order([x for x, c in zip(kept, chosen, strict=True) if c])
+                rare = [rarest(x, order, percent) for x in kept]
+                at = np.repeat(nodes, [len(x) for x in rare])
+                key = K.mix(np.concatenate(rare) ^ K.mix(np.array([fam], dtype=np.int64).view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array(np.ones(len(at), dtype=bool))], names=["a", "b", "post"])
+
+    told = tasks.select("fam", "blocks", "node", "hashes", "pivot", "block").mapInArrow(confirm, "a bigint, b bigint, post boolean")
+    told = checkpointed(told)
+    comps = checkpointed(components(told.filter("NOT post").select("a", "b")))
+    posts = told.filter("post").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    comps = _linked_by_shingles(posts, comps, members, sets_of, percent)
     named = classes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
@@ -251,7 +323,3 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not again.isEmpty():
         out = out.unionByName(rows.join(small_or_shuffled(again, 16), "__g_mark", "left_semi").dropDuplicates(["__g_mark"]))
     return out.select(*docs.columns)
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])

@@ -26,7 +26,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_decisions(documents(spark, sf_dir), min_bytes=0)
+    found = lines.line_decisions(documents(spark, sf_dir))
     return found.select("doc_id", "line_no", "class_id", "n_copies", "kept")
 
 
@@ -36,8 +36,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1, QUALITY_ROWS)
-    return _classified(linear.score(docs, linear.fit_quality(texts, marks)), 3, 1)
+    sample = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1, QUALITY_ROWS)
+    return _classified(linear.score(docs, linear.fitted(sample, linear.fit_quality)), 3, 1)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    texts, marks = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 5) != 0, TOXICITY_ROWS)
-    return _classified(linear.score(docs, linear.fit_toxicity(texts, marks)), 5, 0)
+    sample = linear.labelled_sample(docs, documents(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 5) != 0, TOXICITY_ROWS)
+    return _classified(linear.score(docs, linear.fitted(sample, linear.fit_toxicity)), 5, 0)
 
 
 def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:

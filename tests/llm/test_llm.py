@@ -167,19 +167,45 @@ def test_language_by_cross_parsing(spark):
     assert langid.identify(docs.filter("doc_id < 0"), model).count() == 0
 
 
-def test_cross_parse_counts_longest_phrases():
-    text = b"abracadabra abracadabra banana"
-    model = langid.build({"l": [text]})
-    query = b"abrabanananazz cadabraq"
-    source, _ = langid.normalised(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
-    source, at, n = source.tobytes(), 0, 0
+def phrase_count(source, query):
+    at = n = 0
     while at < len(query):
         k = 1
         while at + k < len(query) and query[at : at + k + 1] in source and query[at : at + k] in source:
             k += 1
         at, n = at + k, n + 1
-    counts, _ = model.phrases(np.frombuffer(query, dtype=np.uint8), np.array([0, len(query)]))
-    assert counts[0, 0] / model.bits[0] == n
+    return n
+
+
+def test_cross_parse_counts_longest_phrases_of_whole_texts():
+    rng = np.random.default_rng(24)
+    words = [b"abracadabra", b"banana", b"cadabraq", b"zz", b"nab"]
+    train = b" ".join(words[i] for i in rng.integers(0, 5, 200))
+    model = langid.build({"l": [train], "m": [train[::-1]]})
+    queries_ = [b"abrabanananazz cadabraq", b"", b"x", train, b"banana" * 300, b" ".join(words[i] for i in rng.integers(0, 5, 400)), bytes(rng.choice(list(b"abcn rdqz"), 3000).astype(np.uint8)).replace(b"  ", b" "), b"q" * 256, b"ab" * 128 + b"r"]
+    queries_ = [re.sub(b" +", b" ", q) for q in queries_]
+    offsets = np.cumsum([0, *map(len, queries_)])
+    counts, sizes = model.phrases(np.frombuffer(b"".join(queries_), dtype=np.uint8), offsets)
+    for column, source in enumerate((train, train[::-1])):
+        assert [round(c) for c in counts[:, column] / model.bits[column]] == [phrase_count(source, q) for q in queries_]
+    assert list(sizes) == list(map(len, queries_))
+
+
+def test_languages_in_groups_and_whole_rows(spark, monkeypatch):
+    rng = np.random.default_rng(25)
+    stock = {f"l{k}": [f"{a}{k}{b}" for a, b in zip(rng.choice(list("abcdefgh"), 6), rng.choice(list("mnopqrst"), 6), strict=True)] for k in "uvwxyz"}
+    rows = [(i, " ".join(rng.choice(stock[l], 40)), l) for i, l in enumerate(sorted(stock) * 20)]
+    rows += [(2000 + i, rows[0][1], "lu") for i in range(300)] + [(None, "ein sehr langer text " * 500, "long"), (1, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    samples = langid.train(docs, F.lit(True), rows=8)
+    assert set(samples) == {*stock, "long"} and all(len(t) <= 8 for t in samples.values()) and samples["long"] == [("ein sehr langer text " * 500).encode()]
+    whole = {t for _, t, _ in rows}
+    assert all(x.decode() in whole for t in samples.values() for x in t) and len(set(samples["lu"])) == len(samples["lu"])
+    assert samples == langid.train(docs.repartition(2), F.lit(True), rows=8)
+    at_once = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, samples).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 2)
+    assert {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, samples).collect()} == at_once
+    assert all(p == l for i, p, _ in at_once for j, _, l in rows[:120] if i == j and i != 1)
 
 
 # 3
@@ -242,7 +268,7 @@ def test_line_dedup_equals_brute_force(spark):
         first.setdefault(where[x], (d, n))
     assert len(got) == len(at) and links
     for d, n, x in at:
-        assert got[d, n].kept == (len(x) < lines.MIN_BYTES or first[where[x]] == (d, n))
+        assert got[d, n].kept == (first[where[x]] == (d, n))
         assert got[d, n].n_copies == sum(where[y] == where[x] for _, _, y in at)
 
 
@@ -307,17 +333,69 @@ def test_pieces_equal_the_library(spark, edge, empty):
 def test_classifiers_learn_and_score_edges(spark, sf_dir, edge, empty):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     for label, fit in (("quality", linear.fit_quality), ("toxic", linear.fit_toxicity)):
-        texts, marks = linear.labelled_sample(docs, labels, label, F.lit(True), 200)
-        model = fit(texts, marks)
-        data, offsets = kernels.text_buffers(pa.array(texts))
+        sample = linear.labelled_sample(docs, labels, label, F.lit(True), 200)
+        model = linear.fitted(sample, fit)
+        rows = sorted(sample.select("i", "t", "y").collect())
+        alike = fit([r.t for r in rows], np.array([float(r.y) for r in rows]))
+        assert np.array_equal(alike.weights, model.weights) and alike.bias == model.bias
+        data, offsets = kernels.text_buffers(pa.array([r.t for r in rows]))
         s = model.scores(data, offsets)
-        assert ((s >= 0.5) == (marks == 1)).mean() > 0.9
+        assert ((s >= 0.5) == np.array([r.y == 1 for r in rows])).mean() > 0.9
         scores = {(r.doc_id, round(r.score, 12)) for r in linear.score(edge, model).collect()}
         assert len(scores) == len({i for i, *_ in EDGE}) and all(0 <= x <= 1 for _, x in scores)
         assert linear.score(empty, model).count() == 0
         assert linear.keep_below(edge, model, 2.0).count() == len(EDGE)
-        none = fit([], np.zeros(0))
-        assert np.allclose(none.scores(*kernels.text_buffers(pa.array(["x y", None]))), none.scores(*kernels.text_buffers(pa.array(["", ""]))))
+
+
+def test_nothing_is_learnt_without_both_classes(spark, edge, empty):
+    import corpus_pipeline
+
+    for rows in ([], [(4, 1), (5, 1)], [(4, 0), (None, 1)], [(77, 0), (78, 1)]):
+        labels = spark.createDataFrame([(i, y, y) for i, y in rows], "doc_id bigint, quality int, toxic int")
+        for label, fit in (("quality", linear.fit_quality), ("toxic", linear.fit_toxicity)):
+            model = linear.fitted(linear.labelled_sample(edge, labels, label, F.lit(True), 10), fit)
+            assert {r.score for r in linear.score(edge, model).collect()} == {0.0}
+            assert linear.keep_below(edge, model, 0.5).count() == len(EDGE)
+
+
+def test_sample_has_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (2, None), (2, "c"), (3, "z"), (3, "z")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 1), (3, 7), (None, 1), (9, 1)], "doc_id bigint, toxic int")
+    got = sorted((r.i, r.y, r.t) for r in linear.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect())
+    assert got == [(1, 1, "a"), (2, 0, ""), (3, 1, "z")]
+
+
+def test_ftrl_and_log_count_ratios_equal_plain_python():
+    rng = np.random.default_rng(26)
+    rows = [(np.unique(rng.integers(0, 30, 8)).astype(np.int32), None) for _ in range(40)]
+    rows = [(i, rng.random(len(i))) for i, _ in rows]
+    y = rng.integers(0, 2, 40).astype(float)
+    ratio = linear.log_count_ratios(rows, y, 30)
+    for f in range(30):
+        p = 1 + sum(f in set(i) for (i, _), k in zip(rows, y, strict=True) if k)
+        q = 1 + sum(f in set(i) for (i, _), k in zip(rows, y, strict=True) if not k)
+        assert ratio[f] == pytest.approx(np.log((p / (1 + y.sum())) / (q / (1 + (1 - y).sum()))))
+    alpha, l1, l2, beta = 0.3, 0.02, 0.5, 1.0
+    got, bias = linear.ftrl(rows, y, 30, alpha, l1, l2, 3)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    balance = {k: len(y) / (2 * (y == k).sum()) for k in (0, 1)}
+
+    def weight(f):
+        sharp = 0.0 if f == "bias" else l1
+        return 0.0 if abs(z[f]) <= sharp else -(z[f] - np.sign(z[f]) * sharp) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for r in order.permutation(40):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1], strict=True)) | {"bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y[r]) * balance[int(y[r])] * v
+                sigma = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    assert np.allclose(got, [weight(f) for f in range(30)]) and bias == pytest.approx(weight("bias"))
 
 
 def test_margins_do_not_depend_on_batches():
@@ -432,6 +510,76 @@ def test_minhash_equals_brute_force(spark):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (i == comp[i]) for i, r in got.items())
 
 
+def test_minhash_of_a_family_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(minhash, "PIVOTS", 4)
+    monkeypatch.setattr(graph, "LEFT", 3)
+    monkeypatch.setattr(graph, "CENTRES", 2)
+    monkeypatch.setattr(graph, "TURNS", 2)
+    monkeypatch.setattr(graph, "LIST_ROWS", 20)
+    rng = np.random.default_rng(21)
+    texts = near_copies(rng, 2, 9, 150)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for _ in range(110):  # chains and stars of edited copies, some only loosely alike
+        w = rows[int(rng.integers(0, len(rows)))][1].split()
+        for _ in range(int(rng.integers(1, 9))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, size=4).collect()}
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = closure(sets, links)
+    assert got == comp and 10 < len(set(comp.values())) < 110
+
+
+def test_families_hold_pairs_at_exactly_the_match_threshold(spark):
+    rng = np.random.default_rng(22)
+    for coordinates, matches in ((48, 24), (48, 20)):
+        rows = []
+        for k, shared in enumerate((matches - 1, matches, matches + 1)):
+            a = rng.integers(0, 2**32, coordinates, dtype=np.uint32)
+            b = rng.integers(0, 2**32, coordinates, dtype=np.uint32)
+            b[:shared] = a[:shared]
+            rows += [(10 * k, a), (10 * k + 1, b)]
+        low = [[int(x) for x in col] for col in minhash.low_bits(np.array([np.resize(s, minhash.COORDINATES) for _, s in rows]))]
+        data = [(i, bytes(s.tobytes()), *[c[j] for c in low]) for j, (i, s) in enumerate(rows)]
+        df = spark.createDataFrame(data, "node bigint, sig binary, " + ", ".join(f"{x} bigint" for x in minhash.LOW))
+        got = {r.node for r in minhash.families(df, coordinates, matches).collect()}
+        assert got == {10, 11, 20, 21}
+
+
+def test_lists_lose_no_link_in_any_turn(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEFT", 2)
+    monkeypatch.setattr(graph, "CENTRES", 2)
+    monkeypatch.setattr(graph, "LIST_ROWS", 8)
+    rng = np.random.default_rng(23)
+    for turns in (0, 3):
+        monkeypatch.setattr(graph, "TURNS", turns)
+        value = {i: int(rng.integers(0, 400)) for i in range(120)}
+        posts = [(int(k), i, bool(own)) for i in value for k, own in zip(rng.integers(0, 4, 2), rng.integers(0, 2, 2), strict=True)]
+        members = collections.defaultdict(set)
+        owns = collections.defaultdict(set)
+        for k, i, own in posts:
+            members[k].add(i)
+            if own:
+                owns[k].add(i)
+        near = lambda a, b: abs(value[a] - value[b]) <= 2
+        links = [(a, b) for k in members for a in owns[k] for b in members[k] if a != b and near(a, b)]
+        table = spark.createDataFrame(list(value.items()), "id bigint, v int")
+
+        def test(pairs, known):
+            a, b = (known.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+            return pairs.join(a, "a").join(b, "b").filter("abs(va - vb) <= 2").select("a", "b")
+
+        got = graph.link_lists(spark.createDataFrame(posts, "key bigint, id bigint, own boolean"), test, lambda ids, t=table: t.join(ids, "id"), lambda a, b: F.expr(f"abs(v{a} - v{b}) <= 3"), ["v"])
+        comp = {r.node: r.component for r in got.collect()}
+        want = closure(value, links)
+        full = closure(value, [(a, b) for k in members for a in members[k] for b in members[k] if a < b and near(a, b)])
+        assert all(comp.get(a, a) == comp.get(b, b) for a, b in links)
+        assert all(full[a] == full[b] for a, b in comp.items()) and want
+
+
 def test_spanning_links_of_a_large_block():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2**63, 100, dtype=np.uint64)
