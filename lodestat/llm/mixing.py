@@ -14,44 +14,39 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import BROADCAST_BYTES, WORD, checkpointed
 
-#: More distinct sources than this are refused: their table is kept on the driver and sent to executors.
-MAX_SOURCES = 10_000
-#: Bound on sources times shards, the entries of the table of ranges.
-MAX_RANGES = 4_000_000
 BLOCK_DOCS = 16
 #: Blocks from the edge on whose documents may fill the last words of a quota.
 EDGE_BLOCKS = 4
 SUPER_BLOCKS = 512
 WORDS_PER_SHARD = 20_000_000
 MIN_SHARDS, MAX_SHARDS = 16, 4096
+#: Words of a shard that one task shuffles, and the partitions of a mix above which its slices grow instead.
+SLICE_WORDS, MOST_SLICES = 2_000_000, 200_000
+#: Sources whose quotas are split by one tree, in one task.
+TREE_SOURCES = 256
+#: One in so many rows makes a source hot, if the table of sources is too large to send to every executor.
+HOT_SHARE = 1000
 
 
-def shares(sizes: Sequence[int], weights: Sequence[float], total: float, max_repeat: float = 3.0) -> list[float]:
-    """Targets that share ``total`` by weight, none above ``max_repeat`` times its size.
+def level(per: DataFrame, total: int, max_repeat: float) -> float:
+    """What a unit of weight takes, so that ``total`` is shared by weight and no source takes over ``max_repeat`` times its size.
 
-    What a source can't take is shared by weight among the rest, until none is above its bound.
+    ``per`` has (w, weight) of each source.  What sources can't take raises the level for the others, until none is above its bound.
     """
-    targets, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(total)
-    while open_:
-        weight = math.fsum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > max_repeat * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in full:
-            targets[i] = float(max_repeat * sizes[i])
-            open_.discard(i)
-        left = float(total) - math.fsum(targets[i] for i in range(len(sizes)) if i not in open_)
-    return targets
+    reached, capped = 0.0, -1
+    while True:
+        full = F.lit(reached) * F.col("weight") > F.lit(float(max_repeat)) * F.col("w")
+        row = per.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("w"))).alias("w"), F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
+        if row.n == capped or not row.weight:
+            return reached
+        capped, reached = row.n, (total - max_repeat * (row.w or 0)) / row.weight
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -97,47 +92,52 @@ def placements(
     columns stay, but ``docs`` may have none with a name given here or beginning with ``p_``; ``mix`` has no such limit.  Reruns agree: every
     choice follows from the seed and the rows, not from partitions.
     """
-    spark = docs.sparkSession
+    return _placed(docs, id_col, source_col, text_col, weights, max_repeat, seed, shards, block_docs)[0]
+
+
+def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[float] = (5, 2, 1), max_repeat: int = 3, seed: int = 17, shards: int | None = None, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, int, int]:
+    """Placements, the number of shards, and all words.  The plan of sources is a table like any other; the driver sees sums of it."""
     row_hash = F.xxhash64(F.lit(seed), F.col(source_col), F.col(id_col), F.col("mix_size"))
     sized = docs.withColumn("mix_size", word_count(text_col))
-    base = sized.select(F.col(source_col).alias("s"), F.col("mix_size").alias("w"), row_hash.alias("h"))
-
-    stats = base.groupBy("s").agg(F.count("*").alias("n"), F.sum("w").alias("w")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; fold rare ones together first")
-    stats.sort(key=lambda r: (r.s is None, r.s if r.s is not None else ""))
-    sizes = [int(r.w) for r in stats]
-    cycle = [float(weights[i % len(weights)]) for i in range(len(stats))]
-    targets = shares(sizes, cycle, sum(sizes), max_repeat)
-    blocks = [max(1, -(-int(r.n) // block_docs)) for r in stats]
-    passes = [int(t // w) if w else 0 for t, w in zip(targets, sizes, strict=True)]
-    wanted = [int(round(t - p * w)) for t, p, w in zip(targets, passes, sizes, strict=True)]
-
-    plan_schema = T.StructType([T.StructField("s", docs.schema[source_col].dataType), T.StructField("blocks", T.LongType()), T.StructField("wanted", T.LongType())])
-    plan = F.broadcast(spark.createDataFrame([(r.s, b, w) for r, b, w in zip(stats, blocks, wanted, strict=True)], plan_schema))  # at most MAX_SOURCES rows
-    in_block = base.join(plan, base.s.eqNullSafe(plan.s)).select(base.s, "w", "h", "wanted", F.pmod("h", F.col("blocks")).alias("block"))
-    edges = _edges(in_block, SUPER_BLOCKS)
-    edge = {r.s: (int(r.block), int(r.before)) for r in edges.collect()}  # one row a source
-    picks = _picks(in_block, spark, docs.schema[source_col].dataType, edge, {r.s: w for r, w in zip(stats, wanted, strict=True)})
-
-    first = [edge.get(r.s, (0 if w == 0 else b, 0))[0] for r, w, b in zip(stats, wanted, blocks, strict=True)]
-    quotas = np.array([p * b + q + bool(picks.get(r.s)) for r, p, b, q in zip(stats, passes, blocks, first, strict=True)], dtype=np.int64)
+    base = checkpointed(sized.select(F.col(source_col).alias("s"), F.col("mix_size").alias("w"), row_hash.alias("h")))
+
+    per = _ranked(base.groupBy("s").agg(F.count("*").alias("n"), F.sum("w").alias("w")))
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    count, total = per.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    target = F.least(F.lit(level(per, total, max_repeat)) * F.col("weight"), (max_repeat * F.col("w")).cast("double"))
+    per = per.withColumn("target", target).withColumn("blocks", F.ceil(F.col("n") / block_docs))
+    per = per.withColumn("passes", F.coalesce(F.floor(F.try_divide("target", F.col("w").cast("double"))), F.lit(0)).cast("int"))
+    per = per.withColumn("wanted", F.round(F.col("target") - F.col("passes") * F.col("w")).cast("bigint"))
+
+    rows = base.count()
+    in_block = _with_source(base, per.select(F.col("s").alias("s2"), "n", "blocks", "wanted"), "s2", count * 64, rows)
+    in_block = in_block.select("s", "w", "h", "wanted", F.pmod("h", F.col("blocks")).alias("block"))
+    edges = checkpointed(_edges(in_block, SUPER_BLOCKS))
+    picks = _picks(in_block, edges)
+    named = edges.join(picks, edges.s.eqNullSafe(picks.s3), "left").select(F.col("s").alias("s2"), F.col("block").alias("edge"), "picks")
+    per = per.join(named, per.s.eqNullSafe(named.s2), "left").drop("s2").withColumn("picks", F.coalesce("picks", F.array().cast("array<bigint>")))
+    per = per.withColumn("first", F.coalesce("edge", F.when(F.col("wanted") == 0, 0).otherwise(F.col("blocks"))))
+    per = per.withColumn("draws", F.col("passes") * F.col("blocks") + F.col("first") + (F.size("picks") > 0).cast("int"))
+
     if shards is None:
-        shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-sum(sizes) // WORDS_PER_SHARD)))
-    shards = max(1, min(shards, MAX_RANGES // max(1, len(stats))))
-    rng = np.random.default_rng(seed)
-    table = splitting_tree(quotas, shards, rng) if len(stats) else np.zeros((shards, 0), dtype=np.int64)
-    bounds = np.cumsum(table, axis=0)
-
-    rows = []
-    for i, r in enumerate(stats):
-        step, shift = _permutation(int(quotas[i]), rng)
-        rows.append((r.s, sizes[i], targets[i], blocks[i], passes[i], first[i], picks.get(r.s, []), int(quotas[i]), step, shift, [int(x) for x in bounds[:, i]]))
-    kind = docs.schema[source_col].dataType
-    names = [("p_source", kind), ("mix_source_size", T.LongType()), ("mix_target", T.DoubleType()), ("p_blocks", T.LongType()), ("p_passes", T.IntegerType()), ("p_first", T.LongType()), ("p_picks", T.ArrayType(T.LongType())), ("p_draws", T.LongType()), ("p_step", T.LongType()), ("p_shift", T.LongType()), ("p_bounds", T.ArrayType(T.LongType()))]
-    sources = F.broadcast(spark.createDataFrame(rows, T.StructType([T.StructField(*x) for x in names])))  # MAX_RANGES numbers at most
-
-    drawn = sized.join(sources, F.col(source_col).eqNullSafe(F.col("p_source")))
+        shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-total // WORDS_PER_SHARD)))
+    kind = docs.schema[source_col].dataType.simpleString()
+
+    def split(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        draws = group["draws"].to_numpy()
+        rng = np.random.default_rng([seed, int(group["tree"][0].as_py())])
+        bounds = np.cumsum(splitting_tree(draws, shards, rng), axis=0).T
+        steps = [_permutation(int(n), rng) for n in draws]
+        out = group.select(["s", "n", "w", "target", "blocks", "passes", "first", "picks", "draws"])
+        return out.append_column("step", pa.array([x for x, _ in steps], pa.int64())).append_column("shift", pa.array([x for _, x in steps], pa.int64())).append_column("bounds", pa.array(list(bounds), pa.list_(pa.int64())))
+
+    columns = per.select("s", "rank", "n", "w", "target", "blocks", "passes", "first", "picks", F.col("draws").cast("bigint").alias("draws"), F.floor(F.col("rank") / TREE_SOURCES).cast("bigint").alias("tree"))
+    columns = columns.withColumns({"blocks": F.col("blocks").cast("bigint"), "first": F.col("first").cast("bigint")})
+    plan = columns.groupBy("tree").applyInArrow(split, f"s {kind}, n bigint, w bigint, target double, blocks bigint, passes int, first bigint, picks array<bigint>, draws bigint, step bigint, shift bigint, bounds array<bigint>")
+    plan = checkpointed(plan).select(F.col("s").alias("p_source"), F.col("n").alias("n"), F.col("w").alias("mix_source_size"), F.col("target").alias("mix_target"), *[F.col(c).alias(f"p_{c}") for c in ("blocks", "passes", "first", "picks", "draws", "step", "shift", "bounds")])
+
+    drawn = _with_source(sized, plan.withColumnRenamed("n", "p_n"), "p_source", count * (8 * shards + 512), rows, source_col, "p_n")
     drawn = drawn.withColumn("p_hash", row_hash).withColumn("p_block", F.pmod("p_hash", F.col("p_blocks")))
     extra = (F.col("p_block") < F.col("p_first")) | F.array_contains("p_picks", F.col("p_hash"))
     drawn = drawn.withColumn("mix_copies", F.col("p_passes") + extra.cast("int"))
@@ -147,18 +147,47 @@ def placements(
             cast(size(filter(p_bounds, b -> b <= pmod((e * p_blocks + if(e = p_passes, least(p_block, p_first), p_block)) * p_step + p_shift, greatest(p_draws, 1)))) AS int) AS shard,
             xxhash64({seed}, p_hash, e) AS place))
     """
-    return drawn.withColumn("mix_places", F.expr(place)).drop(*[n for n, _ in names if n.startswith("p_")], "p_hash", "p_block")
+    kept = [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_places"]
+    return drawn.withColumn("mix_places", F.expr(place)).select(*kept), shards, total
+
+
+def _ranked(per: DataFrame) -> DataFrame:
+    """``per`` with ``rank``, from 0, by source in code-point order, null last; no task sees all sources."""
+    at = F.spark_partition_id()
+    dealt = checkpointed(per.orderBy(F.col("s").asc_nulls_last()).withColumns({"part": at, "nth": F.monotonically_increasing_id() - F.shiftleft(at.cast("bigint"), 33)}))
+    before, starts = 0, []
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a partition
+        starts.append((r.part, before))
+        before += r.n
+    start = F.broadcast(per.sparkSession.createDataFrame(starts, "part int, start bigint"))
+    return checkpointed(dealt.join(start, "part").select("s", "n", "w", (F.col("start") + F.col("nth")).alias("rank")))
+
+
+def _with_source(rows: DataFrame, plan: DataFrame, key: str, plan_bytes: int, count: int, source: str = "s", n: str = "n") -> DataFrame:
+    """``rows`` with the plan of their source, whose own key is ``key`` and whose number of rows is ``n``.
+
+    If the plan is too large to send to every executor, only that of hot sources is, of which there are at most HOT_SHARE.
+    """
+    same = F.col(source).eqNullSafe(F.col(key))
+    if plan_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(plan), same)
+    hot = F.col(n) * HOT_SHARE > count
+    few = F.broadcast(plan.filter(hot))
+    return rows.join(few, same).unionByName(rows.join(few.select(key), same, "left_anti").join(plan.filter(~hot), same))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
     """The mix itself: the rows of ``docs`` once for each copy taken, then ``mix_epoch``, ``mix_shard`` and ``mix_place``.
 
-    Rows are dealt to partitions by shard and ordered by place within each shard, which is its local shuffle.
+    Rows are dealt to partitions by shard and range of place, and ordered by place, which is the shard's local shuffle.
     """
     whole = docs.select(F.col(id_col).alias("i"), F.col(source_col).alias("s"), F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
-    placed = placements(whole, "i", "s", "t", **options)  # type: ignore[arg-type]
+    placed, shards, total = _placed(whole, "i", "s", "t", **options)  # type: ignore[arg-type]
     rows = placed.select("row", F.explode("mix_places").alias("at")).select("row", F.col("at.epoch").alias("epoch"), F.col("at.shard").alias("shard"), F.col("at.place").alias("place"))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    slices = max(1, -(-total // max(SLICE_WORDS * shards, total * shards // MOST_SLICES)))
+    part = F.floor((F.col("place") / 2.0**64 + 0.5) * slices)
+    part = (F.col("shard") * slices + F.greatest(F.least(part, F.lit(slices - 1)), F.lit(0))).cast("int")
+    dealt = rows.repartitionById(shards * slices, part).sortWithinPartitions("shard", "place")
     return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("epoch").alias("mix_epoch"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
 
 
@@ -179,20 +208,21 @@ def _edges(in_block: DataFrame, fan: int) -> DataFrame:
     return hit.groupBy("s").agg(F.min(F.struct("block", "before")).alias("x")).select("s", "x.block", "x.before")
 
 
-def _picks(in_block: DataFrame, spark, kind, edge: dict, wanted: dict) -> dict:
-    """Documents from each source's edge on whose words come nearest to those still wanted.
+def _picks(in_block: DataFrame, edges: DataFrame) -> DataFrame:
+    """(s3, picks): documents from each source's edge on whose words come nearest to those still wanted.
 
-    The edge blocks hold about EDGE_BLOCKS * BLOCK_DOCS documents a source, for MAX_SOURCES sources at most.
+    The blocks from the edge on hold about EDGE_BLOCKS * BLOCK_DOCS documents of a source, in one task.
     """
-    if not edge:
-        return {}
-    schema = T.StructType([T.StructField("s2", kind), T.StructField("block2", T.LongType())])
-    at = F.broadcast(spark.createDataFrame([(s, b + i) for s, (b, _) in edge.items() for i in range(EDGE_BLOCKS)], schema))
-    rows = in_block.join(at, in_block.s.eqNullSafe(at.s2) & (in_block.block == at.block2)).groupBy("s", "h").agg(F.sum("w").alias("w")).filter("w > 0").collect()
-    near: dict = {}
-    for r in sorted(rows, key=lambda r: r.h):
-        near.setdefault(r.s, []).append((r.h, int(r.w)))
-    return {s: nearest_subset(near.get(s, []), wanted[s] - before) for s, (_, before) in edge.items()}
+    at = edges.select(F.col("s").alias("s2"), F.explode(F.sequence("block", F.col("block") + EDGE_BLOCKS - 1)).alias("block2"), "before")
+    rows = in_block.join(F.broadcast(at) if at.count() * 40 <= BROADCAST_BYTES else at, in_block.s.eqNullSafe(at.s2) & (in_block.block == at.block2))
+    rows = rows.groupBy("s", "h").agg(F.sum("w").alias("w"), F.first(F.col("wanted") - F.col("before")).alias("goal")).filter("w > 0")
+
+    def nearest(group: pa.Table) -> pa.Table:
+        group = group.sort_by("h")
+        picks = nearest_subset(list(zip(group["h"].to_pylist(), group["w"].to_pylist(), strict=True)), group["goal"][0].as_py())
+        return group.select(["s"]).slice(0, 1).append_column("picks", pa.array([picks], pa.list_(pa.int64())))
+
+    return rows.groupBy("s").applyInArrow(nearest, f"s {in_block.schema['s'].dataType.simpleString()}, picks array<bigint>").withColumnRenamed("s", "s3")
 
 
 def nearest_subset(items: list[tuple[int, int]], target: int) -> list[int]:

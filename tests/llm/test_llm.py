@@ -450,11 +450,48 @@ def test_sketches_estimate_and_merge(spark):
 # 7
 
 
-def test_shares_fill_by_weight_below_the_bound():
-    assert mixing.shares([10, 10], [1, 1], 20) == [10, 10]
-    t = mixing.shares([1, 100, 100], [5, 2, 1], 201)
-    assert t[0] == 3 and sum(t) == pytest.approx(201) and t[1] == pytest.approx(2 * t[2])
-    assert mixing.shares([0, 5], [5, 2], 5) == [0, 5] and mixing.shares([], [], 0) == []
+def shares(sizes, weights, total, bound=3.0):
+    """Targets by filling and sharing the excess anew."""
+    targets, left = [None] * len(sizes), total
+    while None in targets:
+        open_ = [i for i, t in enumerate(targets) if t is None]
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if unit * weights[i] > bound * sizes[i]]
+        for i in full or open_:
+            targets[i] = bound * sizes[i] if full else unit * weights[i]
+            left -= targets[i] if full else 0
+    return targets
+
+
+def test_level_shares_by_weight_below_the_bound(spark):
+    rng = np.random.default_rng(27)
+    for sizes in ([10, 10], [1, 100, 100], [0, 5], [0, 0], [], [int(x) for x in rng.zipf(1.3, 200) % 100_000]):
+        w = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
+        per = spark.createDataFrame(list(zip(sizes, w, strict=True)), "w bigint, weight double")
+        unit = mixing.level(per, sum(sizes), 3)
+        assert [min(unit * x, 3 * s) for x, s in zip(w, sizes, strict=True)] == pytest.approx(shares(sizes, w, sum(sizes)))
+
+
+def test_many_sources_are_mixed_alike(spark, monkeypatch):
+    rng = np.random.default_rng(28)
+    names = [None, *[f"s{i:04d}" for i in range(700)]]
+    rows = [(i, names[0 if i % 3 == 0 else int(k)], " ".join(["w"] * int(n))) for i, (k, n) in enumerate(zip(rng.integers(0, 701, 4000), rng.integers(0, 40, 4000), strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(6)
+    a = {r.doc_id: (r.mix_target, r.mix_copies, r.mix_places) for r in mixing.placements(docs).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: (r.mix_target, r.mix_copies, r.mix_places) for r in mixing.placements(docs.repartition(3)).collect()} == a
+    size = collections.Counter()
+    for _, s, t in rows:
+        size[s] += len(WORD.findall(t))
+    order = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    want = dict(zip(order, shares([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], sum(size.values())), strict=True))
+    taken, draws = collections.Counter(), collections.Counter()
+    for i, s, t in rows:
+        assert a[i][0] == pytest.approx(want[s]) and a[i][1] == len(a[i][2]) <= 3
+        taken[s] += len(WORD.findall(t)) * a[i][1]
+        draws.update(p.shard for p in a[i][2])
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 40 for s in order)
+    assert len(draws) == 16 and max(draws.values()) <= 2 * min(draws.values())
 
 
 def test_nearest_subset_equals_brute_force():
