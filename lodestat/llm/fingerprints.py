@@ -14,9 +14,11 @@ from pyspark.sql.window import Window
 #: One in FRACTION of all hashes is kept.
 FRACTION = 4
 SHINGLE_WORDS = 5
-#: Bound on the ranges of ids, whose first ids are sent to every executor (under 3 MB).
-MAX_RANGES = 65_536
+#: Bound on the ranges of ids, whose bounds and first ids are sent to every executor; ids that are sampled for each bound.
+MAX_RANGES, SAMPLE_PER_RANGE = 16_384, 12
 RANGE_DOCS = (256, 8192)
+#: Bounds of ranges in one branch of the table that finds a row's range.
+FAN = 128
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE_WORDS) -> Column:
@@ -37,10 +39,10 @@ def shingle_hashes(text: Column, size: int = SHINGLE_WORDS) -> Column:
 
 def sketch(text: Column, fraction: int = FRACTION) -> Column:
     """struct(n: windows of the text, head: hash of its whole window sequence, kept: sorted distinct hashes below the threshold)."""
-    bound = -(2**63) + 2**64 // fraction
+    last = -(2**63) + 2**64 // fraction - 1
 
     def made(h: Column) -> Column:
-        kept = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(bound))))
+        kept = F.array_sort(F.array_distinct(F.filter(h, lambda x: x <= F.lit(last))))
         return F.struct(F.size(h).cast("bigint").alias("n"), F.xxhash64(h).alias("head"), kept.alias("kept"))
 
     return _let(shingle_hashes(text), made)
@@ -80,27 +82,39 @@ def _let(value: Column, body) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``next_text``: the text of the next row by ascending id, and of the first row for the last.
 
-    Null ids come first; rows of one id follow the hash of their texts.  Ids are dealt to ranges of about equal
-    width; the first rows of a range are also given to the range before it, so that each range finds its rows'
-    successors alone and the texts are shuffled once.
+    Null ids come first; rows of one id follow the hash of their texts.  Rows are dealt to ranges of that order, whose
+    bounds come from a sample by hash, so that ids of any kind and spread, and many rows of one id, fall into
+    about equal ranges.  The first rows of a range are also given to the range before it, so that each range finds its rows'
+    successors alone and the texts are shuffled once.  Equal rows of one id and text share a range.
     """
     spark = docs.sparkSession
-    lo, hi, n = docs.agg(F.min(id_col).cast("decimal(20,0)"), F.max(id_col).cast("decimal(20,0)"), F.count("*")).first()
-    lo, hi = int(lo or 0), int(hi or 0)
+    place = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    n = docs.count()
     at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per = min(max(n // (8 * at_once), RANGE_DOCS[0]), RANGE_DOCS[1])
     ranges = max(1, min(MAX_RANGES, -(-n // per)))
-    width = (hi - lo) // ranges + 1
-    bucket = F.coalesce(F.floor((F.col(id_col).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("bigint"), F.lit(-1))
-    firsts = docs.groupBy(bucket.alias("b")).agg(F.min(id_col).alias("f")).orderBy("b").collect()  # MAX_RANGES + 2 rows at most
-    rows = [(r.b, r.f, firsts[i - 1].b, i == 0) for i, r in enumerate(firsts)]
-    kind = docs.schema[id_col].dataType.simpleString()
+    rate = min(1.0, SAMPLE_PER_RANGE * ranges / max(n, 1))
+    sample = docs.select(place.alias("p")).filter(F.pmod(F.xxhash64(F.lit(29), F.col("p.i"), F.col("p.h")), F.lit(1 << 30)) < rate * (1 << 30))
+    sample = sorted({(r.p.i is not None, r.p.i, r.p.h) for r in sample.distinct().collect()}, key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))  # SAMPLE_PER_RANGE * MAX_RANGES at most, in expectation
+    cuts = [sample[len(sample) * k // ranges][1:] for k in range(1, ranges)] if len(sample) >= ranges else [x[1:] for x in sample]
+    cuts = list(dict.fromkeys(cuts))
+    kind = f"struct<i:{docs.schema[id_col].dataType.simpleString()},h:bigint>"
+    tree = [cuts[k : k + FAN] for k in range(0, len(cuts), FAN)]
+    tops = [t[-1] for t in tree]
+    bounds = F.broadcast(spark.createDataFrame([(tops, tree)], f"nx_tops array<{kind}>, nx_tree array<array<{kind}>>"))
+    dealt = docs.withColumn("nx_place", place).join(bounds)
+    branch = F.size(F.filter("nx_tops", lambda x: x < F.col("nx_place")))
+    within = F.size(F.filter(F.coalesce(F.get("nx_tree", branch), F.array().cast(f"array<{kind}>")), lambda x: x < F.col("nx_place")))
+    dealt = dealt.withColumn("nx_b", (branch * FAN + within).cast("bigint")).drop("nx_tops", "nx_tree")
+
+    firsts = dealt.groupBy("nx_b").agg(F.min("nx_place").alias("f")).orderBy("nx_b").collect()  # MAX_RANGES rows at most
+    rows = [(r.nx_b, r.f, firsts[i - 1].nx_b, i == 0) for i, r in enumerate(firsts)]
     edges = F.broadcast(spark.createDataFrame(rows, f"nx_b bigint, nx_first {kind}, nx_before bigint, nx_wraps boolean"))
-    dealt = docs.withColumn("nx_b", bucket).join(edges, "nx_b")
+    dealt = dealt.join(edges, "nx_b")
     own = F.struct(F.col("nx_b").alias("b"), F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
     ghost = F.struct(F.col("nx_before").alias("b"), F.lit(True).alias("ghost"), F.col("nx_wraps").alias("wraps"))
-    copies = F.when(F.col(id_col).eqNullSafe(F.col("nx_first")), F.array(own, ghost)).otherwise(F.array(own))
-    dealt = dealt.withColumn("nx", F.explode(copies)).withColumns({"nx_b": F.col("nx.b"), "nx_ghost": F.col("nx.ghost"), "nx_wraps": F.col("nx.wraps")}).drop("nx").withColumn("nx_hash", F.xxhash64(text_col))
+    copies = F.when(F.col("nx_place") == F.col("nx_first"), F.array(own, ghost)).otherwise(F.array(own))
+    dealt = dealt.withColumn("nx", F.explode(copies)).withColumns({"nx_b": F.col("nx.b"), "nx_ghost": F.col("nx.ghost"), "nx_wraps": F.col("nx.wraps"), "nx_hash": F.col("nx_place.h")}).drop("nx", "nx_place", "nx_first")
     # A row handed down from the range above comes after the range's own rows.
     order = Window.partitionBy("nx_b").orderBy("nx_wraps", "nx_ghost", F.col(id_col).asc_nulls_first(), "nx_hash")
     return dealt.withColumn("next_text", F.lead(F.coalesce(F.col(text_col), F.lit(""))).over(order))

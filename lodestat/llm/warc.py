@@ -14,6 +14,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,16 +45,21 @@ def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of an uncompressed WARC stream."""
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line:
-            return
+def parse(stream: io.BufferedIOBase, skipped: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of every record of an uncompressed WARC stream.
+
+    What is no record is left out, up to the next line that begins one, and its fault added to ``skipped``: bytes
+    before a version line, a Content-Length that is missing or no number, a block shorter than it says.
+    """
+    skipped = [] if skipped is None else skipped
+    line = stream.readline()
+    while line:
         if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
+            if line.strip():
+                skipped.append("no version line")
+            while line and not line.startswith(b"WARC/"):
+                line = stream.readline()
+            continue
         headers: dict[str, str] = {}
         last = None
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
@@ -63,7 +69,43 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
             name, _, value = line.decode("utf-8", "replace").partition(":")
             last = name.strip().lower()
             headers[last] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length", 0)))
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            skipped.append("no content length")
+        elif len(block := stream.read(int(length))) < int(length):
+            skipped.append("truncated block")
+        else:
+            yield headers, block
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+
+
+def unchunked(body: bytes) -> bytes:
+    """The data of a chunked transfer coding; what does not follow the coding ends it."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,8}", size) or int(size, 16) == 0:
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def decoded(fields: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without transfer and content codings (chunked, gzip, deflate); as it is where it does not follow them."""
+    value = {k.lower(): v.lower() for k, v in fields}
+    body = unchunked(payload) if "chunked" in value.get("transfer-encoding", "") else payload
+    for coding in reversed([x.strip() for x in value.get("content-encoding", "").split(",")]):
+        wbits = {"gzip": [47], "x-gzip": [47], "deflate": [15, -15]}.get(coding, [])
+        for bits in wbits:
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body or payload
 
 
 def response(page_id: object, url: str | None, body: str | None, date: str = DEFAULT_DATE) -> bytes:
@@ -105,11 +147,12 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
     status = re.match(r"HTTP/\S+\s+(\d+)", http[0])
     fields = [tuple(x.strip() for x in line.split(":", 1)) for line in http[1:] if ":" in line]
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
-    charset = CHARSET.search(kind) or CHARSET.search(payload[:2048].decode("latin-1"))
+    body = decoded(fields, payload)
+    charset = CHARSET.search(kind) or CHARSET.search(body[:2048].decode("latin-1"))
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     text, links = visible_text(page)
     title = TITLE.search(page)
     source, uri, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri"), headers.get("warc-date", DEFAULT_DATE)
@@ -122,15 +165,15 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
     bodies = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), "conversion": ("text/plain; charset=utf-8", text.encode())}
     names = {k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{k} {source}')}>" for k in bodies}
     out = []
-    for what, (content, body) in bodies.items():
-        own = digest(body)
+    for what, (content, text_) in bodies.items():
+        own = digest(text_)
         lines = [("WARC-Type", what), ("WARC-Record-ID", names[what]), ("WARC-Refers-To", source), ("WARC-Date", date)]
         if uri:
             lines.append(("WARC-Target-URI", uri))
         if what == "metadata":
             lines.append(("WARC-Concurrent-To", names["conversion"]))
         lines += [("WARC-Block-Digest", own), ("Content-Type", content)]
-        out.append({"kind": what, "record_id": names[what], "refers_to": source, "target_uri": uri, "date": date, "source_type": kind, "source_status": int(status[1]) if status else None, "source_block_digest": block_digest, "source_payload_digest": payload_digest, "block_digest": own, "content_length": len(body), "n_links": len(links), "record": serialise(lines, body)})
+        out.append({"kind": what, "record_id": names[what], "refers_to": source, "target_uri": uri, "date": date, "source_type": kind, "source_status": int(status[1]) if status else None, "source_block_digest": block_digest, "source_payload_digest": payload_digest, "block_digest": own, "content_length": len(text_), "n_links": len(links), "record": serialise(lines, text_)})
     return out
 
 
@@ -148,7 +191,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derivatives(records: DataFrame, id_col: str = "id", record_col: str | Column = "record") -> DataFrame:
     """Two rows of SCHEMA, metadata and conversion, for every response among the given WARC records.
 
-    ``record`` holds the bytes of one record or of several; records of other types and null ones give nothing.
+    ``record`` holds the bytes of one record or of several; records of other types, null ones and what is no record give
+    nothing (``malformed`` counts the last).
     A map: repeated rows give repeated rows, an empty table an empty one.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -167,6 +211,24 @@ def derivatives(records: DataFrame, id_col: str = "id", record_col: str | Column
     return records.select(F.col(id_col).cast("string").alias("id"), record.alias("record")).mapInArrow(run, SCHEMA)
 
 
+def malformed(records: DataFrame, id_col: str = "id", record_col: str = "record") -> DataFrame:
+    """(id, fault, n): how often each row's bytes hold something that is no record, by fault; rows without faults give nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, faults = [], []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: list[str] = []
+                for _ in parse(io.BytesIO(raw or b""), found):
+                    pass
+                ids += [i] * len(found)
+                faults += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(faults, pa.string())], names=["id", "fault"])
+
+    rows = records.select(F.col(id_col).cast("string").alias("id"), F.col(record_col).alias("record")).mapInArrow(run, "id string, fault string")
+    return rows.groupBy("id", "fault").agg(F.count("*").alias("n"))
+
+
 _KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
 ARROW = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in SCHEMA.split(", ")])
 

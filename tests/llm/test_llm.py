@@ -438,6 +438,42 @@ def test_fingerprints(spark, edge, empty):
     assert fingerprints.fingerprints(one).first().near_next == 1.0
 
 
+def brute_sketch(spark, text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
+    if not words:
+        return (), frozenset()
+    sequence = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or [tuple(words)]
+    return tuple(sequence), frozenset(sequence)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_fingerprints_equal_brute_force_for_ids_of_any_kind(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "RANGE_DOCS", (7, 9))
+    monkeypatch.setattr(fingerprints, "FAN", 4)
+    rng = np.random.default_rng(29)
+    ids = [None, None, *range(40), *[5] * 30, 10**15, -(10**12)]
+    texts = near_copies(rng, 5, 3) + ["", "a b", "a  b", None]
+    rows = [(None if i is None else {"bigint": int, "string": "k{}".format, "double": float}[kind](i), texts[int(rng.integers(0, len(texts)))]) for i in ids]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), fraction=1).collect()
+    assert len(got) == len(rows)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, hashes[r[1]]))
+
+    def likeness(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        return len(a[1] & b[1]) / len(a[1] | b[1]) if a[1] | b[1] else 0.0
+
+    want = []
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own = brute_sketch(spark, text)
+        want.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(own, brute_sketch(spark, edited)), 9), round(likeness(own, brute_sketch(spark, after)), 9)))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
+
+
 def test_sketches_estimate_and_merge(spark):
     rng = np.random.default_rng(9)
     w = [f"t{i}" for i in rng.integers(0, 10**6, 4000)]
@@ -685,6 +721,31 @@ def test_warc_derivatives_refer_to_their_source(spark):
     assert "outlink: /n?a=1&b=2" in one["metadata"] and "source-header-content-type: text/html; charset=utf-8" in one["metadata"]
 
 
+def test_warc_leaves_out_what_is_no_record(spark):
+    good = warc.response(1, "http://x/1", "<p>one</p>")
+    short = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nblock\r\n\r\n"
+    cases = [("a", b"garbage\r\nmore\r\n" + good), ("b", bad + good), ("c", good + short), ("d", None), ("e", b""), ("f", good + b"WARC/1.1\r\n\r\n" + good), ("g", good)]
+    df = spark.createDataFrame(cases, "id string, record binary").withColumn("kind", F.lit(1))
+    got = collections.Counter(r.id for r in warc.derivatives(df).collect())
+    assert got == {"a": 2, "b": 2, "c": 2, "f": 4, "g": 2}
+    faults = {(r.id, r.fault): r.n for r in warc.malformed(df).collect()}
+    assert faults == {("a", "no version line"): 1, ("b", "no content length"): 1, ("b", "no version line"): 1, ("c", "truncated block"): 1, ("f", "no content length"): 1}
+
+
+def test_warc_reads_coded_payloads():
+    import gzip
+
+    page = b"<p>caf\xc3\xa9</p><a href=x>y</a>"
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    for fields, payload in ((b"", page), (b"Content-Encoding: gzip\r\n", packed), (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", chunked), (b"Content-Encoding: deflate\r\n", zlib.compress(page)), (b"Content-Encoding: gzip\r\n", page)):
+        block = b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n" + payload
+        made = {r["kind"]: r for r in warc.derive({"warc-record-id": "<urn:x>"}, block)}
+        assert "caf\u00e9\ny".encode() in made["conversion"]["record"] and made["metadata"]["n_links"] == 1
+        assert made["metadata"]["source_payload_digest"] == warc.digest(payload)
+
+
 def test_warc_files_read_back(spark, tmp_path):
     import gzip
 
