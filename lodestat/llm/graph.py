@@ -17,7 +17,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     every component is a star.  A node with very many edges costs partial minima and a join that can be split.
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -25,10 +24,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = checkpointed(small)
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        # Stars: no centre is a leaf, and no leaf has two centres.
+        ends = edges.select("u", F.lit(1).alias("n")).unionAll(edges.select("v", F.lit(0)).distinct())
+        if ends.groupBy("u").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter("n > 0 AND c > 1").isEmpty():
             break
-        seen = mark
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
@@ -48,7 +47,6 @@ def link_lists(
     fetch: Callable[[DataFrame], DataFrame],
     near: Callable[[str, str], Column] | None = None,
     cheap: Sequence[str] = (),
-    comps: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) such that all members of posting lists that ``test`` links are in one component.
 
@@ -62,16 +60,14 @@ def link_lists(
 
     ``fetch`` gives (id, ...) rows for the distinct ids of lists with two members or more; ``test`` maps pairs (a, b) and those
     rows to the linked pairs; ``near(suffix_a, suffix_b)`` is a necessary condition on the ``cheap`` columns,
-    checked inside the join.  ``comps`` (node, component) are components known before, which need no test within.
+    checked inside the join.
     """
     centres = posts.filter("own").groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("c"), (F.min("id") < F.max("id")).alias("many"))
     centres = centres.select("key", F.col("c.id").alias("centre"), "many")
     matched = checkpointed(posts.join(centres, "key").filter("many OR id <> centre"))
     known = fetch(matched.select("id").unionAll(matched.select("centre")).distinct())
     star = matched.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    if comps is not None:
-        star = _ends(star, comps).filter("comp_a <> comp_b").select("a", "b")
-    comps = _joined(comps, test(star, known))
+    comps = checkpointed(components(test(star, known)))
 
     lists = matched.filter("many AND id <> centre").groupBy("key", "id").agg(F.max("own").alias("own"), F.first("centre").alias("centre"))
     lists = lists.withColumns({"settled": F.lit(False), "before": F.lit(2**31 - 1)})
@@ -87,7 +83,7 @@ def link_lists(
         seat = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(CENTRES)).alias("seat")
         fresh = here.filter("todo").groupBy("key", seat).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp", *cheap)).alias("c"))
         fresh = checkpointed(fresh.select(F.col("key").alias("key_b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("id", "comp", *cheap)]))
-        comps = _joined(comps, test(_meet(here.filter("NOT settled"), fresh, near, ()), known))
+        comps = joined(comps, test(_meet(here.filter("NOT settled"), fresh, near, ()), known))
         done = fresh.select(F.col("key_b").alias("key"), F.col("id_b").alias("id"), F.lit(True).alias("was"))
         here = here.join(done, ["key", "id"], "left").withColumn("settled", F.col("settled") | F.col("was").isNotNull()).drop("was")
         lists = lists.join(crowded, "key", "left_anti").unionByName(here)
@@ -101,16 +97,14 @@ def link_lists(
     copied = lists.filter("todo").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     copied = copied.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "salt", "id", "own", "comp", *cheap)])
     last = _meet(dealt, copied, near, ("salt",), (F.col("own") | F.col("own_b")) & (~F.col("todo") | (F.col("id") < F.col("id_b"))))
-    return _joined(comps, test(last, known))
+    return joined(comps, test(last, known))
 
 
-def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components of those known and of new links (a, b) between their nodes or others.
 
     Links are first drawn between components, so that what is to be done follows the new links alone.
     """
-    if comps is None:
-        return checkpointed(components(links))
     drawn = checkpointed(_ends(links, comps).filter("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
     if drawn.isEmpty():
         return comps

@@ -5,8 +5,8 @@ share at least MATCHES of the COORDINATES values, so they meet in all but MATCHE
 first (prefix); documents without that many shared values are skipped.  Collisions are counted
 over whole signatures and pairs with MATCHES or more retained; they form families, in which
 links are confirmed on the full shingle sets.  A family of one block is compared whole in a task.  The blocks of a
-larger one are compared each within itself and with the family's pivots; what is then still apart meets again in
-the rarest shingles of its full sets.  Only spanning links are given out.
+larger one are compared each within itself and with the family's pivots; what is then outside the family's largest component
+is compared with all its blocks.  Only spanning links are given out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import checkpointed, small_or_shuffled
-from .graph import components, link_lists
+from .graph import components, joined, link_lists
 
 COORDINATES = 48
 #: Of COORDINATES values, pairs at the similarity bound share fewer than this with probability below 1e-5.
@@ -127,8 +127,17 @@ def families(classes: DataFrame, coordinates: int = COORDINATES, matches: int =
     return link_lists(chosen, test, lambda ids: classes.withColumnRenamed("node", "id"), may_agree, LOW)
 
 
-def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the given sets, each confirmed on the sets themselves."""
+def _firsts(labels: np.ndarray) -> np.ndarray:
+    """For each place the first place with the same label."""
+    _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int, comps: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the given sets, each confirmed on the sets themselves.
+
+    Sets of one known component in ``comps`` are taken as linked.
+    """
     n = len(nodes)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     if n < 2:
@@ -157,7 +166,7 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> l
             inter += x @ x.T
         common = np.triu(inter, 1).astype(np.int64)
     union = size[:, None] + size[None, :] - common
-    root = np.arange(n)
+    root = np.arange(n) if comps is None else _firsts(comps)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -174,72 +183,36 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> l
     return out
 
 
-def shingle_order(pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingles of a family's pivots, how many pivots have each)."""
-    return np.unique(np.concatenate(pivots), return_counts=True)
-
-
-def rarest(shingles: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The shingles of a set, rarest among the pivots first, of which a set linked to it must share at least one."""
-    kinds, count = order
-    at = np.minimum(np.searchsorted(kinds, shingles), len(kinds) - 1)
-    often = np.where(kinds[at] == shingles, count[at], 0)
-    return shingles[np.lexsort((shingles, often))[: len(shingles) + 1 + (-percent * len(shingles)) // 100]]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray, list[np.ndarray], list[bool]]]:
-    """(family, whether it has more blocks, nodes, their sets, whether they are pivots) of each block, from sorted rows."""
-    key, nodes, kept, chosen = None, [], [], []
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(nodes, their sets, their components) of each block, from rows sorted by block and node."""
+    key, nodes, kept, comps = None, [], [], []
     for batch in batches:
-        for fam, blocks, node, hashes, pivot, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (fam, blocks, block) != key:
+        for fam, i, j, node, hashes, comp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (fam, i, j) != key:
                 if nodes:
-                    yield key[0], key[1] > 1, np.array(nodes), kept, chosen
-                key, nodes, kept, chosen = (fam, blocks, block), [], [], []
-            if not nodes or nodes[-1] != node:  # else a repeated text of a class, or a pivot in its own block
+                    yield np.array(nodes), kept, np.array(comps)
+                key, nodes, kept, comps = (fam, i, j), [], [], []
+            if not nodes or nodes[-1] != node:  # else a repeated text of a class, or a node placed twice
                 nodes.append(node)
                 kept.append(np.frombuffer(hashes, dtype=np.uint64))
-                chosen.append(pivot)
-            chosen[-1] |= pivot
+                comps.append(comp)
     if nodes:
-        yield key[0], key[1] > 1, np.array(nodes), kept, chosen
+        yield np.array(nodes), kept, np.array(comps)
 
 
-def _linked_by_shingles(posts: DataFrame, comps: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, component) of all links, from the components of blocks and pivots and the rarest shingles (key, id).
+def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, fam, i, j, comp): places of members outside their family's largest component beside all others.
 
-    Members of a family's largest component are not tested against each other.
+    They are dealt to groups of a block's size; each is placed with every block, and every block with each group.
     """
-    large = members.filter("blocks > 1").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    most = large.groupBy("fam", "component").agg(F.count("*").alias("n")).groupBy("fam").agg(F.max(F.struct("n", "component")).alias("c"))
-    apart = checkpointed(large.join(most, "fam").filter("component <> c.component").select(F.col("node").alias("id"), F.lit(True).alias("own")))
-    if apart.isEmpty():
-        return comps
-    posts = posts.join(apart, "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    posts = checkpointed(posts.join(posts.filter("own").select("key").distinct(), "key", "left_semi"))
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = checkpointed(members.join(ids.withColumnRenamed("id", "node"), "node").select("node", "rep", "n"))
-        found = sets_of(wanted).join(wanted.select("node", "n"), "node").dropDuplicates(["node"])
-        return checkpointed(found.withColumnRenamed("node", "id"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sure = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                sure.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.filter(pa.array(sure, pa.bool_())).select([0, 1])
-
-    def test(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        left, right = (known.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(agree, "a bigint, b bigint")
-
-    def near(a: str, b: str) -> Column:
-        return F.expr(f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b})")
-
-    return link_lists(posts, test, fetch, near, ["n"], comps)
+    large = members.filter("blocks > 1").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    most = large.groupBy("fam", "comp").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("most"))
+    large = large.join(most, "fam").withColumn("out", F.col("comp") != F.col("most.comp"))
+    groups = large.filter("out").groupBy("fam").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("groups"))
+    large = large.join(groups, "fam")
+    inside = large.select("node", "fam", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j"), "comp")
+    outside = large.filter("out").select("node", "fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(5), "node"), F.col("groups")).cast("int").alias("j"), "comp")
+    return inside.unionByName(outside)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,27 +250,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = 16 if docs.schema[id_col].dataType.typeName() != "struct" else 64
     seat = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(PIVOTS)).alias("seat")
     pivots = members.filter("blocks > 1").groupBy("fam", seat).agg(F.min(F.struct(F.xxhash64(F.lit(8), "node").alias("h"), "node", "blocks")).alias("c"))
-    pivots = pivots.select("c.node", "fam", "c.blocks", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("block"), F.lit(True).alias("pivot"))
-    place = checkpointed(members.select("node", "fam", "blocks", "block", F.lit(False).alias("pivot")).unionByName(pivots))
-    tasks = sets_of(members).join(small_or_shuffled(place, 40), "node").repartition("fam", "block").sortWithinPartitions("fam", "block", "node")
+    pivots = pivots.select("c.node", "fam", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("i"))
+    whole = members.select("node", "fam", F.col("block").alias("i")).unionByName(pivots)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fam, many, nodes, kept, chosen in _blocks(batches):
-            links = spanning_links(nodes, kept, percent)
+        for nodes, kept, known in _blocks(batches):
+            links = spanning_links(nodes, kept, percent, known)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64()), pa.array([False] * len(links))], names=["a", "b", "post"])
-            if many:
-                order = shingle_order([x for x, c in zip(kept, chosen, strict=True) if c])
-                rare = [rarest(x, order, percent) for x in kept]
-                at = np.repeat(nodes, [len(x) for x in rare])
-                key = K.mix(np.concatenate(rare) ^ K.mix(np.array([fam], dtype=np.int64).view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array(np.ones(len(at), dtype=bool))], names=["a", "b", "post"])
-
-    told = tasks.select("fam", "blocks", "node", "hashes", "pivot", "block").mapInArrow(confirm, "a bigint, b bigint, post boolean")
-    told = checkpointed(told)
-    comps = checkpointed(components(told.filter("NOT post").select("a", "b")))
-    posts = told.filter("post").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    comps = _linked_by_shingles(posts, comps, members, sets_of, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def confirmed(place: DataFrame, reps: DataFrame) -> DataFrame:
+        tasks = sets_of(reps).join(small_or_shuffled(checkpointed(place), 48), "node").repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j", "node")
+        return tasks.select("fam", "i", "j", "node", "hashes", "comp").mapInArrow(confirm, "a bigint, b bigint")
+
+    comps = checkpointed(components(confirmed(whole.withColumns({"j": F.lit(0), "comp": F.col("node")}), members)))
+    apart = checkpointed(_apart(members, comps))
+    if not apart.isEmpty():
+        comps = joined(comps, confirmed(apart, members.join(apart.select("fam").distinct(), "fam", "left_semi")))
     named = classes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
