@@ -15,8 +15,8 @@ SCALES = [4, 8, 16]
 
 
 def r(df, *names, digits=6):
-    """``df`` with the named columns rounded, and -0 as 0."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
+    """``df`` with the named columns rounded, and -0 as 0; first to six digits, so that a tie of decimal values is one whatever the order of sums."""
+    return df.select(*[(F.round(F.round(c, max(digits, 6)), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _by_spread(df, column):
@@ -76,7 +76,7 @@ def _haar(levels: int) -> str:
     return out + " " + " UNION ALL ".join(parts)
 
 
-_MSD = "WITH {daily}, x AS (SELECT series_id, t, CASE WHEN row_number() OVER w = 1 OR lead(t) OVER w IS NULL THEN 0.0 ELSE power(value - {centre}, 2) END AS d FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t){more}) SELECT t, round(sum(d), 3) AS msd FROM x GROUP BY t"
+_MSD = "WITH {daily}, x AS (SELECT series_id, t, CASE WHEN row_number() OVER w = 1 OR lead(t) OVER w IS NULL THEN 0.0 ELSE power(value - {centre}, 2) END AS d FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t){more}) SELECT t, round(round(sum(d), 6), 3) AS msd FROM x GROUP BY t"
 _POWER = f"WITH {DAILY}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM s{{flat}}), e AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM n), g AS (SELECT series_id, k, n, sum(value * cos(2.0 * {math.pi!r} * k * (t - 1) / n)) AS c, sum(value * sin(2.0 * {math.pi!r} * k * (t - 1) / n)) AS z FROM e GROUP BY ALL), h AS (SELECT series_id, CAST(k AS INT) AS k, k * 1.0 / n AS freq, (CASE WHEN k = 0 OR k * 2 = n THEN 1.0 ELSE 2.0 END) * (c * c + z * z) / n AS power FROM g)"
 
 SQL = {
