@@ -15,8 +15,8 @@ SCALES = [4, 8, 16]
 
 
 def r(df, *names, digits=6):
-    """``df`` with the named columns rounded, and -0 as 0; first to six digits, so that a tie of decimal values is one whatever the order of sums."""
-    return df.select(*[(F.round(F.round(c, max(digits, 6)), digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
+    """``df`` with the named columns rounded, and -0 as 0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _by_spread(df, column):
@@ -33,6 +33,12 @@ def _daily(spark, sf_dir):
     return series(e, "event_type", ["day"], "value")
 
 
+def _msd(spark, sf_dir, **kind):
+    """Squared displacements of daily sums, rounded to six digits and then three: ties do not hang on the order of sums."""
+    out = T.msd(_daily(spark, sf_dir).withColumnRenamed("series_id", "var_id"), 5, **kind)
+    return r(out.select(F.col("t").cast("bigint").alias("t"), F.round("msd", 6).alias("msd")), "msd", digits=3)
+
+
 DAILY = "s AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY day) AS t, value FROM (SELECT event_type, day(ts) AS day, sum(value) AS value FROM events GROUP BY 1, 2))"
 
 QUERIES = {
@@ -53,9 +59,9 @@ QUERIES = {
     "psd_hurst_dft": lambda s, d: r(T.dft_hurst(_daily(s, d), 1.0, (0.05, 0.45)), "slope", "hurst", "r2", digits=5),
     "welch_psd": lambda s, d: r(T.welch_psd(user_series(s, d), 1.0, "hann", 32, 0.1), "freq", "power"),
     "psd_hurst": lambda s, d: r(T.psd_hurst(user_series(s, d), 1.0, (0.02, 0.4), 32), "slope", "hurst", "r2"),
-    "msd_previous": lambda s, d: r(T.msd(_daily(s, d).withColumnRenamed("series_id", "var_id"), 5).withColumn("t", F.col("t").cast("bigint")), "msd", digits=3),
-    "msd_symmetric": lambda s, d: r(T.msd(_daily(s, d).withColumnRenamed("series_id", "var_id"), 5, symmetric=True).withColumn("t", F.col("t").cast("bigint")), "msd", digits=3),
-    "msd_median": lambda s, d: r(T.msd(_daily(s, d).withColumnRenamed("series_id", "var_id"), 5, robust=True).withColumn("t", F.col("t").cast("bigint")), "msd", digits=3),
+    "msd_previous": lambda s, d: _msd(s, d),
+    "msd_symmetric": lambda s, d: _msd(s, d, symmetric=True),
+    "msd_median": lambda s, d: _msd(s, d, robust=True),
     "lag_correlation": lambda s, d: r(T.lag_pairs(user_series(s, d)).groupBy("series_id").agg(F.corr("value", "ahead").alias("r")), "r"),
 }
 
