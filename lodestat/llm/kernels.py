@@ -7,6 +7,7 @@ texts of about ``limit`` bytes; memory is bounded by that or by the longest text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,15 @@ def release() -> None:
     """Empty the caches of other operators, which a reused worker still holds, and give unused memory back."""
     for empty in CACHES:
         empty()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: Arrow's and, where the C library can, that of its heap."""
     pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

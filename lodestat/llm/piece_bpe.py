@@ -247,6 +247,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        K.trim()  # words in the cache stay for the next task
         for batch in batches:
             n, ids, texts, ids_sha, text_sha = [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -265,6 +266,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, text_col: s
             if with_text:
                 columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        K.trim()
 
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
