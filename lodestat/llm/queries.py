@@ -1,4 +1,4 @@
-"""Queries of this subpackage: op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""Queries of this subpackage, one for each numbered operator, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, warc
+from . import alignment, fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, warc
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
@@ -65,12 +65,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(linear.score(docs, linear.fitted(sample, linear.fit_toxicity)), 5, 0)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity)
+    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity, op13_alignment)
     return {f.__name__: f for f in found}
 
 
