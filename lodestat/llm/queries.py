@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, warc
+from . import alignment, conversations, fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, sql, warc
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(linear.score(docs, linear.fitted(sample, linear.fit_toxicity)), 5, 0)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(documents(spark, sf_dir, "conversations")), times=F.col("times"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir))
 
@@ -74,9 +78,9 @@ def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity, op13_alignment)
+    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity, op11_conversations, op13_alignment)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_conversations": sql.CONVERSATIONS}
