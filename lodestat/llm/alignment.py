@@ -343,6 +343,20 @@ def _given_out(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *lists], names=["block", "best", "total"])
 
 
+def _summed(parts: pa.Table) -> pa.Table:
+    """Sums of a block's documents from the arrays of its splits."""
+    totals = [np.zeros(0, dtype=np.int64)] * 2
+    for k, name in enumerate(("best", "total")):
+        for piece in parts.column(name).chunks:
+            for row in piece:
+                values = row.values.to_numpy()
+                if len(values) > len(totals[k]):
+                    totals[k] = np.concatenate([totals[k], np.zeros(len(values) - len(totals[k]), dtype=np.int64)])
+                totals[k][: len(values)] += values
+    n = len(totals[0])
+    return pa.table({"block": pa.array(np.full(n, parts.column("block")[0].as_py())), "place": pa.array(np.arange(n, dtype=np.int32)), "n_best": pa.array(totals[0]), "count_sum": pa.array(totals[1])})
+
+
 def align(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and ``groups_sha256``.
 
@@ -366,7 +380,7 @@ def align(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", a_pat
     stream = header.unionByName(postings.withColumn("s", F.pmod(F.hash("block"), splits))).withColumn("g", group)
     sorted_stream = stream.repartition("g", "s").sortWithinPartitions("g", "s", "a", F.col("block").asc_nulls_first())
     parts = sorted_stream.select("block", "bs", "runs", "places", "mults").mapInArrow(_contributions, "block bigint, best array<bigint>, total array<bigint>")
-    summed = parts.select("block", F.posexplode(F.arrays_zip("best", "total")).alias("place", "p")).groupBy("block", "place").agg(F.sum("p.best").alias("n_best"), F.sum("p.total").alias("count_sum"))
+    summed = parts.groupBy("block").applyInArrow(_summed, "block bigint, place int, n_best bigint, count_sum bigint")
     rows = made.filter(F.col("a").isNull()).drop("a", "bs", "runs", "places", "mults")
     out = rows.join(summed, ["block", "place"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
