@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, conversations, fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, sql, warc
+from . import alignment, conversations, fingerprints, flatgraph, langid, linear, lines, minhash, mixing, piece_bpe, sql, urlfilter, warc
 from .common import documents, remainder
 
 #: Labelled rows of each class that the classifiers are fitted on.
@@ -69,6 +69,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(documents(spark, sf_dir, "conversations")), times=F.col("times"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(documents(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir))
 
@@ -78,9 +82,9 @@ def _classified(scored: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity, op11_conversations, op13_alignment)
+    found = (op1_flat_graph, op2_language, op3_line_dedup, op4_sentencepiece, op5_quality, op6_fingerprints, op7_mixing, op8_minhash, op9_warc, op10_toxicity, op11_conversations, op12_url_filter, op13_alignment)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_conversations": sql.CONVERSATIONS}
+    return {"op11_conversations": sql.CONVERSATIONS, "op12_url_filter": sql.URLS}

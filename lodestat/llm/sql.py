@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .urlfilter import ALPHABET, BEGIN, END, MODELS, ORDER, RANGE, RULES, STEPS
+
 
 def crc32(text: str) -> str:
     """CRC-32 of an expression of ASCII text."""
@@ -77,4 +79,49 @@ LEFT JOIN repaired r ON i.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
 
+def _urls() -> str:
+    """Counts and estimates level by level as in the operator, each level a table of its own."""
+    ordered = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in ordered]
+    level = [(v, m) for v in ("allow", "block") for m in MODELS]
+    sums = ", ".join(f"sum({' + '.join(v + h for h in MODELS[m])}) AS n_{v}_{m}" for v, m in level)
+    tables = []
+    for k in range(1, ORDER + 2):
+        shorter = {(v, m): f"t.k_{v}_{m}" if k > 1 else f"(1.0::DOUBLE / {ALPHABET})" for v, m in level}
+        estimate = ", ".join(f"CASE WHEN s_{v}_{m} > 0 THEN (n_{v}_{m} + t_{v}_{m} * {shorter[v, m]}) / (s_{v}_{m} + t_{v}_{m}) ELSE {shorter[v, m]} END AS k_{v}_{m}" for v, m in level)
+        behind = ", ".join(f"sum(n_{v}_{m}) AS s_{v}_{m}, sum(CASE WHEN n_{v}_{m} > 0 THEN 1 ELSE 0 END) AS t_{v}_{m}" for v, m in level)
+        tables.append(f"""
+g{k} AS (SELECT substr(w, {ORDER + 2 - k}, {k}) AS g, {sums} FROM counts GROUP BY 1
+), b{k} AS (SELECT left(g, {k - 1}) AS context, {behind} FROM g{k} GROUP BY 1
+), e{k} AS (SELECT x.g, {estimate} FROM g{k} x JOIN b{k} b ON b.context = left(x.g, {k - 1}) {f"JOIN e{k - 1} t ON t.g = substr(x.g, 2)" if k > 1 else ""}
+)""")
+    ratio = ", ".join(f"CAST(round((ln(k_allow_{m}) - ln(k_block_{m})) * 1e9) AS BIGINT) AS m_{m}" for m in MODELS)
+    return f"""
+WITH urls AS (
+  SELECT url, weight, host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)} END AS rule, CASE {' '.join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)} END AS verdict,
+    CASE WHEN sha256(url) < '8' THEN 0 ELSE 1 END AS half, length(host || path) + 1 AS size
+  FROM (SELECT url, weight, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT url, count(*) AS weight, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM (SELECT coalesce(url, '') AS url FROM pages) GROUP BY url))
+), windows AS (
+  SELECT url, weight, verdict, half, size, substr(repeat('{BEGIN}', {ORDER}) || host || path || '{END}', CAST(i AS BIGINT), {ORDER + 1}) AS w FROM urls, LATERAL (SELECT unnest(range(1, size + 1))) t(i)
+), counts AS (
+  SELECT w, {', '.join(f"sum(CASE WHEN verdict = '{v}' AND half = {h} THEN weight ELSE 0 END) AS {v}{h}" for v in ('allow', 'block') for h in (0, 1))} FROM windows GROUP BY w
+), {','.join(tables)}, ratios AS (SELECT g, {ratio} FROM e{ORDER + 1}
+), scored AS (
+  SELECT url, {', '.join(f'CAST(sum(m_{m}) AS BIGINT) AS m_{m}' for m in MODELS)} FROM windows JOIN ratios ON w = g GROUP BY url
+), found AS (
+  SELECT u.*, m_all / CAST(size AS DOUBLE) / 1e9 AS score, CAST(least(greatest(floor((CASE WHEN half = 0 THEN m_0 ELSE m_1 END) / CAST(size AS DOUBLE) / 1e9 * {STEPS}), {-RANGE * STEPS}), {RANGE * STEPS}) AS BIGINT) AS step FROM urls u JOIN scored s USING (url)
+), bins AS (
+  SELECT step, sum(CASE verdict WHEN 'allow' THEN weight ELSE 0 END) AS a, sum(CASE verdict WHEN 'block' THEN weight ELSE 0 END) AS b FROM found WHERE verdict IS NOT NULL GROUP BY step
+  UNION ALL SELECT {RANGE * STEPS + 1}, 0, 0
+), totals AS (SELECT sum(a) AS all_a, sum(b) AS all_b FROM bins
+), rated AS (
+  SELECT step, (all_a - (sum(a) OVER w - a)) * all_b + (sum(b) OVER w - b) * all_a AS rate, all_a * all_b > 0 AS both_kinds FROM bins, totals WINDOW w AS (ORDER BY step)
+), bound AS (SELECT coalesce((SELECT step FROM rated WHERE both_kinds ORDER BY rate DESC, abs(step), step LIMIT 1), 0) / CAST({STEPS} AS DOUBLE) AS bound
+)
+SELECT p.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE WHEN f.score >= bound THEN 'allow' ELSE 'block' END) AS verdict FROM pages p JOIN found f ON coalesce(p.url, '') = f.url, bound
+"""
+
+
 CONVERSATIONS = _conversations()
+URLS = _urls()
