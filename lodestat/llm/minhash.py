@@ -244,10 +244,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(reps: DataFrame) -> DataFrame:
         """(node, hashes) of the texts with the given ids, once for each text."""
-        texts = docs.select(id_col, F.col(text_col).cast("string").alias("t")).join(small_or_shuffled(reps.select(F.col("rep").alias(id_col)).distinct(), wide), id_col, "left_semi")
+        few = small_or_shuffled(reps.select("rep").distinct(), wide)
+        texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("t")).join(few, F.col("doc").eqNullSafe(F.col("rep")), "left_semi")
         return texts.select("t").mapInArrow(sets, "node bigint, hashes binary")
 
-    wide = 16 if docs.schema[id_col].dataType.typeName() != "struct" else 64
+    wide = 16
+    if docs.schema[id_col].dataType.typeName() in ("string", "binary", "struct", "array", "map"):  # of any length
+        wide += classes.agg(F.max(F.octet_length(F.col("rep").cast("string")))).first()[0] or 0
     seat = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(PIVOTS)).alias("seat")
     pivots = members.filter("blocks > 1").groupBy("fam", seat).agg(F.min(F.struct(F.xxhash64(F.lit(8), "node").alias("h"), "node", "blocks")).alias("c"))
     pivots = pivots.select("c.node", "fam", F.explode(F.sequence(F.lit(0), F.col("c.blocks") - 1)).alias("i"))
