@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import checkpointed
 
-#: Labelled texts that an automaton is built from, whole, and the bytes over which a text is only taken where its language has no shorter one.
-TRAIN_ROWS, TRAIN_TEXT_BYTES = 24, 4096
+#: Labelled texts of a language that an automaton is built from, whatever their length, and the pieces and characters that each of them gives
+#: at most: a longer text gives so many pieces at even distances from its beginning to its end.
+TRAIN_ROWS, TRAIN_PIECES, TRAIN_PIECE_CHARS = 24, 16, 4096
 #: Languages whose automata a Python worker holds at once; with more, the texts go round again for each group.
 LANGUAGES_AT_ONCE = 16
 WINDOW = 256
@@ -189,22 +190,29 @@ def _built(samples: tuple[tuple[str, tuple[bytes, ...]], ...]) -> LanguageModel:
 K.CACHES.append(_built.cache_clear)
 
 
-def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_TEXT_BYTES, seed: int = 3) -> dict[str, list[bytes]]:
-    """What is learnt: ``rows`` labelled texts a language at most, whole, in the order of a hash of the text.
+def _learnt(text: Column) -> Column:
+    """The text, or evenly spaced pieces of one that is longer than they are together."""
+    size, pieces = F.length(text), F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1))
+    at = lambda i: (1 + F.floor(i * (size - TRAIN_PIECE_CHARS) / (TRAIN_PIECES - 1))).cast("int")
+    cut = F.array_join(F.transform(pieces, lambda i: F.substring(text, at(i), F.lit(TRAIN_PIECE_CHARS))), "\n")
+    return F.when(size > TRAIN_PIECES * TRAIN_PIECE_CHARS, cut).otherwise(text)
 
-    Texts of up to ``text_bytes`` bytes are taken; a language without any has its shortest text.  Null languages
+
+def train(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, seed: int = 3) -> dict[str, list[bytes]]:
+    """What is learnt: ``rows`` labelled texts a language at most, drawn by a hash of the text whatever their length.
+
+    Each gives at most TRAIN_PIECES pieces, spread evenly over the whole text.  Null languages
     and texts, and texts without a letter, are left out; equal texts count once; the choice does not depend on partitions.
     """
     known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("size"), F.xxhash64(F.lit(seed), text_col).alias("h"))
-    short = F.col("size") <= text_bytes
-    found = known.groupBy("l").agg(F.approx_count_distinct(F.when(short, F.col("h"))).alias("n"), F.min(F.struct("size", "h")).alias("least")).collect()  # one row a language
+    known = known.select(F.col(lang_col).alias("l"), _learnt(F.col(text_col)).alias("t"), F.xxhash64(F.lit(seed), text_col).alias("h"))
+    found = known.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min(F.pmod("h", F.lit(1 << 30))).alias("least")).collect()  # one row a language
     if not found:
         return {}
-    plan = [(r.l, min(1.0, 2 * rows / r.n) if r.n else 0.0, r.least.h if not r.n else None) for r in found]
-    rates = F.broadcast(docs.sparkSession.createDataFrame(plan, f"l {known.schema['l'].dataType.simpleString()}, rate double, only bigint"))
+    plan = [(r.l, max(int(min(1.0, 2 * rows / r.n) * (1 << 30)), r.least + 1)) for r in found]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(plan, f"l {known.schema['l'].dataType.simpleString()}, below bigint"))
     near = F.pmod("h", F.lit(1 << 30))
-    chosen = known.join(rates, "l").filter((short & (near < F.col("rate") * (1 << 30))) | (F.col("h") == F.col("only")))
+    chosen = known.join(rates, "l").filter(near < F.col("below"))
     texts: dict[str, list[bytes]] = {}
     for r in sorted(chosen.groupBy("l", near.alias("near")).agg(F.min("t").alias("t")).collect(), key=lambda r: (r.near, r.t)):  # about 2 * rows texts a language
         texts.setdefault(r.l, []).append(r.t.encode())
