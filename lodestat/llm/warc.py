@@ -8,7 +8,6 @@ to the response by WARC-Refers-To and keep its target URI and date; digests are
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import io
@@ -49,7 +48,8 @@ def parse(stream: io.BufferedIOBase, skipped: list[str] | None = None) -> Iterat
     """(headers by lower-case name, block) of every record of an uncompressed WARC stream.
 
     What is no record is left out, up to the next line that begins one, and its fault added to ``skipped``: bytes
-    before a version line, a Content-Length that is missing or no number, a block shorter than it says.
+    before a version line, a Content-Length that is missing or no number, a block shorter than it says, or one behind which
+    neither an empty line nor a record begins while a record begins within it.
     """
     skipped = [] if skipped is None else skipped
     line = stream.readline()
@@ -72,10 +72,21 @@ def parse(stream: io.BufferedIOBase, skipped: list[str] | None = None) -> Iterat
         length = headers.get("content-length", "")
         if not (length.isascii() and length.isdigit()):
             skipped.append("no content length")
-        elif len(block := stream.read(int(length))) < int(length):
-            skipped.append("truncated block")
         else:
-            yield headers, block
+            block = stream.read(int(length))
+            line = stream.readline()
+            short = len(block) < int(length)
+            within = re.search(rb"\nWARC/\d", block) if short or not (line in (b"\r\n", b"\n", b"") or line.startswith(b"WARC/")) else None
+            if short or within:
+                skipped.append("truncated block" if short else "block beyond its record")
+            else:
+                yield headers, block
+            if within:  # go on with the record that the block ran into
+                stream = io.BytesIO(block[within.start() + 1 :] + line + stream.read())
+                line = stream.readline()
+            while line in (b"\r\n", b"\n"):
+                line = stream.readline()
+            continue
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
             line = stream.readline()
@@ -151,7 +162,7 @@ def derive(headers: dict[str, str], block: bytes) -> list[dict]:
     charset = CHARSET.search(kind) or CHARSET.search(body[:2048].decode("latin-1"))
     try:
         page = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no such charset, or one that can't be replaced into text
         page = body.decode("utf-8", "replace")
     text, links = visible_text(page)
     title = TITLE.search(page)
@@ -233,13 +244,34 @@ _KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binar
 ARROW = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in SCHEMA.split(", ")])
 
 
+def _unzipped(content: bytes) -> bytes:
+    """The data of gzip members, up to where they are cut off or damaged."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            for lo in range(0, len(content), 1 << 16):
+                out.append(member.decompress(content[lo : lo + (1 << 16)]))
+                if member.eof:
+                    content = member.unused_data + content[lo + (1 << 16) :]
+                    break
+            else:
+                break
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record): the records of WARC files, plain or gzipped; ``id`` is file and number of the record."""
+    """(id, record): the records of WARC files, plain or gzipped; ``id`` is file and number of the record.
+
+    Of a gzipped file that is cut off or damaged the records before that place are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+                stream = io.BytesIO(_unzipped(content) if content[:2] == b"\x1f\x8b" else content)
                 for n, (headers, block) in enumerate(parse(stream)):
                     raw = serialise([(k, v) for k, v in headers.items() if k != "content-length"], block)
                     yield pa.RecordBatch.from_arrays([pa.array([f"{name}#{n}"]), pa.array([raw], pa.binary())], names=["id", "record"])
