@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import clustering as K
 from ..operators import imputation as I
 from ..operators import linalg as L
+from ..operators import mixed as X
 from ..operators import multivariate as M
 from ..operators import outliers as O
 from ..operators import plotdata as P
@@ -17,7 +18,7 @@ from ..operators import resample as B
 from ..operators import resampled as R
 from ..operators import univariate as U
 from .series import r
-from .tables import blocks, days, table, weeks, wide_vectors
+from .tables import WEEKS, blocks, days, table, weeks, wide_vectors
 
 DIMS = 8
 
@@ -252,9 +253,44 @@ def _volume_lda(s, d):
     return r(R.group_lda_map(voxels, voxels.select("x", "y", "z"), onsets, splits=10), "value", digits=4)
 
 
+def _components_to(x, digits):
+    """Coefficients to four digits, variances, whose search ends near its goal, to fewer."""
+    return x.withColumn("estimate", F.when(F.col("term").startswith("var") | (F.col("term") == "residual"), F.round("estimate", digits)).otherwise(F.round("estimate", 4)) + 0.0)
+
+
+LMM, LMM_PANEL = "y ~ t + grp + (1 | subject)", "y ~ t + n + (1 | subject)"
+
+
+def _week_dummies(s, d):
+    return weeks(s, d).select("subject", "y", *[F.when(F.col("t") == k, 1.0).otherwise(0.0).alias(f"w{k}") for k in (1, 2, 3)])
+
+
+def _panel(s, d):
+    """(subject, t, n, y): mean click value of each user and week, null where there is none, and the user's number of events."""
+    e = table(s, d, "events")
+    users = e.groupBy(F.col("user_id").alias("subject")).agg(F.count("*").cast("double").alias("n"))
+    w = F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(3)).cast("int")
+    y = e.filter("event_type = 'click'").groupBy(F.col("user_id").alias("subject"), w.alias("t")).agg(F.avg("value").alias("y"))
+    return users.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).join(y, ["subject", "t"], "left")
+
+
+def _controls(s, d, covariates):
+    """Users with even ids against those with odd ones, who count as controls with their mean over weeks."""
+    p = _panel(s, d)
+    other = p.filter("subject % 2 = 1").groupBy("subject").agg(F.avg("y").alias("y"), F.first("n").alias("n"))
+    return X.against_controls(p.filter("subject % 2 = 0"), other, LMM_PANEL, "t", covariates, 1000)
+
+
 QUERIES = {
-    "lmm_bootstrap": lambda s, d: _terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)),
-    "lmm_bootstrap_fdr": lambda s, d: U.fdr(_terms(R.mixed_bootstrap(weeks(s, d), "y", ["t", "grp"], "subject", 40)).filter("term <> '(intercept)'"), "p"),
+    "lmm_fit": lambda s, d: _components_to(r(X.fit(weeks(s, d), LMM), "se", digits=4), 1).drop("t"),
+    "lmm_slopes": lambda s, d: r(X.fit(weeks(s, d), "y ~ t + grp + t:grp + (1 + t | subject)"), "estimate", "se", "t", digits=4),
+    "lmm_bootstrap": lambda s, d: _terms(X.bootstrap(weeks(s, d), LMM, 1000)),
+    "lmm_bootstrap_fdr": lambda s, d: U.fdr(_terms(X.bootstrap(weeks(s, d), LMM, 1000)).filter("term <> '(intercept)'"), "p"),
+    "lmm_contrasts": lambda s, d: _terms(X.bootstrap(_week_dummies(s, d), "y ~ w1 + w2 + w3 + (1 | subject)", 1000, [("w1", "w2"), ("w1", "w3"), ("w2", "w3")]).filter("term LIKE '%-%'")),
+    "lmm_time_courses": lambda s, d: r(B.boot_summary(X.time_courses(_panel(s, d), LMM_PANEL, "t", 1000), "mean", ["how", "time"]), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
+    "lmm_changes": lambda s, d: r(B.boot_summary(X.time_courses(_panel(s, d), LMM_PANEL, "t", 1000).filter("time > 0"), "change", ["how", "time"]), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
+    "lmm_controls": lambda s, d: r(B.boot_summary(_controls(s, d, []), "diff", ["how", "time"]), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
+    "lmm_controls_adjusted": lambda s, d: r(B.boot_summary(_controls(s, d, ["n"]), "diff", ["how", "time"]), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
     "lmm_bootstrap_impute": lambda s, d: r(B.boot_summary(R.mixed_bootstrap_impute(days(s, d), "value", "day", "user_id", 40), "change", ["time"]).filter("time > 1"), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
     "reg_boot": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n", "m"], ["id"], reps=50)),
     "reg_boot_delta": lambda s, d: _terms(R.reg_boot(_orders(s, d), "y", ["n"], ["id"], tried="m", reps=50)),
@@ -323,6 +359,20 @@ def _pct(p: float) -> str:
     return f"round(sum(CASE WHEN k = floor({at}) THEN value * (1 - ({at} - floor({at}))) END) + coalesce(sum(CASE WHEN k = floor({at}) + 1 THEN value * ({at} - floor({at})) END), 0), 6)"
 
 
+# Each user has all four weeks, so that the model's estimates are those of the analysis of variance; a negative variance of users is
+# zero, and both mean squares are pooled.
+_LMM = f"""WITH {WEEKS}, m AS (SELECT subject, grp, avg(y) AS m FROM w GROUP BY 1, 2), g AS (SELECT grp, count(*) AS n, avg(m) AS m FROM m GROUP BY 1),
+b AS (SELECT sum((t - 1.5) * y) / sum((t - 1.5) * (t - 1.5)) AS b FROM w),
+e AS (SELECT sum((y - m - b * (t - 1.5)) * (y - m - b * (t - 1.5))) AS ss, count(DISTINCT subject) AS n FROM w JOIN m USING (subject), b),
+s AS (SELECT 4 * sum((m.m - g.m) * (m.m - g.m)) AS ss FROM m JOIN g USING (grp)),
+v AS (SELECT n, CASE WHEN s.ss / (n - 2) > e.ss / (3 * n - 1) THEN e.ss / (3 * n - 1) ELSE (e.ss + s.ss) / (4 * n - 3) END AS r, s.ss / (n - 2) AS between, e.ss / (3 * n - 1) AS within FROM e, s),
+c AS (SELECT n, r, greatest(between - within, 0) / 4 AS u FROM v),
+z AS (SELECT n, r, u, u + r / 4 AS h, (SELECT n FROM g WHERE grp = 0) AS n0, (SELECT n FROM g WHERE grp = 1) AS n1, (SELECT m FROM g WHERE grp = 0) AS m0, (SELECT m FROM g WHERE grp = 1) AS m1, b FROM c, b)
+SELECT term, CASE WHEN term LIKE 'var%' OR term = 'residual' THEN round(estimate, 1) ELSE round(estimate, 4) END AS estimate, round(se, 4) AS se FROM (
+SELECT '(intercept)' AS term, m0 - 1.5 * b AS estimate, sqrt(h / n0 + 2.25 * r / (5 * n)) AS se FROM z UNION ALL SELECT 't', b, sqrt(r / (5 * n)) FROM z UNION ALL SELECT 'grp', m1 - m0, sqrt(h * (1.0 / n0 + 1.0 / n1)) FROM z
+UNION ALL SELECT 'var((intercept),(intercept))', u, NULL FROM z UNION ALL SELECT 'residual', r, NULL FROM z)"""
+
 SQL = {
+    "lmm_fit": _LMM,
     "hazen_percentiles": f"WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, {_pct(0.05)} AS p05, {_pct(0.5)} AS p50, {_pct(0.95)} AS p95 FROM x GROUP BY 1",
 }
