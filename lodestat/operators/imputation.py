@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, with_totals
+from .ecm import ecm_array
 from .resample import hash_int
 
 
@@ -135,38 +136,8 @@ def impute_svd(x: np.ndarray, kind: str = "soft", count: int = 100, rank: int =
 
 
 def ecm_mle(x: np.ndarray, rounds: int = 50, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(mean, covariance, negative log-likelihoods) of an incomplete multivariate normal (Meng and Rubin, 1993).
-
-    Rows are grouped by their pattern of missing cells, so that a pattern needs one solve a round.
-    """
-    x = x[np.isfinite(x).any(axis=1)]
-    n, d = x.shape
-    mean = np.nanmean(x, axis=0)
-    dev = np.where(np.isfinite(x), x - mean, 0.0)
-    cov = dev.T @ dev / n + 1e-9 * np.eye(d)
-    patterns: dict[bytes, list[int]] = {}
-    for i, row in enumerate(np.isfinite(x)):
-        patterns.setdefault(row.tobytes(), []).append(i)
-    trace: list[float] = []
-    for _ in range(rounds):
-        filled, extra, like = x.copy(), np.zeros((d, d)), 0.0
-        for key, rows in patterns.items():
-            o = np.frombuffer(key, dtype=bool)
-            m = ~o
-            coo = cov[np.ix_(o, o)]
-            dev = x[np.ix_(rows, np.flatnonzero(o))] - mean[o]
-            sol = np.linalg.solve(coo, dev.T)
-            like += 0.5 * (len(rows) * (np.linalg.slogdet(coo)[1] + o.sum() * math.log(2 * math.pi)) + float((dev.T * sol).sum()))
-            if m.any():
-                filled[np.ix_(rows, np.flatnonzero(m))] = mean[m] + (cov[np.ix_(m, o)] @ sol).T
-                extra[np.ix_(m, m)] += len(rows) * (cov[np.ix_(m, m)] - cov[np.ix_(m, o)] @ np.linalg.solve(coo, cov[np.ix_(o, m)]))
-        trace.append(like)
-        mean = filled.mean(axis=0)
-        dev = filled - mean
-        cov = (dev.T @ dev + extra) / n
-        if len(trace) > 1 and abs(trace[-2] - trace[-1]) < tol * max(abs(trace[-1]), 1.0):
-            break
-    return mean, cov, trace
+    """(mean, covariance, negative log-likelihoods) of an incomplete multivariate normal, one matrix in memory; ``ecm.ecm_rows`` is the form for tables."""
+    return ecm_array(x, rounds, tol)
 
 
 def matfac(x: np.ndarray, rank: int, lam: float = 1e-3, rounds: int = 100, tries: int = 3, seed: int = 1, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

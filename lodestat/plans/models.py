@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.stats import percentiles
+from ..functions.stats import finite, percentiles
 from ..operators import classify as C
 from ..operators import clustering as K
+from ..operators import ecm as E
+from ..operators import factor as A
 from ..operators import imputation as I
 from ..operators import linalg as L
 from ..operators import mixed as X
@@ -18,7 +20,7 @@ from ..operators import resample as B
 from ..operators import resampled as R
 from ..operators import univariate as U
 from .series import r
-from .tables import WEEKS, blocks, days, table, weeks, wide_vectors
+from .tables import DAYS, WEEKS, blocks, days, table, weeks, wide_vectors
 
 DIMS = 8
 
@@ -197,12 +199,36 @@ def _holdout(kind):
     return run
 
 
+def _day_rows(s, d):
+    """(row, x): each user's days as an array."""
+    return E.array_of(days(s, d), "user_id", "day", finite("value"), list(range(1, 31))).persist()
+
+
 def _ecm(s, d):
-    x = days(s, d).toPandas().pivot(index="user_id", columns="day", values="value").to_numpy(dtype=float)
-    mean, cov, trace = I.ecm_mle(x)
+    mean, cov, trace = E.ecm_rows(_day_rows(s, d), "x", 30)
     return _frame(s, [(i + 1, j + 1, float(mean[i]), float(cov[i, j]), float(trace[-1])) for i in range(len(mean)) for j in range(len(mean))], "i int, j int, mean_i double, cov double, objective double")
 
 
+def _ecm_objective(s, d):
+    """The negative log-likelihood at independent columns with their own mean and variance."""
+    rows = _day_rows(s, d)
+    mean, spread = A.column_moments(rows, "x", 30)
+    return r(_frame(s, [(E.objective(rows, "x", mean, np.diag(spread**2)),)], "objective double"), "objective", digits=3)
+
+
+def _filled_days(s, d, kind):
+    """Whole tables of users by days, filled by row blocks: (user_id, day, filled)."""
+    rows = _day_rows(s, d)
+    if kind == "soft":
+        *_, model = A.soft_path(rows, "x", 30, 10)
+    elif kind == "hard":
+        model = A.fit_rows(rows, "x", 30, 2, 1e-3, rounds=50, tol=1e-6)
+    else:
+        model = A.fit_rows(rows, "x", 30, 1, 0.1, rounds=50, tol=1e-6)
+    out = A.filled(rows, "x", model, ["row"]).select(F.col("row").alias("user_id"), F.posexplode("filled").alias("day", "filled"))
+    return r(out.withColumn("day", F.col("day") + 1), "filled", digits=4)
+
+
 def _band(s, d):
     x = table(s, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").cast("double").alias("x"), F.avg("o_totalprice").alias("y"))
     grid = s.createDataFrame([(float(v),) for v in (5, 10, 15, 20)], "x0 double")
@@ -326,13 +352,14 @@ QUERIES = {
     "mixture_shared": _mixture(shared=True),
     "mixture_scaled_shared": _mixture(scaled=True, shared=True, prior=1.0),
     "covariance_generalization": _cov_generalization,
-    "impute_svd_soft": _impute("soft"),
-    "impute_svd_hard": _impute("hard"),
-    "impute_als": _impute("als"),
+    "impute_svd_soft": lambda s, d: _filled_days(s, d, "soft"),
+    "impute_svd_hard": lambda s, d: _filled_days(s, d, "hard"),
+    "impute_als": lambda s, d: _filled_days(s, d, "als"),
     "impute_mlr": _impute("mlr"),
     "impute_pls": _impute("pls"),
     "impute_svd_modeltest": _holdout("soft"),
     "ecm_mle": _ecm,
+    "ecm_objective": _ecm_objective,
     **{f"{m}_path": _path(m) for m in C.FITS},
     "ld_ic_path": lambda s, d: _path(C.with_components(C.FITS["ld_pc"], 4))(s, d),
     "lr_ic_path": lambda s, d: _path(C.with_components(C.FITS["lr_pc"], 4))(s, d),
@@ -374,5 +401,6 @@ UNION ALL SELECT 'var((intercept),(intercept))', u, NULL FROM z UNION ALL SELECT
 
 SQL = {
     "lmm_fit": _LMM,
+    "ecm_objective": f"WITH {DAYS}, m AS (SELECT day, count(value) AS n, avg(value) AS mean, var_samp(value) AS v, coalesce(var_pop(value) * count(value), 0) AS ss FROM d GROUP BY day) SELECT round(sum(0.5 * (n * (ln(CASE WHEN v > 0 THEN v ELSE 1 END) + ln(2 * pi())) + ss / CASE WHEN v > 0 THEN v ELSE 1 END)), 3) AS objective FROM m",
     "hazen_percentiles": f"WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, {_pct(0.05)} AS p05, {_pct(0.5)} AS p50, {_pct(0.95)} AS p95 FROM x GROUP BY 1",
 }
