@@ -2,7 +2,8 @@
 
 Every source is cut into blocks by a seeded hash of its documents.  A source's quota is an
 exact number of block draws: whole passes over its blocks, then the first blocks of the permutation up
-to the words still wanted, then single documents of the block at the edge.  A binary tree splits
+to the words still wanted, then single documents of the blocks at the edge, and, while words are wanted that a later document
+could fill, the documents of later blocks that fit, in turns.  A binary tree splits
 the vector of quotas among the output shards: each node draws how many blocks of each source go left from
 the multivariate hypergeometric distribution, so that shards have equally many blocks and quotas stay exact.
 Each shard takes its own disjoint range of every source's permuted draws, and is shuffled within itself.
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_BYTES, WORD, checkpointed
 
 BLOCK_DOCS = 16
-#: Blocks from the edge on whose documents may fill the last words of a quota.
+#: Blocks from the edge on from which the nearest sum of documents is taken in one turn.
 EDGE_BLOCKS = 4
 SUPER_BLOCKS = 512
 WORDS_PER_SHARD = 20_000_000
@@ -113,11 +114,14 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
     in_block = _with_source(base, per.select(F.col("s").alias("s2"), "n", "blocks", "wanted"), "s2", count * 64, rows)
     in_block = in_block.select("s", "w", "h", "wanted", F.pmod("h", F.col("blocks")).alias("block"))
     edges = checkpointed(_edges(in_block, SUPER_BLOCKS))
-    picks = _picks(in_block, edges)
-    named = edges.join(picks, edges.s.eqNullSafe(picks.s3), "left").select(F.col("s").alias("s2"), F.col("block").alias("edge"), "picks")
-    per = per.join(named, per.s.eqNullSafe(named.s2), "left").drop("s2").withColumn("picks", F.coalesce("picks", F.array().cast("array<bigint>")))
+    extra = _extras(in_block, edges)
+    named = edges.join(extra, edges.s.eqNullSafe(extra.s3), "left").select(F.col("s").alias("s2"), F.col("block").alias("edge"), "picks", "ranges")
+    per = per.join(named, per.s.eqNullSafe(named.s2), "left").drop("s2").withColumns({"picks": F.coalesce("picks", F.array().cast("array<bigint>")), "ranges": F.coalesce("ranges", F.array().cast(RANGES))})
+    # A range that goes on to the end ends with the source's blocks.
+    per = per.withColumn("ranges", F.transform("ranges", lambda x: F.struct(x["lo"].alias("lo"), F.least(x["to"], F.col("blocks").cast("bigint")).alias("to"), x["most"].alias("most"))))
     per = per.withColumn("first", F.coalesce("edge", F.when(F.col("wanted") == 0, 0).otherwise(F.col("blocks"))))
-    per = per.withColumn("draws", F.col("passes") * F.col("blocks") + F.col("first") + (F.size("picks") > 0).cast("int"))
+    last = F.greatest(F.col("first") + (F.size("picks") > 0).cast("int"), F.coalesce(F.array_max(F.transform("ranges", lambda x: x["to"])), F.lit(0)))
+    per = per.withColumn("draws", F.col("passes") * F.col("blocks") + last)
 
     if shards is None:
         shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-total // WORDS_PER_SHARD)))
@@ -129,22 +133,25 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
         rng = np.random.default_rng([seed, int(group["tree"][0].as_py())])
         bounds = np.cumsum(splitting_tree(draws, shards, rng), axis=0).T
         steps = [_permutation(int(n), rng) for n in draws]
-        out = group.select(["s", "n", "w", "target", "blocks", "passes", "first", "picks", "draws"])
+        out = group.select(["s", "n", "w", "target", "blocks", "passes", "first", "picks", "ranges", "draws"])
+        ranges = pa.array(out["ranges"].to_pylist(), pa.list_(pa.struct([(x, pa.int64()) for x in ("lo", "to", "most")])))
+        out = out.set_column(out.schema.get_field_index("ranges"), "ranges", ranges)
         return out.append_column("step", pa.array([x for x, _ in steps], pa.int64())).append_column("shift", pa.array([x for _, x in steps], pa.int64())).append_column("bounds", pa.array(list(bounds), pa.list_(pa.int64())))
 
-    columns = per.select("s", "rank", "n", "w", "target", "blocks", "passes", "first", "picks", F.col("draws").cast("bigint").alias("draws"), F.floor(F.col("rank") / TREE_SOURCES).cast("bigint").alias("tree"))
+    columns = per.select("s", "rank", "n", "w", "target", "blocks", "passes", "first", "picks", "ranges", F.col("draws").cast("bigint").alias("draws"), F.floor(F.col("rank") / TREE_SOURCES).cast("bigint").alias("tree"))
     columns = columns.withColumns({"blocks": F.col("blocks").cast("bigint"), "first": F.col("first").cast("bigint")})
-    plan = columns.groupBy("tree").applyInArrow(split, f"s {kind}, n bigint, w bigint, target double, blocks bigint, passes int, first bigint, picks array<bigint>, draws bigint, step bigint, shift bigint, bounds array<bigint>")
-    plan = checkpointed(plan).select(F.col("s").alias("p_source"), F.col("n").alias("n"), F.col("w").alias("mix_source_size"), F.col("target").alias("mix_target"), *[F.col(c).alias(f"p_{c}") for c in ("blocks", "passes", "first", "picks", "draws", "step", "shift", "bounds")])
+    plan = columns.groupBy("tree").applyInArrow(split, f"s {kind}, n bigint, w bigint, target double, blocks bigint, passes int, first bigint, picks array<bigint>, ranges {RANGES}, draws bigint, step bigint, shift bigint, bounds array<bigint>")
+    plan = checkpointed(plan).select(F.col("s").alias("p_source"), F.col("n").alias("n"), F.col("w").alias("mix_source_size"), F.col("target").alias("mix_target"), *[F.col(c).alias(f"p_{c}") for c in ("blocks", "passes", "first", "picks", "ranges", "draws", "step", "shift", "bounds")])
 
     drawn = _with_source(sized, plan.withColumnRenamed("n", "p_n"), "p_source", count * (8 * shards + 512), rows, source_col, "p_n")
     drawn = drawn.withColumn("p_hash", row_hash).withColumn("p_block", F.pmod("p_hash", F.col("p_blocks")))
-    extra = (F.col("p_block") < F.col("p_first")) | F.array_contains("p_picks", F.col("p_hash"))
+    drawn = drawn.withColumn("p_ranged", F.exists("p_ranges", lambda x: (F.col("p_block") >= x["lo"]) & (F.col("p_block") < x["to"]) & (F.col("mix_size") > 0) & (F.col("mix_size") <= x["most"])))
+    extra = (F.col("p_block") < F.col("p_first")) | F.col("p_ranged") | F.array_contains("p_picks", F.col("p_hash"))
     drawn = drawn.withColumn("mix_copies", F.col("p_passes") + extra.cast("int"))
     place = f"""
         transform(filter(sequence(0, {max_repeat}), e -> e < mix_copies), e -> struct(
             e AS epoch,
-            cast(size(filter(p_bounds, b -> b <= pmod((e * p_blocks + if(e = p_passes, least(p_block, p_first), p_block)) * p_step + p_shift, greatest(p_draws, 1)))) AS int) AS shard,
+            cast(size(filter(p_bounds, b -> b <= pmod((e * p_blocks + if(e = p_passes AND NOT p_ranged, least(p_block, p_first), p_block)) * p_step + p_shift, greatest(p_draws, 1)))) AS int) AS shard,
             xxhash64({seed}, p_hash, e) AS place))
     """
     kept = [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_places"]
@@ -209,7 +216,7 @@ def _edges(in_block: DataFrame, fan: int) -> DataFrame:
 
 
 def _picks(in_block: DataFrame, edges: DataFrame) -> DataFrame:
-    """(s3, picks): documents from each source's edge on whose words come nearest to those still wanted.
+    """(s3, picks, reached): documents from each source's edge on whose words come nearest to those still wanted, and their words.
 
     The blocks from the edge on hold about EDGE_BLOCKS * BLOCK_DOCS documents of a source, in one task.
     """
@@ -219,10 +226,49 @@ def _picks(in_block: DataFrame, edges: DataFrame) -> DataFrame:
 
     def nearest(group: pa.Table) -> pa.Table:
         group = group.sort_by("h")
-        picks = nearest_subset(list(zip(group["h"].to_pylist(), group["w"].to_pylist(), strict=True)), group["goal"][0].as_py())
-        return group.select(["s"]).slice(0, 1).append_column("picks", pa.array([picks], pa.list_(pa.int64())))
+        sizes = dict(zip(group["h"].to_pylist(), group["w"].to_pylist(), strict=True))
+        picks = nearest_subset(list(sizes.items()), group["goal"][0].as_py())
+        return group.select(["s"]).slice(0, 1).append_column("picks", pa.array([picks], pa.list_(pa.int64()))).append_column("reached", pa.array([sum(sizes[h] for h in picks)], pa.int64()))
+
+    return rows.groupBy("s").applyInArrow(nearest, f"s {in_block.schema['s'].dataType.simpleString()}, picks array<bigint>, reached bigint").withColumnRenamed("s", "s3")
+
+
+#: Blocks from ``lo`` before ``to`` whose documents of ``most`` words at most are taken.
+RANGES = "array<struct<lo:bigint,to:bigint,most:bigint>>"
+
 
-    return rows.groupBy("s").applyInArrow(nearest, f"s {in_block.schema['s'].dataType.simpleString()}, picks array<bigint>").withColumnRenamed("s", "s3")
+def _extras(in_block: DataFrame, edges: DataFrame) -> DataFrame:
+    """(s3, picks, ranges): what is taken from the edge block of each source on.
+
+    A turn takes the nearest sum of documents of some blocks.  If words are still wanted then, no document left in them fits, and the
+    next turn goes through the later blocks' documents of that size at most: those before the new edge are a range.
+    A turn leaves fewer words than the smallest document that did not fit; it ends when no later document fits.
+    """
+    none = F.array().cast(RANGES)
+    goal = edges.join(in_block.groupBy(F.col("s").alias("s4")).agg(F.first("wanted").alias("wanted")), F.col("s").eqNullSafe(F.col("s4"))).select("s", "block", (F.col("wanted") - F.col("before")).alias("goal"))
+    picks = _picks(in_block, edges)
+    joined = goal.join(picks, F.col("s").eqNullSafe(F.col("s3")), "left")
+    turn = checkpointed(joined.select("s", F.coalesce("picks", F.array().cast("array<bigint>")).alias("picks"), none.alias("ranges"), (F.col("block") + EDGE_BLOCKS).alias("lo"), (F.col("goal") - F.coalesce("reached", F.lit(0))).cast("bigint").alias("left")))
+    found = turn.select("s", "picks", "ranges")
+    while True:
+        open_ = turn.filter("left > 0").select(F.col("s").alias("s4"), "lo", "left")
+        rows = in_block.join(open_, F.col("s").eqNullSafe(F.col("s4")) & (F.col("block") >= F.col("lo")) & (F.col("w") > 0) & (F.col("w") <= F.col("left")))
+        rows = checkpointed(rows.select("s", "w", "h", F.col("left").alias("wanted"), "block", "lo"))
+        if rows.isEmpty():
+            break
+        some = rows.groupBy("s").agg(F.first("wanted").alias("most"), F.first("lo").alias("lo"))
+        next_ = checkpointed(_edges(rows, SUPER_BLOCKS))
+        picks = _picks(rows, next_)
+        named = next_.select(F.col("s").alias("e_s"), F.col("block").alias("to"), "before").join(picks, F.col("e_s").eqNullSafe(F.col("s3")), "left")
+        joined = some.join(named, F.col("s").eqNullSafe(F.col("e_s")), "left")
+        end = F.coalesce("to", F.lit(2**62)).cast("bigint")
+        left = F.when(F.col("to").isNull(), 0).otherwise(F.col("most") - F.col("before") - F.coalesce("reached", F.lit(0))).cast("bigint")
+        ranges = F.array(F.struct(F.col("lo").cast("bigint").alias("lo"), end.alias("to"), F.col("most").cast("bigint").alias("most"))).cast(RANGES)
+        turn = checkpointed(joined.select("s", F.coalesce("picks", F.array().cast("array<bigint>")).alias("picks"), ranges.alias("ranges"), (end + EDGE_BLOCKS).alias("lo"), left.alias("left")))
+        more = turn.select(F.col("s").alias("m_s"), F.col("picks").alias("m_picks"), F.col("ranges").alias("m_ranges"))
+        both = found.join(more, F.col("s").eqNullSafe(F.col("m_s")), "left")
+        found = checkpointed(both.select("s", F.concat("picks", F.coalesce("m_picks", F.array().cast("array<bigint>"))).alias("picks"), F.concat("ranges", F.coalesce("m_ranges", none)).alias("ranges")))
+    return found.select(F.col("s").alias("s3"), "picks", "ranges")
 
 
 def nearest_subset(items: list[tuple[int, int]], target: int) -> list[int]:
