@@ -15,10 +15,12 @@ from ..operators import linalg as L
 from ..operators import mixed as X
 from ..operators import multivariate as M
 from ..operators import outliers as O
+from ..operators import parcels as V
 from ..operators import plotdata as P
 from ..operators import resample as B
 from ..operators import resampled as R
 from ..operators import univariate as U
+from ..operators import volume_lda as W
 from .series import r
 from .tables import DAYS, WEEKS, blocks, days, table, weeks, wide_vectors
 
@@ -220,7 +222,7 @@ def _filled_days(s, d, kind):
     """Whole tables of users by days, filled by row blocks: (user_id, day, filled)."""
     rows = _day_rows(s, d)
     if kind == "soft":
-        *_, model = A.soft_path(rows, "x", 30, 10)
+        *_, model = A.soft_path(rows, "x", 30, 4, rounds=15)
     elif kind == "hard":
         model = A.fit_rows(rows, "x", 30, 2, 1e-3, rounds=50, tol=1e-6)
     else:
@@ -276,7 +278,36 @@ def _volume_lda(s, d):
     e = table(s, d, "events").groupBy((F.col("user_id") % 6).cast("int").alias("subject"), F.dayofmonth("ts").alias("t"), F.hash("event_type").alias("h")).agg(F.avg("value").alias("value"))
     voxels = e.select("subject", F.pmod("h", F.lit(3)).alias("x"), F.pmod(F.floor(F.col("h") / 3), F.lit(3)).cast("int").alias("y"), F.lit(0).alias("z"), "t", "value").groupBy("subject", "x", "y", "z", "t").agg(F.avg("value").alias("value"))
     onsets = e.select("subject", "t").distinct().withColumn("label", F.when(F.col("t") % 3 == 0, 0).when(F.col("t") % 3 == 1, 1).otherwise(-1))
-    return r(R.group_lda_map(voxels, voxels.select("x", "y", "z"), onsets, splits=10), "value", digits=4)
+    return voxels, voxels.select("x", "y", "z"), onsets
+
+
+def _volume_curves(s, d):
+    _, curves = W.group_map(*_volume_lda(s, d))
+    return _frame(s, [(c["k"], c["r"], c["p"], c["d"]) for c in curves], "k int, r double, p double, d double")
+
+
+def _parcel_rows(s, d):
+    """Users as voxels, event types as subjects and days as times: mean values."""
+    e = table(s, d, "events").select("user_id", "event_type", F.dayofmonth("ts").alias("day"), "value")
+    return V.voxel_rows(e, "user_id", "event_type", "day", "value")
+
+
+def _parcels(kind):
+    def run(s, d):
+        rows, subjects, times = _parcel_rows(s, d)
+        rows = rows.persist()
+        model = V.fit(rows, len(subjects), len(times), 3, kind, rounds=20, start="random")
+        return r(V.labelled(rows, model), "responsibility", "scale", digits=4)
+
+    return run
+
+
+def _parcel_maps(s, d):
+    rows, subjects, times = _parcel_rows(s, d)
+    rows = rows.persist()
+    fixed = rows.select("voxel", (F.col("voxel") % 3).cast("int").alias("cluster"))
+    model = V.fit(rows, len(subjects), len(times), 3, "network", rounds=10, parcels=fixed)
+    return r(V.subject_maps(rows, model, subjects), "weight", "r", digits=4)
 
 
 def _components_to(x, digits):
@@ -326,7 +357,10 @@ QUERIES = {
     "pls_predict": _pls_predict,
     "npls_bootstrap": _npls_boot,
     "matfac_three_way": _matfac3,
-    "group_lda_map": _volume_lda,
+    "group_lda_map": lambda s, d: r(W.group_map(*_volume_lda(s, d))[0], "value", digits=4),
+    "group_lda_curves": _volume_curves,
+    **{f"parcels_{k}": _parcels(k) for k in V.KINDS},
+    "parcel_subject_maps": _parcel_maps,
     "lda_splithalf": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 2), "vec_id", "x", "label"), "r", "p", "d", digits=5),
     "lda_group": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 10), "vec_id", "x", "label").groupBy("k").agg(F.median("r").alias("r"), F.median("p").alias("p")), "r", "p", digits=5),
     "lda_optimum": lambda s, d: r(M.rp_optimum(M.split_halves(_two(s, d), _plan(s, d, 6), "vec_id", "x", "label"), ["rep"]), "d", digits=5),

@@ -53,6 +53,57 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, x int, y int, z int, t int, value double")
 
 
+def header(spark: SparkSession, path: str) -> bytes:
+    """The first 352 bytes of a volume: geometry, affine and history."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"head": [(gzip.decompress(bytes(c)) if bytes(c[:2]) == b"\x1f\x8b" else bytes(c))[:352] for c in pdf["content"]]})
+
+    return bytes(raw.mapInPandas(run, "head binary").first().head)
+
+
+def like(head: bytes, data: np.ndarray) -> bytes:
+    """A float64 volume with the geometry of another's header and the extent of ``data``; scaling and extensions are not taken over."""
+    end = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
+    out = bytearray(head[:352])
+    data = data.reshape(data.shape + (1,) * (4 - data.ndim))
+    struct.pack_into(f"{end}8h", out, 40, 3 if data.shape[3] == 1 else 4, *data.shape, 1, 1, 1)
+    struct.pack_into(f"{end}2h", out, 70, 64, 64)
+    struct.pack_into(f"{end}f", out, 108, 352.0)
+    struct.pack_into(f"{end}2f", out, 112, 1.0, 0.0)
+    out[344:352] = b"n+1\0\0\0\0\0"
+    return bytes(out) + np.asfortranarray(data, dtype=f"{end}f8").tobytes(order="F")
+
+
+def volume_content(values: DataFrame, head: bytes) -> DataFrame:
+    """(content): the volume of rows (x, y, z, value) in the geometry of ``head``, made in a task; voxels without a row are 0."""
+    end = "<" if struct.unpack("<i", head[:4])[0] == 348 else ">"
+    shape = tuple(max(1, d) for d in struct.unpack(f"{end}8h", head[40:56])[1:4])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = np.zeros(shape)
+        for pdf in batches:
+            data[pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["z"].to_numpy()] = pdf["value"].fillna(0.0).to_numpy()
+        yield pd.DataFrame({"content": [like(head, data)]})
+
+    return values.select("x", "y", "z", "value").coalesce(1).mapInPandas(run, "content binary")  # one volume is one file
+
+
+def write_volume(values: DataFrame, head: bytes, path: str) -> None:
+    """The rows (x, y, z, value) as a volume at ``path``, on any file system that Spark reaches."""
+    spark = values.sparkSession
+    content = bytes(volume_content(values.repartition(1), head).first().content)  # the file itself
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def masked(volumes: DataFrame, mask: DataFrame) -> DataFrame:
     """Voxels where the mask is not zero."""
     return volumes.join(mask.filter("value <> 0").select("x", "y", "z").distinct(), ["x", "y", "z"], "left_semi")
