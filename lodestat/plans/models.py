@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import clustering as K
 from ..operators import ecm as E
 from ..operators import factor as A
+from ..operators import halves as H
 from ..operators import imputation as I
 from ..operators import linalg as L
 from ..operators import mixed as X
@@ -180,17 +181,13 @@ def _nested(s, d):
     return s.createDataFrame(C.nested_cv(x, y, C.FITS["ld_l2"], 4, 4))
 
 
-def _quadratic(kind):
-    def run(s, d):
-        _, x, y = _sample(s, d)
-        rows = []
-        for k, (lam, m) in enumerate(C.qd_models(x[::2], y[::2], kind)):
-            g = C.qd_map(m, x)
-            acc = float(((C.qd_scores(m, x[1::2]) > 0) == (y[1::2] == 1)).mean())
-            rows += [(k, float(lam), acc, i, float(v)) for i, v in enumerate(g)]
-        return _frame(s, rows, "step int, setting double, accuracy double, var_id int, gradient double")
+def _halves(method, held=True, posterior=False):
+    """Split-half curves of all vectors of the two classes, in all dimensions."""
+    return lambda s, d: r(H.split_half_paths(_whole_two(s, d), "vec_id", "x", "label", method, 64, 10, held=held, posterior=posterior)[0], "r", "p", "g", "d", digits=5)
 
-    return run
+
+def _reference(method):
+    return lambda s, d: r(H.split_half_paths(_whole_two(s, d), "vec_id", "x", "label", method, 64, 2)[1], "value", digits=4)
 
 
 def _holdout(kind):
@@ -401,9 +398,11 @@ QUERIES = {
     "ld_two_splits": _path("ld_l2", held=False),
     "ld_posterior": _path("ld_l2", posterior=True),
     "lr_posterior": _path("lr_l2", posterior=True),
-    "qd_l2": _quadratic("L2"),
-    "qd_l1": _quadratic("L1"),
-    "qd_nr": _quadratic("NR"),
+    **{m: _halves(m) for m in ("qd_l2", "qd_l1", "qd_nr")},
+    **{f"{m}_two_splits": _halves(m, held=False) for m in ("qd_l2", "qd_l1", "qd_nr")},
+    **{f"{m}_posterior": _halves(m, posterior=True) for m in ("qd_l2", "qd_nr")},
+    **{f"{m}_map": _reference(m) for m in ("qd_l2", "qd_l1", "qd_nr")},
+    **{f"{m}_whole": _halves(m) for m in ("ld_l2", "ld_pc")},
     "nested_cv": _nested,
     "cd_sets": lambda s, d: r(P.cd_sets(blocks(s, d), "event_type", "user_id", "value"), "mean_rank"),
     "box_ci": lambda s, d: r(P.box_ci(blocks(s, d), ["event_type"], "value", ["user_id"], 100), "av", "se", "bsr", "ci_low", "ci_high", digits=4),
