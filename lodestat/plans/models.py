@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import clustering as K
 from ..operators import ecm as E
 from ..operators import factor as A
+from ..operators import gcca as G
 from ..operators import halves as H
 from ..operators import imputation as I
 from ..operators import linalg as L
@@ -18,6 +19,7 @@ from ..operators import multivariate as M
 from ..operators import outliers as O
 from ..operators import parcels as V
 from ..operators import plotdata as P
+from ..operators import plsc as Y
 from ..operators import resample as B
 from ..operators import resampled as R
 from ..operators import univariate as U
@@ -83,41 +85,46 @@ def _mixture(**options):
 
 
 def _gcca(s, d):
-    u, val, corr = M.gcca(_subjects(s, d), 4, 2)
-    return _frame(s, [(c, i, float(u[i, c]), float(val[c]), float(corr[c])) for c in range(u.shape[1]) for i in range(len(u))], "component int, sample int, variate double, eigenvalue double, correlation double")
+    """Eight subjects of eight dimensions each over all vectors."""
+    rows, found = G.fit_rows(wide_vectors(s, d), "vec_id", "x", 8, 4, 2)
+    of = _frame(s, [(c, float(v), float(r)) for c, (v, r) in enumerate(zip(found.value, found.correlation, strict=True))], "component int, eigenvalue double, correlation double")
+    return r(rows.withColumnRenamed("value", "variate").join(F.broadcast(of), "component"), "variate", "eigenvalue", "correlation", digits=6)
 
 
 def _gcca_resample(s, d):
-    rep, z = M.gcca_resample(_subjects(s, d), 4, 2, 10)
-    return _frame(s, [(c, i, float(z[i, c]), float(rep[c])) for c in range(z.shape[1]) for i in range(len(z))], "component int, sample int, z double, reproducibility double")
+    ((_, rep, rows),) = G.resample_rows(wide_vectors(s, d), "vec_id", "x", 8, [4], 2, 20, strata=[0, 0, 0, 0, 1, 1, 1, 1])
+    of = _frame(s, [(c, float(v)) for c, v in enumerate(rep)], "component int, reproducibility double")
+    return r(rows.withColumnRenamed("value", "z").join(F.broadcast(of), "component"), "z", "reproducibility", digits=5)
 
 
 def _gcca_multi(s, d):
-    rows = []
-    for k in (2, 3, 4):
-        rep, _ = M.gcca_resample(_subjects(s, d), k, 2, 6)
-        rows += [(k, c, float(v)) for c, v in enumerate(rep)]
+    rows = [(k, c, float(v)) for k, rep, _ in G.resample_rows(wide_vectors(s, d), "vec_id", "x", 8, [2, 3, 4], 2, 20) for c, v in enumerate(rep)]
     return _frame(s, rows, "kpc int, component int, reproducibility double")
 
 
 def _plsc(task):
+    """The whole embedding of all vectors of the two classes; for behaviour its last three dimensions are Y."""
+
     def run(s, d):
-        ids, x, y = _sample(s, d, 16)
+        x = _whole_two(s, d)
         if task:
-            out = M.plsc_task(x[:, :8], y, ids, factors=1, perms=50, boots=50)
+            p, out = 64, Y.analyse_task(x, "vec_id", "x", 64, "label", factors=1)
         else:
-            out = M.plsc(x[:, :8], x[:, 8:11], y, ids, factors=2, perms=50, boots=50)
-        rows = [(f, i, float(out["x_salience"][i, f]), float(out["bsr"][i, f]), float(out["fraction"][f]), float(out["p"][f])) for f in range(out["x_salience"].shape[1]) for i in range(len(out["x_salience"]))]
+            sides = x.select("vec_id", "label", F.slice("x", 1, 61).alias("x"), F.slice("x", 62, 3).alias("y"))
+            p, out = 61, Y.analyse(sides, "vec_id", "x", "y", 61, 3, "label", factors=2)
+        rows = [(f, i, float(out["x_salience"][i, f]), float(out["bsr"][i, f]), float(out["fraction"][f]), float(out["p"][f])) for f in range(out["x_salience"].shape[1]) for i in range(p)]
         return _frame(s, rows, "factor int, var_id int, salience double, bsr double, fraction double, p double")
 
     return run
 
 
+def _trilinear(s, d, factors, boots):
+    x = _whole_two(s, d).select("vec_id", "x", F.array(F.col("label").cast("double")).alias("y"))
+    return Y.analyse_trilinear(x, "vec_id", "x", "y", (8, 8), factors, boots)
+
+
 def _npls(s, d):
-    _, x, y = _sample(s, d, 16)
-    rows = []
-    for f, (a, b, c) in enumerate(M.npls(x.reshape(len(x), 4, 4), y.astype(float), 2)):
-        rows += [(f, i, j, float(a[i] * b[j]), c) for i in range(4) for j in range(4)]
+    rows = [(f, i, j, float(m["first"][i] * m["second"][j]), m["covariance"]) for f, m in enumerate(_trilinear(s, d, 2, 0)) for i in range(8) for j in range(8)]
     return _frame(s, rows, "factor int, i int, j int, weight double, covariance double")
 
 
@@ -259,8 +266,7 @@ def _pls_predict(s, d):
 
 
 def _npls_boot(s, d):
-    ids, x, y = _sample(s, d, 16, 120)
-    rows = [(f, m, i, float(v)) for f, modes in enumerate(R.npls_bootstrap(x.reshape(len(x), 4, 4), y.astype(float), 1, ids, 50)) for m, bsr in enumerate(modes) for i, v in enumerate(bsr)]
+    rows = [(f, m, i, float(v)) for f, found in enumerate(_trilinear(s, d, 1, 500)) for m, name in enumerate(("first_bsr", "second_bsr")) for i, v in enumerate(found[name])]
     return _frame(s, rows, "factor int, mode int, i int, bsr double")
 
 
