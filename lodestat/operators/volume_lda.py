@@ -183,3 +183,75 @@ def run_files(spark, runs: dict[object, str], mask_path: str, onsets: DataFrame,
     if out_prefix is not None:
         nifti.write_volume(found, nifti.header(spark, next(iter(runs.values()))), f"{out_prefix}_LDA_SPM_group.nii")
     return found, table
+
+
+def sample_variates(s: Samples, one: np.ndarray, two: np.ndarray, ks: list[int], share: float = 0.5) -> tuple[list[dict], np.ndarray]:
+    """(k, r, p, d) of canonical variates of two halves of samples for each number of components, and the optimum's z map as a combination of samples.
+
+    Features are the first ``share`` of the principal components of all samples, uncentred; variates are found in the components of each half's centred features and
+    turned to agree with those of all samples by their class means.  Halves without both classes give nothing.
+    """
+    use = np.concatenate([one, two])
+    if any(len(np.unique(s.label[h])) < 2 for h in (one, two)):
+        return [], np.zeros(len(s.label))
+    val, vec = np.linalg.eigh(s.products[np.ix_(use, use)])
+    order = np.argsort(-val)
+    keep = order[: max(1, min(round(len(use) * share), int((val > 1e-10 * max(val.max(), 1e-300)).sum())))]
+    size = np.sqrt(val[keep])
+    features, y = vec[:, keep] * size, s.label[use]
+    basis = np.zeros((len(s.label), len(keep)))
+    basis[use] = vec[:, keep] / size
+
+    def fitted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = features[at] - features[at].mean(axis=0)
+        _, spread, axes = np.linalg.svd(c, full_matrices=False)
+        return c, axes[: int((spread > 1e-10 * spread[0]).sum())], y[at]
+
+    def variate(c: np.ndarray, axes: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        t = c @ axes[:k].T
+        a, b = t[label == 1], t[label != 1]
+        within = ((a - a.mean(axis=0)).T @ (a - a.mean(axis=0)) + (b - b.mean(axis=0)).T @ (b - b.mean(axis=0))) / max(len(t) - 2, 1)
+        w = np.linalg.lstsq(within, a.mean(axis=0) - b.mean(axis=0), rcond=None)[0]
+        dx = axes[:k].T @ w / math.sqrt(max(float(w @ within @ w), 1e-300))
+        return dx, np.array([(c[label == g] @ dx).mean() for g in (1, 0)])
+
+    first = np.arange(len(use)) < len(one)
+    whole, parts = fitted(np.arange(len(use))), [fitted(np.flatnonzero(h)) for h in (first, ~first)]
+    table, best = [], (math.inf, np.zeros(len(s.label)))
+    for k in ks:
+        if k > min(len(p[1]) for p in (whole, *parts)):
+            continue
+        _, reference = variate(*whole, k)
+        found = []
+        for part in parts:
+            dx, mean = variate(*part, k)
+            turn = -1.0 if ((mean - reference) ** 2).sum() > ((mean + reference) ** 2).sum() else 1.0
+            found.append((dx * turn, mean * turn))
+        r, z = reproducible(s, *(basis @ dx for dx, _ in found))
+        p = []
+        for (dx, mean), (c, _, label) in zip(found, parts[::-1], strict=True):
+            q = posterior(c @ dx, mean[0], mean[1])
+            p.append(float(np.where(label == 1, q, 1 - q).mean()))
+        d = math.hypot(1 - r, 1 - np.mean(p))
+        table.append({"k": k, "r": r, "p": float(np.mean(p)), "d": d})
+        best = min(best, (d, z), key=lambda x: x[0])
+    return table, best[1]
+
+
+def kernel_ridge(s: Samples, at: np.ndarray, count: int = 10, lmax: float = 2.0) -> list[tuple[float, np.ndarray]]:
+    """(lambda, combination of samples) of ridge discriminants in their dual form: (K + lambda I)^-1 y for products K of the samples ``at``.
+
+    For fewer samples than voxels; the map is that of (X X' + lambda I)^-1 X y over voxels.  Lambda goes from the inverse of to ``lmax`` times the trace.
+    """
+    k, y = s.products[np.ix_(at, at)], s.label[at].astype(float)
+    if len(np.unique(y)) < 2:
+        return []
+    y = y / y.sum() - (1 - y) / (1 - y).sum()
+    y /= np.linalg.norm(y)
+    top = max(lmax * float(np.trace(k)), 1.0 + 1e-9)
+    out = []
+    for lam in np.exp(np.linspace(-math.log(top), math.log(top), count)):
+        a = np.zeros(len(s.label))
+        a[at] = np.linalg.solve(k + lam * np.eye(len(k)), y)
+        out.append((float(lam), a))
+    return out

@@ -289,6 +289,24 @@ def _volume_curves(s, d):
     return _frame(s, [(c["k"], c["r"], c["p"], c["d"]) for c in curves], "k int, r double, p double, d double")
 
 
+def _volume_samples(s, d):
+    rows, subject, label = W.sample_rows(*_volume_lda(s, d))
+    rows = rows.persist()
+    return rows, subject, W.sample_products(rows, subject, label)
+
+
+def _sample_variates(s, d):
+    _, subject, found = _volume_samples(s, d)
+    curves, _ = W.sample_variates(found, np.flatnonzero(subject % 2 == 0), np.flatnonzero(subject % 2 == 1), [1, 2, 3, 4])
+    return _frame(s, [(c["k"], c["r"], c["p"], c["d"]) for c in curves], "k int, r double, p double, d double")
+
+
+def _kernel_map(s, d):
+    rows, subject, found = _volume_samples(s, d)
+    path = W.kernel_ridge(found, np.arange(len(subject)), 5)
+    return r(W.mapped(rows, subject, path[len(path) // 2][1] if path else np.zeros(len(subject))), "value", digits=6)
+
+
 def _parcel_rows(s, d):
     """Users as voxels, event types as subjects and days as times: mean values."""
     e = table(s, d, "events").select("user_id", "event_type", F.dayofmonth("ts").alias("day"), "value")
@@ -362,6 +380,8 @@ QUERIES = {
     "matfac_three_way": _matfac3,
     "group_lda_map": lambda s, d: r(W.group_map(*_volume_lda(s, d))[0], "value", digits=4),
     "group_lda_curves": _volume_curves,
+    "sample_variates": _sample_variates,
+    "ld_kernel_map": _kernel_map,
     **{f"parcels_{k}": _parcels(k) for k in V.KINDS},
     "parcel_subject_maps": _parcel_maps,
     "lda_splithalf": lambda s, d: r(M.split_halves(_two(s, d), _plan(s, d, 2), "vec_id", "x", "label"), "r", "p", "d", digits=5),

@@ -91,3 +91,41 @@ def test_without_classes_or_rows(spark):
     one = spark.createDataFrame([(s, t, 1) for s, t, _ in onsets], "subject int, t int, label int")
     found, table = volume_lda.group_map(voxels, mask, one)
     assert table == [] and pd.Series([r.value for r in found.collect()]).abs().max() == 0
+
+
+def samples_of(x, subject, y):
+    return volume_lda.Samples(subject, y, x @ x.T, x.sum(axis=1), x.shape[1])
+
+
+def test_kernel_ridge_equals_the_primal():
+    _, runs, onsets = study(4)
+    x, subject, y = held(runs, onsets)
+    s = samples_of(x, subject, y)
+    at = np.flatnonzero(subject != 2)
+    contrast = y[at] / y[at].sum() - (1 - y[at]) / (1 - y[at]).sum()
+    contrast = contrast / np.linalg.norm(contrast)
+    path = volume_lda.kernel_ridge(s, at, 5)
+    assert len(path) == 5 and volume_lda.kernel_ridge(s, at[y[at] == 1]) == []
+    for lam, a in path:
+        want = np.linalg.solve(x[at].T @ x[at] + lam * np.eye(x.shape[1]), x[at].T @ contrast)
+        assert np.allclose(a @ x, want, atol=1e-8)
+
+
+def test_sample_variates_over_halves():
+    effect, runs, onsets = study(5)
+    x, subject, y = held(runs, onsets)
+    s = samples_of(x, subject, y)
+    one, two = np.flatnonzero(subject < 3), np.flatnonzero(subject >= 3)
+    table, z = volume_lda.sample_variates(s, one, two, [1, 2, 4, 8, 500], 0.4)
+    assert [r["k"] for r in table] == [1, 2, 4, 8] and max(r["p"] for r in table) > 0.9
+    assert abs(np.corrcoef(z @ x, effect.ravel())[0, 1]) > 0.8
+    # By the features themselves, over voxels.
+    u, size, vt = np.linalg.svd(x, full_matrices=False)
+    f = u[:, : round(len(x) * 0.4)] * size[: round(len(x) * 0.4)]
+    for row in table[:3]:
+        maps = []
+        for h in (one, two):
+            d = multivariate.lda_directions(f[h], y[h], row["k"])[row["k"] - 1]
+            maps.append(d @ vt[: f.shape[1]])
+        assert abs(row["r"]) == pytest.approx(abs(np.corrcoef(maps[0], maps[1])[0, 1]), abs=1e-8)
+    assert volume_lda.sample_variates(s, one[y[one] == 1], two, [1])[0] == []
