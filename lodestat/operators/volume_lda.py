@@ -8,7 +8,7 @@ of samples, and each map is a combination of samples.  A second pass writes the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,21 +116,14 @@ def predicted(s: Samples, direction: np.ndarray, train: np.ndarray, test: np.nda
     return float(np.where(s.label[test] == 1, p, 1 - p).mean())
 
 
-def split_maps(s: Samples, share: float = 0.5, splits: int = 50, seed: int = 1) -> tuple[list[dict], np.ndarray]:
-    """(reproducibility and prediction by number of components, the optimum's mean z map as a combination of samples).
+def halved(s: Samples, most: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[list[dict], list[np.ndarray]]:
+    """(reproducibility and prediction by number of components, mean z maps as combinations of samples) over pairs of halves of samples.
 
-    Halves of subjects are drawn ``splits`` times; halves without both classes are left out.  The optimum is nearest to perfect reproducibility and
-    prediction, by medians over splits.
+    Halves without both classes are left out.  ``d`` is the distance from perfect reproducibility and prediction, by medians over pairs.
     """
-    n, rng, members = len(s.subject), np.random.default_rng(seed), np.unique(s.subject)
-    most = max(1, min(int(share * n / 2), s.voxels, n // 2 - 2)) if n else 0
-    if n < 4 or len(np.unique(s.label)) < 2:
-        return [], np.zeros(n)
-    reference = directions(s, np.arange(n), most)
+    reference = directions(s, np.arange(len(s.label)), most)
     found: list[list[tuple[float, float, np.ndarray]]] = [[] for _ in range(len(reference))]
-    for _ in range(splits):
-        order = rng.permutation(members)
-        halves = [np.flatnonzero(np.isin(s.subject, h)) for h in (order[: len(order) // 2], order[len(order) // 2 :])]
+    for halves in pairs:
         if any(len(np.unique(s.label[h])) < 2 for h in halves):
             continue
         maps = [directions(s, h, most) for h in halves]
@@ -140,12 +133,29 @@ def split_maps(s: Samples, share: float = 0.5, splits: int = 50, seed: int = 1)
             p = (predicted(s, maps[0][k], halves[0], halves[1]) + predicted(s, maps[1][k], halves[1], halves[0])) / 2
             found[k].append((r, p, z))
     table = [{"k": k + 1, "r": float(np.median([x[0] for x in f])), "p": float(np.median([x[1] for x in f]))} for k, f in enumerate(found) if f]
-    if not table:
-        return [], np.zeros(n)
     for row in table:
         row["d"] = math.hypot(1 - row["r"], 1 - row["p"])
-    best = min(table, key=lambda row: (row["d"], row["k"]))["k"] - 1
-    return table, np.mean([x[2] for x in found[best]], axis=0)
+    return table, [np.mean([x[2] for x in f], axis=0) for f in found if f]
+
+
+def _most(s: Samples, share: float) -> int:
+    n = len(s.label)
+    return max(1, min(int(share * n / 2), s.voxels, n // 2 - 2)) if n else 0
+
+
+def split_maps(s: Samples, share: float = 0.5, splits: int = 50, seed: int = 1) -> tuple[list[dict], np.ndarray]:
+    """``halved`` over halves of subjects drawn ``splits`` times, and the z map of the least ``d``."""
+    rng, members = np.random.default_rng(seed), np.unique(s.subject)
+    if len(s.subject) < 4 or len(np.unique(s.label)) < 2:
+        return [], np.zeros(len(s.subject))
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _ in range(splits):
+            order = rng.permutation(members)
+            yield tuple(np.flatnonzero(np.isin(s.subject, h)) for h in (order[: len(order) // 2], order[len(order) // 2 :]))
+
+    table, maps = halved(s, _most(s, share), pairs())
+    return table, maps[min(range(len(table)), key=lambda i: (table[i]["d"], i))] if table else np.zeros(len(s.subject))
 
 
 def mapped(rows: DataFrame, subject: np.ndarray, combination: np.ndarray) -> DataFrame:
@@ -174,10 +184,7 @@ def run_files(spark, runs: dict[object, str], mask_path: str, onsets: DataFrame,
 
     The volume written has the geometry (header, affine) of the first subject's run.
     """
-    parts = [nifti.read_volumes(spark, path).select(F.lit(subject).alias("subject"), "x", "y", "z", "t", "value") for subject, path in runs.items()]
-    voxels = parts[0]
-    for other in parts[1:]:
-        voxels = voxels.unionByName(other)
+    voxels = _read(spark, runs, "subject")
     mask = nifti.read_volumes(spark, mask_path).filter("value > 0").select("x", "y", "z")
     found, table = group_map(voxels, mask, onsets, share, splits, seed)
     if out_prefix is not None:
@@ -185,6 +192,59 @@ def run_files(spark, runs: dict[object, str], mask_path: str, onsets: DataFrame,
     return found, table
 
 
+def _read(spark, paths: dict[object, str], name: str) -> DataFrame:
+    parts = [nifti.read_volumes(spark, path).select(F.lit(key).alias(name), "x", "y", "z", "t", "value") for key, path in paths.items()]
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def run_split_files(spark, runs: tuple[str, str], mask_path: str, onsets: DataFrame, out_prefix: str | None = None, share: float = 0.5) -> tuple[DataFrame, list[dict]]:
+    """One subject's map from two runs, each a half: (x, y, z, value) and curves; ``onsets`` has (run, t, label) with runs 0 and 1."""
+    mask = nifti.read_volumes(spark, mask_path).filter("value > 0").select("x", "y", "z")
+    rows, run, label = sample_rows(_read(spark, dict(enumerate(runs)), "subject"), mask, onsets.withColumnRenamed("run", "subject"))
+    rows = rows.persist()
+    s = sample_products(rows, run, label)
+    table, maps = halved(s, _most(s, share), [(np.flatnonzero(run == 0), np.flatnonzero(run == 1))])
+    found = mapped(rows, run, maps[min(range(len(table)), key=lambda i: (table[i]["d"], i))] if table else np.zeros(len(run)))
+    if out_prefix is not None:
+        nifti.write_volume(found, nifti.header(spark, runs[0]), f"{out_prefix}_LDA_SPM.nii")
+    return found, table
+
+
+def run_map_files(spark, maps: dict[object, str], labels: dict[object, int], mask_path: str, out_prefix: str | None = None, share: float = 0.5, splits: int = 50, seed: int = 1) -> tuple[dict[str, DataFrame], list[dict]]:
+    """Maps of two groups of subjects, one volume each: the discriminant's z maps at the best ``Dmin``, ``Rmax`` and ``Pmax``, and curves.
+
+    ``labels`` are 0 and 1 by subject.  Halves are drawn within each group.
+    """
+    mask = nifti.read_volumes(spark, mask_path).filter("value > 0").select("x", "y", "z")
+    kind = "bigint" if all(isinstance(k, int) for k in maps) else "string"
+    design = spark.createDataFrame([(k, 0, 1 if labels[k] else -1) for k in maps], f"subject {kind}, t int, label int")
+    rows, subject, label = sample_rows(_read(spark, maps, "subject"), mask, design)
+    rows, subject = rows.persist(), np.zeros_like(subject)  # a subject has one sample: no mean of its own to remove
+    s, rng = sample_products(rows, subject, label), np.random.default_rng(seed)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _ in range(splits):
+            one, two = [], []
+            for g in (0, 1):
+                order = rng.permutation(np.flatnonzero(label == g))
+                cut = (len(order) + 1) // 2
+                one.append(order[:cut])
+                two.append(order[cut:])
+            yield np.sort(np.concatenate(one)), np.sort(np.concatenate(two))
+
+    table, combos = halved(s, _most(s, share), pairs())
+    best = {"Dmin": lambda i: table[i]["d"], "Rmax": lambda i: -table[i]["r"], "Pmax": lambda i: -table[i]["p"]}
+    out = {name: mapped(rows, subject, combos[min(range(len(table)), key=lambda i: (key(i), i))] if table else np.zeros(len(label))) for name, key in best.items()}
+    if out_prefix is not None:
+        head = nifti.header(spark, next(iter(maps.values())))
+        for name, found in out.items():
+            nifti.write_volume(found, head, f"{out_prefix}_LDA_SPM_group_{name}.nii")
+    return out, table
+
+
 def sample_variates(s: Samples, one: np.ndarray, two: np.ndarray, ks: list[int], share: float = 0.5) -> tuple[list[dict], np.ndarray]:
     """(k, r, p, d) of canonical variates of two halves of samples for each number of components, and the optimum's z map as a combination of samples.
 

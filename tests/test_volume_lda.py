@@ -129,3 +129,24 @@ def test_sample_variates_over_halves():
             maps.append(d @ vt[: f.shape[1]])
         assert abs(row["r"]) == pytest.approx(abs(np.corrcoef(maps[0], maps[1])[0, 1]), abs=1e-8)
     assert volume_lda.sample_variates(s, one[y[one] == 1], two, [1])[0] == []
+
+
+def test_two_runs_and_maps_of_groups(spark, tmp_path):
+    effect, runs, onsets = study(6, 2, 18)
+    for s, d in enumerate(runs):
+        (tmp_path / f"run{s}.nii").write_bytes(nifti.volume(d))
+    (tmp_path / "mask.nii").write_bytes(nifti.volume(np.ones((4, 3, 2))))
+    found, table = volume_lda.run_split_files(spark, (str(tmp_path / "run0.nii"), str(tmp_path / "run1.nii")), str(tmp_path / "mask.nii"), spark.createDataFrame(onsets, "run int, t int, label int"), str(tmp_path / "one"))
+    rows = found.toPandas()
+    assert np.corrcoef(rows.value, effect[rows.x, rows.y, rows.z])[0, 1] > 0.7 and table
+    assert nifti.parse((tmp_path / "one_LDA_SPM.nii").read_bytes()).shape == (4, 3, 2, 1)
+    rng = np.random.default_rng(7)
+    paths, labels = {}, {}
+    for s in range(14):
+        labels[f"s{s}"] = s % 2
+        paths[f"s{s}"] = str(tmp_path / f"map{s}.nii")
+        (tmp_path / f"map{s}.nii").write_bytes(nifti.volume(effect * (s % 2) * 2 + rng.normal(size=effect.shape)))
+    out, table = volume_lda.run_map_files(spark, paths, labels, str(tmp_path / "mask.nii"), str(tmp_path / "all"), splits=6)
+    assert set(out) == {"Dmin", "Rmax", "Pmax"} and all((tmp_path / f"all_LDA_SPM_group_{n}.nii").exists() for n in out)
+    rows = out["Dmin"].toPandas()
+    assert abs(np.corrcoef(rows.value, effect[rows.x, rows.y, rows.z])[0, 1]) > 0.7 and len(table) > 1
