@@ -119,19 +119,21 @@ def logdet(m: np.ndarray) -> float:
 def procrustes_match(reference: np.ndarray, other: np.ndarray, by_corr: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(index, flip): the column of ``other`` and its sign for each column of ``reference``, matched greedily.
 
-    ``by_corr`` takes the largest absolute correlations first; otherwise reference columns go by falling sum of squares.
+    ``by_corr`` takes the largest absolute correlations first.  Otherwise reference columns go by falling spread, and each takes the column with the
+    least residual sum of squares, with either sign.
     """
-    def unit(a: np.ndarray) -> np.ndarray:
-        a = a - a.mean(axis=0)
-        n = np.linalg.norm(a, axis=0)
-        return a / np.where(n > 0, n, 1)
-
-    r = unit(reference).T @ unit(other)
-    index, flip = np.full(r.shape[0], -1), np.ones(r.shape[0])
-    left = np.abs(r)
-    rows = np.argsort(-(reference**2).sum(axis=0))
-    for step in range(min(r.shape)):
-        i, j = np.unravel_index(left.argmax(), left.shape) if by_corr else (rows[step], left[rows[step]].argmax())
-        index[i], flip[i] = j, -1.0 if r[i, j] < 0 else 1.0
-        left[i, :], left[:, j] = -1.0, -1.0
+    if by_corr:
+        a, b = (m - m.mean(axis=0) for m in (reference, other))
+        size = [np.where((n := np.linalg.norm(m, axis=0)) > 0, n, 1) for m in (a, b)]
+        along = (a / size[0]).T @ (b / size[1])
+        gain = np.abs(along)
+    else:
+        along = reference.T @ other
+        gain = 2 * np.abs(along) - (reference**2).sum(axis=0)[:, None] - (other**2).sum(axis=0)[None, :]
+    index, flip, left = np.full(len(gain), -1), np.ones(len(gain)), gain.copy()
+    order = np.argsort(-reference.std(axis=0, ddof=1), kind="stable") if not by_corr else None
+    for step in range(min(gain.shape)):
+        i, j = np.unravel_index(left.argmax(), left.shape) if by_corr else (order[step], left[order[step]].argmax())
+        index[i], flip[i] = j, -1.0 if along[i, j] < 0 else 1.0
+        left[i, :], left[:, j] = -np.inf, -np.inf
     return index, flip
