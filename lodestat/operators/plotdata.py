@@ -105,7 +105,7 @@ def box_ci(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str], r
 def reg_band(df: DataFrame, grid: DataFrame, x: str, y: str, order: Sequence[str], reps: int = 1000, seed: int = 1) -> DataFrame:
     """(x0, fit, ci_low, ci_high): bootstrap band of the regression line at the points of a small grid."""
     lines = boot_slope(df, x, y, order, reps, seed).crossJoin(F.broadcast(grid.select("x0")))  # a plotting grid
-    at = lines.withColumn("f", F.col("intercept") + F.col("stat") * F.col("x0"))
+    at = lines.withColumn("f", F.col("intercept") + F.col("stat") * F.col("x0")).persist()
     return at.groupBy("x0").agg(F.avg("f").alias("fit")).join(percentiles(at, "f", {"ci_low": 0.025, "ci_high": 0.975}, ["x0"]), "x0")
 
 
