@@ -6,7 +6,7 @@ Cell-wise models are window functions.  Models of whole matrices run as one grou
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -220,6 +220,119 @@ def impute_by_rows(x: np.ndarray, fit: Callable[[np.ndarray, np.ndarray], Callab
     return out
 
 
+def _ridge_sums(n: int, mean: np.ndarray, cross: np.ndarray, xs: np.ndarray, ys: np.ndarray, lam: float = 1.0) -> np.ndarray:
+    """(1 + xs) x ys coefficients of ``_ridge`` from a class's number, means and centred cross-products."""
+    m = np.concatenate([[1.0], mean])
+    a = n * np.outer(m, m)
+    a[1:, 1:] += cross
+    at = np.concatenate([[0], xs + 1])
+    return np.linalg.solve(a[np.ix_(at, at)] + lam * np.eye(len(at)), a[np.ix_(at, ys + 1)])
+
+
+def _pls_sums(n: int, mean: np.ndarray, cross: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = 2) -> np.ndarray:
+    """(1 + xs) x ys coefficients of ``pls_fit``; a column whose spread is rounding has none."""
+    sd = np.sqrt(np.maximum(np.diagonal(cross), 0.0) / (n - 1))
+    sd = np.where(sd > 1e-9 * np.maximum(np.abs(mean), 1e-300), sd, 0.0)
+    scale = np.where(sd > 0, sd, 1.0)
+    z = np.where(np.outer(sd, sd) > 0, cross / np.outer(scale, scale), 0.0)
+    aa, ab = z[np.ix_(xs, xs)].copy(), z[np.ix_(xs, ys)].copy()
+    w, p, q = [], [], []
+    for _ in range(min(k, len(xs), n - 1)):
+        u, s, _ = np.linalg.svd(ab, full_matrices=False)
+        if s[0] < 1e-10 * n:
+            break
+        u = u[:, 0]
+        tt = u @ aa @ u
+        load, out = aa @ u / tt, ab.T @ u / tt
+        aa, ab = aa - tt * np.outer(load, load), ab - tt * np.outer(load, out)
+        w.append(u)
+        p.append(load)
+        q.append(out)
+    coef = np.zeros((len(xs), len(ys)))
+    if w:
+        w_, p_, q_ = np.array(w).T, np.array(p).T, np.array(q)
+        coef = (w_ @ np.linalg.solve(p_.T @ w_, q_)) / scale[xs][:, None] * scale[ys]
+    return np.vstack([mean[ys] - mean[xs] @ coef, coef])
+
+
+#: Models of ``impute_rows`` by name: from sums of a class of rows to coefficients.
+ROW_MODELS = {"mlr": _ridge_sums, "pls": _pls_sums}
+
+
+def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method: str, least: int = 3) -> DataFrame:
+    """(by, row, col, filled): ``impute_by_rows`` of each matrix, by classes of rows with the same present cells.
+
+    Rows that have another's missing cells and share a subset of its present ones are the rows of one pattern of present cells, so all models follow
+    from each pattern's cross-products. Rows of a pattern share their coefficients; work grows with the pairs of patterns, not of rows. The columns are
+    those of the whole table; the driver holds them and the patterns, a bit string each.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(row).alias("r"), F.col(col).alias("c"), finite(value).alias("v"))
+    names = sorted(x[0] for x in rows.select("c").distinct().collect())
+    d, fit = len(names), ROW_MODELS[method]
+    cell = {c: F.max(F.when(F.col("c") == F.lit(c), F.col("v"))) for c in names}
+    wide = rows.groupBy("g", "r").agg(F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in cell.values()]).alias("x"))
+    wide = wide.withColumn("p", F.concat(*[F.when(F.isnan(F.col("x")[j]), "0").otherwise("1") for j in range(d)])).persist()
+    kind = {c: rows.schema[c].dataType.simpleString() for c in "grc"}
+    numbered = {(x[0], x[1]): k for k, x in enumerate(wide.select("g", "p").distinct().collect())}
+    of_group: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+    for group in {g for g, _ in numbered}:
+        own = [(k, p) for (g, p), k in numbered.items() if g == group]
+        of_group[group] = np.array([k for k, _ in own]), np.array([[ch == "1" for ch in p] for _, p in own])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (g, p), part in pdf.groupby(["g", "p"], sort=False, dropna=False):
+                x = np.nan_to_num(np.array(part["x"].tolist(), dtype=float))
+                mean = x.mean(axis=0)
+                yield pd.DataFrame({"g": [g], "p": [p], "n": [len(x)], "m": [mean.tobytes()], "s": [((x - mean).T @ (x - mean)).tobytes()]})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, cross = 0, np.zeros(d), np.zeros((d, d))
+        for k, m, s in zip(pdf["n"], pdf["m"], pdf["s"], strict=True):
+            gap = np.frombuffer(m) - mean
+            cross = cross + np.frombuffer(s).reshape(d, d) + np.outer(gap, gap) * n * k / (n + k)
+            mean, n = mean + gap * k / (n + k), n + k
+        return pdf.iloc[:1].assign(n=n, m=[mean.tobytes()], s=[cross.tobytes()])
+
+    def models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list] = {}
+        for pdf in batches:
+            for g, p, n, m, s in zip(pdf["g"], pdf["p"], pdf["n"], pdf["m"], pdf["s"], strict=True):
+                numbers, seen = of_group[g]
+                own, mean, cross = np.array([ch == "1" for ch in p]), np.frombuffer(m), np.frombuffer(s).reshape(d, d)
+                for i in np.flatnonzero(~seen.all(axis=1) & (seen | own).all(axis=1) & (seen & own).any(axis=1)) if n >= least else []:
+                    xs, ys = np.flatnonzero(seen[i] & own), np.flatnonzero(~seen[i])
+                    held = total.setdefault(int(numbers[i]), [0, np.zeros((d + 1, len(ys)))])
+                    held[0] += n - 1
+                    held[1][np.concatenate([[0], xs + 1])] += (n - 1) * fit(n, mean, cross, xs, ys)
+        yield pd.DataFrame({"k": list(total), "w": [w for w, _ in total.values()], "b": [b.tobytes() for _, b in total.values()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "b": [(np.sum([np.frombuffer(b) for b in pdf["b"]], axis=0) / pdf["w"].sum()).tobytes()]})
+
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    classes = wide.select("g", "p", "x").mapInPandas(sums, f"g {kind['g']}, p string, n bigint, m binary, s binary")
+    whole = classes.groupBy("g", "p").applyInPandas(merged, f"g {kind['g']}, p string, n bigint, m binary, s binary").repartition(tasks, "g", "p")
+    found = whole.mapInPandas(models, "k int, w bigint, b binary").groupBy("k").applyInPandas(added, "k int, b binary")
+    patterns = df.sparkSession.createDataFrame([(g, p, k) for (g, p), k in numbered.items()], f"_g {kind['g']}, _p string, k int")
+    models_of = found.join(patterns, "k").select("_g", "_p", "b")
+    joined = wide.join(models_of, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_p")), "left").select("g", "r", "x", "b")
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), d)
+            for i, b in enumerate(pdf["b"]):
+                if b is not None:
+                    holes = np.isnan(x[i])
+                    x[i, holes] = np.append(1.0, np.nan_to_num(x[i])) @ np.frombuffer(b).reshape(d + 1, -1)
+            yield pdf[["g", "r"]].assign(x=list(x))
+
+    out = joined.mapInPandas(filled, f"g {kind['g']}, r {kind['r']}, x array<double>")
+    cells = F.explode(F.arrays_zip(F.array(*[F.lit(c).cast(kind["c"]) for c in names]).alias("c"), F.col("x").alias("f"))).alias("z")
+    out = out.select("g", "r", cells).select("g", "r", F.col("z.c").alias("c"), finite("z.f").alias("filled"))
+    return out.withColumnsRenamed({"g": by, "r": row, "c": col})
+
+
 #: Whole-matrix methods by name: matrix with NaN for missing cells -> filled matrix.
 METHODS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "soft": lambda x: impute_svd(x, "soft", 20)[-1][1],
