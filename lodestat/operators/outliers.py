@@ -35,6 +35,18 @@ def gamma_threshold(df: DataFrame, var: str, sample: str, value: str, alpha: flo
     return out.select(F.col("sample").alias(sample), "p", (F.col("p") < alpha).alias("outlier"))
 
 
+def _t_ppf(p: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """``dist.t_ppf`` of arrays, for p of at least 1/2."""
+    lo, hi = np.zeros(len(p)), np.ones(len(p))
+    while len(p) and (short := dist.t_cdf(hi, dof) < p).any() and hi.max() < 1e300:
+        hi = np.where(short, 2 * hi, hi)
+    for _ in range(70):
+        mid = (lo + hi) / 2
+        under = dist.t_cdf(mid, dof) < p
+        lo, hi = np.where(under, mid, lo), np.where(under, hi, mid)
+    return (lo + hi) / 2
+
+
 def gen_esd(df: DataFrame, var: str, sample: str, value: str, alpha: float = 0.05, share: float = 0.2) -> DataFrame:
     """(var, step, sample, r, lam, raw, outlier): generalised extreme Studentised deviates (Rosner, 1983).
 
@@ -43,18 +55,30 @@ def gen_esd(df: DataFrame, var: str, sample: str, value: str, alpha: float = 0.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = pdf["v"].to_numpy(float), pdf["sample"].to_numpy()
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         n, rows = len(x), []
-        for i in range(1, int(math.floor(share * n + 0.5)) + 1):
-            sd = x.std(ddof=1) if len(x) > 2 else 0.0
+        # What is left is a range of the ordered values: each step takes its lower or upper end, of equal values the least id first.
+        low, high = np.argsort(x, kind="stable"), np.argsort(-x, kind="stable")
+        z = x[low] - x.mean()
+        s1, s2 = np.concatenate([[0.0], np.cumsum(z)]), np.concatenate([[0.0], np.cumsum(z * z)])
+        steps = np.arange(1, int(math.floor(share * n + 0.5)) + 1)
+        t = _t_ppf(1 - alpha / (2 * (n - steps + 1)), n - steps - 1.0)
+        lam = (n - steps) * t / np.sqrt((n - steps - 1 + t * t) * (n - steps + 1))
+        a, b = 0, n
+        for i in steps.tolist():
+            m = b - a
+            if m <= 2 or z[a] == z[b - 1]:
+                break
+            mean = (s1[b] - s1[a]) / m
+            sd = math.sqrt(max(s2[b] - s2[a] - m * mean * mean, 0.0) / (m - 1))
             if sd == 0:
                 break
-            dev = np.abs(x - x.mean())
-            at = int(dev.argmax())
-            t = dist.t_ppf(1 - alpha / (2 * (n - i + 1)), n - i - 1)
-            rows.append((i, ids[at], dev[at] / sd, (n - i) * t / math.sqrt((n - i - 1 + t * t) * (n - i + 1))))
-            x, ids = np.delete(x, at), np.delete(ids, at)
+            down, up = mean - z[a], z[b - 1] - mean
+            first, last = low[a], high[n - b]
+            lower = first < last if abs(down - up) <= 1e-12 * (down + up) else down > up
+            rows.append((i, ids[first if lower else last], max(down, up) / sd, lam[i - 1]))
+            a, b = (a + 1, b) if lower else (a, b - 1)
         out = pd.DataFrame(rows, columns=["step", "sample", "r", "lam"])
         out.insert(0, "var", pdf["var"].iloc[0])
         out["raw"] = out["r"] > out["lam"]
