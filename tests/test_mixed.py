@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from lodestat.operators import mixed
+from lodestat.operators import resampled as R
 
 
 def panel(seed=1, subjects=60, slopes=True, holes=0.15):
@@ -145,3 +146,22 @@ def test_edges(spark):
     assert mixed.fit(df, "y ~ t + (1 | subj)").count() == 0
     assert mixed.bootstrap(df, "y ~ t + (1 | subj)", reps=3).count() == 0
     assert mixed.formula("y ~ 0 + a + a:b + (0 + a | s)") == mixed.Formula("y", ("a", "a:b"), ("a",), "s")
+
+
+def test_imputation_by_blocks_of_subjects(spark):
+    """Sums over blocks give the fits and fills of whole replicates; with so many fills no matrix of them could be held."""
+    g = np.random.default_rng(5)
+    y = g.normal(size=(40, 1)) + np.arange(4.0) + g.normal(size=(40, 4))
+    y[g.random(y.shape) < 0.3] = np.nan
+    y[7] = np.nan
+    df = spark.createDataFrame([(i, t, None if np.isnan(y[i, t]) else float(y[i, t])) for i in range(40) for t in range(4)], "s int, t int, y double")
+    got = {(r.rep, int(r.time)): (r.mean, r.change) for r in R.mixed_bootstrap_impute(df, "y", "t", "s", 3, fills=10**12).collect()}
+    drawn = R.subject_draws(df, "s", 3).toPandas()
+    assert len(got) == 12
+    for rep, pdf in drawn.groupby("rep"):
+        v = pdf.pivot_table(index="clone", columns="t", values="y", dropna=False).to_numpy(float)
+        at = np.argwhere(np.isfinite(v))
+        b, vs, vr = R.fit_random_intercept(v[at[:, 0], at[:, 1]], np.eye(4)[at[:, 1]], at[:, 0])
+        shrunk = np.nansum(v - b, axis=1) * vs / (np.isfinite(v).sum(axis=1) * vs + vr)
+        mean = np.where(np.isfinite(v), v, b + shrunk[:, None]).mean(axis=0)
+        assert np.allclose([got[rep, t] for t in range(4)], np.column_stack([mean, mean - mean[0]]), atol=1e-4)
