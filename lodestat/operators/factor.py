@@ -9,14 +9,18 @@ the hard-thresholded form, and factors about additive effects are matrix factori
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts of a sum that are added apart from one another.
+SLICES = 8
+
 
 @dataclass
 class ColumnModel:
@@ -38,6 +42,24 @@ def column_moments(rows: DataFrame, array: str, d: int, standard: bool = True) -
     return mean, sd if standard else np.ones(d)
 
 
+def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> np.ndarray | None:
+    """Sum of the arrays that ``run`` gives, one a task at most, as bytes ``v``; summed up in slices on the cluster, so the driver gets one array however many tasks."""
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        for pdf in run(batches):
+            parts = np.array_split(np.frombuffer(pdf["v"].iloc[0]), SLICES)
+            yield pd.DataFrame({"slice": range(SLICES), "task": task, "v": [p.tobytes() for p in parts]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")  # reruns agree
+        return pdf.iloc[:1].assign(v=[np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()])
+
+    kind = "slice int, task int, v binary"
+    parts = sorted((r.slice, bytes(r.v)) for r in rows.mapInPandas(slices, kind).groupBy("slice").applyInPandas(added, kind).collect())
+    return np.concatenate([np.frombuffer(v) for _, v in parts]) if parts else None
+
+
 def row_factors(x: np.ndarray, factor: np.ndarray, penalty: float) -> np.ndarray:
     """Ridge solutions of each row's present cells on the column factor."""
     seen = np.isfinite(x)
@@ -100,8 +122,8 @@ def fit_rows(rows: DataFrame, array: str, d: int, rank: int, penalty: float, rou
             if total is not None:
                 yield pd.DataFrame({"v": [total.tobytes()]})
 
-        parts = source.mapInPandas(run, "v binary").collect()  # one array of d * k * (k + 1) + 2 numbers a task
-        return np.sum([np.frombuffer(bytes(r.v)) for r in parts], axis=0) if parts else np.zeros(d * rank * (rank + 1) + 2)
+        total = summed(source, run)  # one array of d * k * (k + 1) + 2 numbers
+        return total if total is not None else np.zeros(d * rank * (rank + 1) + 2)
 
     factor, errors = alternate(sums_of, start_factor(d, rank, seed) if start is None else start, penalty, rounds, tol)
     return ColumnModel(mean, spread, factor, penalty, errors)
@@ -143,8 +165,8 @@ def _gram(rows: DataFrame, array: str, mean: np.ndarray, spread: np.ndarray) ->
         if total is not None:
             yield pd.DataFrame({"v": [total.tobytes()]})
 
-    parts = rows.select(F.col(array).alias("x")).mapInPandas(run, "v binary").collect()  # one d x d array a task
-    return np.sum([np.frombuffer(bytes(r.v)) for r in parts], axis=0).reshape(len(mean), -1) if parts else None
+    total = summed(rows.select(F.col(array).alias("x")), run)  # one d x d array
+    return total.reshape(len(mean), -1) if total is not None else None
 
 
 def soft_path(rows: DataFrame, array: str, d: int, count: int = 20, rounds: int = 30, tol: float = 1e-6, rank: int | None = None) -> Iterator[ColumnModel]:
