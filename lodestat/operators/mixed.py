@@ -25,6 +25,8 @@ from ..functions.stats import finite
 
 #: Subjects of a bucket, about; replicates that are worked on at once.
 BUCKET, CHUNK = 256, 50
+#: Different Z'Z of subjects, and bytes of replicates' sums by them on the driver, up to which one pass gives all trial values.
+CLASSES, HELD_BYTES = 64, 64 << 20
 INTERCEPT = "(intercept)"
 #: A kernel: (values of subjects, draw counts by replicate, numbers of the replicates, rng of the replicates) -> sums by replicate.
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, Callable[[int], np.random.Generator]], np.ndarray]
@@ -75,7 +77,11 @@ class Resampler:
         for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # a row for each BUCKET subjects
             sizes[r.bucket] = r.n
         self.upto = np.concatenate([[0], np.cumsum(sizes)])
-        self.dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "subject").persist()
+        tasks = max(int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")), subjects.sparkSession.sparkContext.defaultParallelism)
+        # Neighbouring buckets share a task, and most of the tree; with a given number of tasks none are put together because their rows are few.
+        tasks = min(tasks, self.buckets)
+        run = F.floor(F.col("bucket") * F.lit(min(8 * tasks, self.buckets)) / F.lit(self.buckets)).cast("int")
+        self.dealt = dealt.repartition(tasks, run).sortWithinPartitions("bucket", "subject").persist()
 
     def __enter__(self) -> Resampler:
         return self
@@ -88,31 +94,36 @@ class Resampler:
         seed, upto, buckets, total = self.seed, self.upto, self.buckets, self.total
         plan = list(attempts) if attempts is not None else [(0, 0)]
 
-        def count(rep: int, attempt: int, bucket: int) -> int:
+        def count(rep: int, attempt: int, bucket: int, nodes: dict[tuple[int, int, int, int], int]) -> int:
             lo, hi, left = 0, buckets, total
             while hi - lo > 1:
                 mid = (lo + hi) // 2
                 size = upto[hi] - upto[lo]
-                first = int(np.random.default_rng([seed, rep, attempt, lo, hi]).binomial(left, (upto[mid] - upto[lo]) / size)) if size else 0
+                first = nodes.get((rep, attempt, lo, hi))
+                if first is None:
+                    first = int(np.random.default_rng([seed, rep, attempt, lo, hi]).binomial(left, (upto[mid] - upto[lo]) / size)) if size else 0
+                    nodes[rep, attempt, lo, hi] = first
                 lo, hi, left = (lo, mid, first) if bucket < mid else (mid, hi, left - first)
             return left
 
-        def of_bucket(bucket: int, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        def of_bucket(bucket: int, values: np.ndarray, nodes: dict[tuple[int, int, int, int], int]) -> Iterator[tuple[int, np.ndarray]]:
             n = len(values)
+            for key in [key for key in nodes if not key[2] <= bucket < key[3]]:  # only the path to a bucket is held
+                del nodes[key]
             for lo in range(0, len(plan), CHUNK):
                 some = plan[lo : lo + CHUNK]
                 if attempts is None:
                     w = np.ones((1, n))
                 else:
-                    w = np.array([np.random.default_rng([seed, r, a, bucket, buckets, 1]).multinomial(count(r, a, bucket), np.full(n, 1.0 / n)) for r, a in some], dtype=float)
+                    w = np.array([np.random.default_rng([seed, r, a, bucket, buckets, 1]).multinomial(count(r, a, bucket, nodes), np.full(n, 1.0 / n)) for r, a in some], dtype=float)
                 yield lo, kernel(values, w, np.arange(lo, lo + len(some)), lambda k, lo=lo: np.random.default_rng([seed, *plan[lo + k], bucket, buckets, 2]))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, np.ndarray] = {}
-            bucket, rows = None, []
+            bucket, rows, nodes = None, [], {}
 
             def flush() -> None:
-                for lo, part in of_bucket(bucket, np.array(rows)):
+                for lo, part in of_bucket(bucket, np.array(rows), nodes):
                     held[lo] = held[lo] + part if lo in held else part
 
             for pdf in batches:
@@ -206,6 +217,70 @@ def _kernel(q: int, m: int, trials: np.ndarray) -> Kernel:
     return run
 
 
+class ClassSums:
+    """Sums of ``_kernel`` at any trial values from one pass over the draws, where the subjects have few different Z'Z.
+
+    Subjects of the same Z'Z have the same weights at any trial value, so a replicate's numbers of drawn subjects and products by Z'Z, and [X y]'[X y] and rows
+    over all, are enough.  ``of`` gives None where there are more than ``CLASSES``.
+    """
+
+    def __init__(self, sampler: Resampler, q: int, m: int, classes: np.ndarray):
+        self.sampler, self.q, self.k, self.classes, self.held = sampler, q, m - q, classes, {}
+        up, known = np.triu_indices(m - q), {c.tobytes(): i for i, c in enumerate(classes)}
+        self.a = np.zeros((len(classes), q, q))
+        i, j = np.triu_indices(q)
+        self.a[:, i, j] = self.a[:, j, i] = classes
+
+        def run(values: np.ndarray, w: np.ndarray, *_: object) -> np.ndarray:
+            n, full = _unfold(values, m)
+            b, c = full[:, :q, q:], full[:, q:, q:][:, up[0], up[1]]
+            products = (b[:, :, None, :, None] * b[:, None, :, None, :])[..., up[0], up[1]].reshape(len(n), -1)
+            of = np.array([known[v.tobytes()] for v in full[:, i, j]])
+            out = np.zeros((len(w), len(known), 1 + products.shape[1]))
+            for at in np.unique(of):
+                own = of == at
+                out[:, at] = np.column_stack([w[:, own].sum(axis=1), w[:, own] @ products[own]])
+            return np.column_stack([w @ c, w @ n, out.reshape(len(w), -1)])
+
+        self.kernel: Kernel = run
+
+    @classmethod
+    def of(cls, sampler: Resampler, q: int, m: int, reps: int) -> ClassSums | None:
+        at = np.cumsum([1, *range(m, m - q, -1)])[:q]  # where the rows of the triangle start; the count of rows is before them
+        cells = [F.col("v")[int(at[i]) + j - i] for i in range(q) for j in range(i, q)]
+        width = 1 + q * q * (m - q) * (m - q + 1) // 2
+        most = min(CLASSES, HELD_BYTES // (8 * reps * width))
+        found = sampler.dealt.select(F.array(*cells).alias("z")).distinct().limit(most + 1).collect() if most else []
+        return cls(sampler, q, m, np.array(sorted(r.z for r in found), dtype=float)) if 0 < len(found) <= most else None
+
+    def sums(self, trials: np.ndarray, attempts: Sequence[tuple[int, int]] | None) -> np.ndarray:
+        """Replicates x points x sums; draws that were not met before are gone over in one pass."""
+        keys: list = [None] if attempts is None else list(attempts)
+        new = [key for key in keys if key not in self.held]
+        if new:
+            self.held.update(zip(new, self.sampler.sums(self.kernel, None if attempts is None else new), strict=True))
+        every, size = np.array([self.held[key] for key in keys]), self.k * (self.k + 1) // 2
+        own = every[:, size + 1 :].reshape(len(every), len(self.classes), -1)
+        out = np.empty((len(every), trials.shape[1], size + 2))
+        for p in range(trials.shape[1]):
+            g, log = _weights(self.a, _factor(trials[:, p], self.q))
+            taken = np.einsum("rcx,rcxs->rs", g.reshape(*g.shape[:2], -1), own[:, :, 1:].reshape(*own.shape[:2], self.q**2, size))
+            out[:, p, :-2], out[:, p, -2], out[:, p, -1] = every[:, :size] - taken, (own[:, :, 0] * log).sum(axis=1), every[:, size]
+        return out
+
+
+Trials = Callable[[np.ndarray, "Sequence[tuple[int, int]] | None"], np.ndarray]
+
+
+def _trials(sampler: Resampler, model: Formula, reps: int) -> Trials:
+    """Sums by replicate at trial values: from one pass where the subjects' Z'Z are few, else a pass each time."""
+    q, m = len(model.random), len(model.random) + len(model.fixed) + 1
+    few = ClassSums.of(sampler, q, m, reps)
+    if few is not None:
+        return few.sums
+    return lambda trials, attempts: sampler.sums(_kernel(q, m, trials), attempts).reshape(*trials.shape[:2], -1)
+
+
 @dataclass
 class Fits:
     """Fits by replicate: coefficients and their covariance, residual variance, relative factors of the random effects, criterion."""
@@ -254,18 +329,19 @@ def _towards(f: np.ndarray, d: int) -> np.ndarray:
     return step if size <= 2 else step * 2 / size
 
 
-def fit_blocks(sampler: Resampler, model: Formula, attempts: Sequence[tuple[int, int]] | None = None, start: np.ndarray | None = None, rounds: int = 20, width: float = 1.0, least: float = 0.02) -> Fits:
-    """REML fits of the whole sample, or of replicates, in passes around ``start`` and a last one.
+def fit_blocks(sampler: Resampler, model: Formula, attempts: Sequence[tuple[int, int]] | None = None, start: np.ndarray | None = None, rounds: int = 20, width: float = 1.0, least: float = 0.02, trials_of: Trials | None = None) -> Fits:
+    """REML fits of the whole sample, or of replicates, at trial values around ``start`` and the last ones.
 
     A fit's stencil shrinks once its step stays within it, until it is below ``least`` or ``rounds`` are over.
     """
     q, m = len(model.random), len(model.random) + len(model.fixed) + 1
     d, k, reps = q * (q + 1) // 2, m - q, 1 if attempts is None else len(attempts)
+    trials_of = trials_of or _trials(sampler, model, reps)
     if start is None:  # a coarse grid of equal diagonals first
         grid = np.linspace(-5, 3, 17)
         trials = np.zeros((reps, len(grid), d))
         trials[:, :, :q] = grid[None, :, None]
-        sums = sampler.sums(_kernel(q, m, trials), attempts).reshape(reps, len(grid), -1)
+        sums = trials_of(trials, attempts)
         start = trials[np.arange(reps), _criterion(sums, k)[0].argmin(axis=1)]
     centre, widths = np.broadcast_to(start, (reps, d)).copy(), np.full(reps, width)
     for _ in range(rounds):
@@ -274,14 +350,14 @@ def fit_blocks(sampler: Resampler, model: Formula, attempts: Sequence[tuple[int,
             break
         trials = centre[open_, None, :] + widths[open_, None, None] * _stencil(d)[None]
         some = None if attempts is None else [attempts[i] for i in open_]
-        value = _criterion(sampler.sums(_kernel(q, m, trials), some).reshape(len(open_), trials.shape[1], -1), k)[0]
+        value = _criterion(trials_of(trials, some), k)[0]
         steps = np.array([_towards(f, d) for f in value])
         before = centre[open_].copy()
         centre[open_] += widths[open_, None] * steps
         centre[:, :q] = np.clip(centre[:, :q], -9, 9)
         near = np.abs(centre[open_] - before).max(axis=1) <= 0.8 * widths[open_]
         widths[open_[near]] *= 0.35
-    sums = sampler.sums(_kernel(q, m, np.stack([centre, np.concatenate([np.full((reps, q), -50.0), np.zeros((reps, d - q))], axis=1)], axis=1)), attempts).reshape(reps, 2, -1)
+    sums = trials_of(np.stack([centre, np.concatenate([np.full((reps, q), -50.0), np.zeros((reps, d - q))], axis=1)], axis=1), attempts)
     value, beta, residual, xx = _criterion(sums, k)
     # The second point has next to no random effects: its X'X tells how well the design is conditioned.
     eig = np.linalg.eigvalsh(xx[:, 1])
@@ -289,13 +365,13 @@ def fit_blocks(sampler: Resampler, model: Formula, attempts: Sequence[tuple[int,
     return Fits(beta[:, 0], np.linalg.pinv(xx[:, 0], hermitian=True) * residual[:, 0, None, None], residual[:, 0], _factor(centre, q), value[:, 0], condition)
 
 
-def _conditions(sampler: Resampler, model: Formula, attempts: Sequence[tuple[int, int]]) -> np.ndarray:
+def _conditions(trials_of: Trials, model: Formula, attempts: Sequence[tuple[int, int]]) -> np.ndarray:
     """Condition numbers of the fixed design of replicates."""
     q, m = len(model.random), len(model.random) + len(model.fixed) + 1
     k = m - q
     trials = np.zeros((len(attempts), 1, q * (q + 1) // 2))
     trials[..., :q] = -50.0
-    eig = np.linalg.eigvalsh(_criterion(sampler.sums(_kernel(q, m, trials), attempts).reshape(len(attempts), 1, -1), k)[3][:, 0])
+    eig = np.linalg.eigvalsh(_criterion(trials_of(trials, attempts), k)[3][:, 0])
     return np.sqrt(eig[:, -1] / np.maximum(eig[:, 0], 1e-300))
 
 
@@ -322,11 +398,11 @@ def fit(df: DataFrame, model: str | Formula) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, t double")
 
 
-def _stable(sampler: Resampler, model: Formula, reps: int, worst: float, most: int) -> list[tuple[int, int]]:
+def _stable(trials_of: Trials, model: Formula, reps: int, worst: float, most: int) -> list[tuple[int, int]]:
     """(replicate, attempt): draws whose design is not worse conditioned than ``worst``, redrawn ``most`` times at most."""
     attempts = [(r, 0) for r in range(reps)]
     for _ in range(most + 1):
-        bad = np.flatnonzero(~(_conditions(sampler, model, attempts) <= worst))
+        bad = np.flatnonzero(~(_conditions(trials_of, model, attempts) <= worst))
         if not len(bad):
             return attempts
         attempts = [(r, a + 1) if k in set(bad.tolist()) else (r, a) for k, (r, a) in enumerate(attempts)]
@@ -348,7 +424,8 @@ def bootstrap(df: DataFrame, model: str | Formula, reps: int = 1000, contrasts:
         if sampler.total:
             whole = fit_blocks(sampler, spec)
             at = _parameters(whole.factor[0])
-            beta = fit_blocks(sampler, spec, _stable(sampler, spec, reps, worst, redraws), at, width=0.7).beta
+            trials_of = _trials(sampler, spec, reps)
+            beta = fit_blocks(sampler, spec, _stable(trials_of, spec, reps, worst, redraws), at, width=0.7, trials_of=trials_of).beta
             stats = np.column_stack([beta, *[beta[:, b] - beta[:, a] for a, b in pairs]])
     return df.sparkSession.createDataFrame(pd.DataFrame({"rep": np.repeat(np.arange(len(stats)), len(terms)), "term": terms * len(stats), "stat": stats.ravel()}).astype({"rep": "int32", "term": object, "stat": float}), "rep int, term string, stat double")
 

@@ -165,3 +165,21 @@ def test_imputation_by_blocks_of_subjects(spark):
         shrunk = np.nansum(v - b, axis=1) * vs / (np.isfinite(v).sum(axis=1) * vs + vr)
         mean = np.where(np.isfinite(v), v, b + shrunk[:, None]).mean(axis=0)
         assert np.allclose([got[rep, t] for t in range(4)], np.column_stack([mean, mean - mean[0]]), atol=1e-4)
+
+
+def test_all_trial_values_come_from_one_pass(spark, monkeypatch):
+    """Subjects with few different Z'Z: one pass over the draws, with the sums that passes at each trial value give."""
+    df = spark.createDataFrame(panel(3), SCHEMA)
+    for text in ("y ~ t + g + (1 | subj)", "y ~ t + (1 + t | subj)"):
+        spec = mixed.formula(text)
+        q, m = len(spec.random), len(spec.random) + len(spec.fixed) + 1
+        with mixed.Resampler(mixed.subject_blocks(df, spec)) as sampler:
+            attempts = [(r, r % 2) for r in range(6)]
+            trials = np.random.default_rng(1).normal(size=(6, 3, q * (q + 1) // 2))
+            want = sampler.sums(mixed._kernel(q, m, trials), attempts).reshape(6, 3, -1)
+            few = mixed.ClassSums.of(sampler, q, m, 6)
+            assert np.allclose(few.sums(trials, attempts), want, rtol=1e-9, atol=1e-9)
+    passes, sums = [], mixed.Resampler.sums
+    monkeypatch.setattr(mixed.Resampler, "sums", lambda self, kernel, attempts: passes.append(attempts) or sums(self, kernel, attempts))
+    assert mixed.bootstrap(df, "y ~ t + g + (1 | subj)", 20).count() == 60
+    assert len(passes) == 2  # the whole sample, and the replicates
