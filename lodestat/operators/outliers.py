@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.stats import finite, ratio
+from ..functions.stats import finite, held, medians, ratio
 from . import linalg
 from .resample import hash_int
 
@@ -126,16 +126,15 @@ def huber_location(df: DataFrame, by: Sequence[str], value: str, k: float = 1.5,
     """(by..., location, scale): Huber's M-estimate after a fixed number of rounds from the median; scale 1.49 * MAD."""
     alpha = 2 * float(dist.normal_cdf(np.array([k]))[0]) - 1
     rows = df.select(*by, finite(value).alias("v")).dropna(subset=["v"])
-    mid = rows.groupBy(*by).agg(F.median("v").alias("m"))
-    rows = rows.join(mid, list(by))
-    scale = rows.groupBy(*by).agg((1.49 * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
-    rows = rows.drop("m").join(scale, list(by))
-    at = mid
-    for _ in range(rounds):
+    keys = list(by)
+    at = held(medians(rows, keys, "v").withColumnRenamed("median", "m"))
+    spread = medians(rows.join(at, keys).select(*keys, F.abs(F.col("v") - F.col("m")).alias("d")), keys, "d")
+    at = held(at.join(spread.select(*keys, (1.49 * F.col("median")).alias("s")), keys))
+    for _ in range(rounds):  # a pass each, against a row a group
         z = ratio(F.col("v") - F.col("m"), F.col("s"))
-        step = rows.join(at, list(by)).groupBy(*by).agg(F.max("m").alias("m0"), F.max("s").alias("s0"), F.sum(F.least(F.greatest(z, F.lit(-k)), F.lit(k))).alias("sz"), F.count("*").alias("n"))
-        at = step.select(*by, (F.col("m0") + F.coalesce(F.col("s0") * F.col("sz") / (F.col("n") * alpha), F.lit(0.0))).alias("m"))
-    return at.join(scale, list(by)).select(*by, F.col("m").alias("location"), F.col("s").alias("scale"))
+        step = rows.join(at, keys).groupBy(*keys).agg(F.max("m").alias("m0"), F.max("s").alias("s"), F.sum(F.least(F.greatest(z, F.lit(-k)), F.lit(k))).alias("sz"), F.count("*").alias("n"))
+        at = held(step.select(*keys, (F.col("m0") + F.coalesce(F.col("s") * F.col("sz") / (F.col("n") * alpha), F.lit(0.0))).alias("m"), "s"))
+    return at.select(*keys, F.col("m").alias("location"), F.col("s").alias("scale"))
 
 
 def pca_outliers(df: DataFrame, id_col: str, array: str, kmax: int) -> DataFrame:
