@@ -5,12 +5,13 @@ Cell-wise models are window functions.  Models of whole matrices run as one grou
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, with_totals
@@ -220,64 +221,83 @@ def impute_by_rows(x: np.ndarray, fit: Callable[[np.ndarray, np.ndarray], Callab
     return out
 
 
-def _ridge_sums(n: int, mean: np.ndarray, cross: np.ndarray, xs: np.ndarray, ys: np.ndarray, lam: float = 1.0) -> np.ndarray:
-    """(1 + xs) x ys coefficients of ``_ridge`` from a class's number, means and centred cross-products."""
-    m = np.concatenate([[1.0], mean])
-    a = n * np.outer(m, m)
-    a[1:, 1:] += cross
-    at = np.concatenate([[0], xs + 1])
-    return np.linalg.solve(a[np.ix_(at, at)] + lam * np.eye(len(at)), a[np.ix_(at, ys + 1)])
+Fits = Callable[[np.ndarray], np.ndarray]
 
 
-def _pls_sums(n: int, mean: np.ndarray, cross: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = 2) -> np.ndarray:
-    """(1 + xs) x ys coefficients of ``pls_fit``; a column whose spread is rounding has none."""
+def _ridge_class(n: int, mean: np.ndarray, cross: np.ndarray, own: np.ndarray, lam: float = 1.0) -> Fits:
+    """Fits of ``_ridge`` to a class of rows, from its number, means and centred cross-products; ``own`` marks the columns it has.
+
+    The fits take the predicted columns (models x holes) and give (models, holes, 1 + columns) coefficients on all the other own columns. With the
+    intercept taken out, one inverse over the own columns has them all: - inverse(y, y)^-1 inverse(y, x).
+    """
+    at = np.flatnonzero(own)
+    inverse = np.zeros_like(cross)
+    inverse[np.ix_(at, at)] = np.linalg.inv(cross[np.ix_(at, at)] + n * lam / (n + lam) * np.outer(mean[at], mean[at]) + lam * np.eye(len(at)))
+
+    def fits(ys: np.ndarray) -> np.ndarray:
+        coef = -np.linalg.solve(inverse[ys[:, :, None], ys[:, None, :]], inverse[ys])
+        np.put_along_axis(coef, np.broadcast_to(ys[:, None, :], (*ys.shape, ys.shape[1])), 0.0, axis=2)
+        return np.concatenate([(n / (n + lam) * (mean[ys] - coef @ mean))[:, :, None], coef], axis=2)
+
+    return fits
+
+
+def _pls_class(n: int, mean: np.ndarray, cross: np.ndarray, own: np.ndarray, k: int = 2) -> Fits:
+    """Fits of ``pls_fit`` as ``_ridge_class`` has them; a column whose spread is rounding has none."""
     sd = np.sqrt(np.maximum(np.diagonal(cross), 0.0) / (n - 1))
     sd = np.where(sd > 1e-9 * np.maximum(np.abs(mean), 1e-300), sd, 0.0)
     scale = np.where(sd > 0, sd, 1.0)
     z = np.where(np.outer(sd, sd) > 0, cross / np.outer(scale, scale), 0.0)
-    aa, ab = z[np.ix_(xs, xs)].copy(), z[np.ix_(xs, ys)].copy()
-    w, p, q = [], [], []
-    for _ in range(min(k, len(xs), n - 1)):
-        u, s, _ = np.linalg.svd(ab, full_matrices=False)
-        if s[0] < 1e-10 * n:
-            break
-        u = u[:, 0]
-        tt = u @ aa @ u
-        load, out = aa @ u / tt, ab.T @ u / tt
-        aa, ab = aa - tt * np.outer(load, load), ab - tt * np.outer(load, out)
-        w.append(u)
-        p.append(load)
-        q.append(out)
-    coef = np.zeros((len(xs), len(ys)))
-    if w:
-        w_, p_, q_ = np.array(w).T, np.array(p).T, np.array(q)
-        coef = (w_ @ np.linalg.solve(p_.T @ w_, q_)) / scale[xs][:, None] * scale[ys]
-    return np.vstack([mean[ys] - mean[xs] @ coef, coef])
+
+    def fits(ys: np.ndarray) -> np.ndarray:
+        xs = np.repeat(own[None].astype(float), len(ys), axis=0)
+        np.put_along_axis(xs, ys, 0.0, axis=1)
+        ab, live, past = z[ys] * xs[:, None, :], np.ones(len(ys), dtype=bool), []
+        coef, width = np.zeros_like(ab), xs.sum(axis=1)
+        for step in range(min(k, n - 1)):
+            value, vector = np.linalg.eigh(ab @ ab.transpose(0, 2, 1))
+            top = np.sqrt(np.maximum(value[:, -1], 0.0))
+            live &= (step < width) & (top >= 1e-10 * n)
+            if not live.any():
+                break
+            u = np.einsum("bh,bhd->bd", vector[:, :, -1], ab) * (live / np.where(live, top, 1.0))[:, None]
+            au, turned = (u @ z) * xs, u
+            for load, tt, r in past:
+                on = np.einsum("bd,bd->b", load, u)[:, None]
+                au, turned = au - tt * on * load, turned - on * r
+            tt = np.einsum("bd,bd->b", u, au)[:, None]
+            tt = np.where(tt > 0, tt, 1.0)
+            load, out = au / tt, np.einsum("bhd,bd->bh", ab, u) / tt
+            ab = ab - (tt * out)[:, :, None] * load[:, None, :]
+            coef += out[:, :, None] * turned[:, None, :]
+            past.append((load, tt, turned))
+        coef *= scale[ys][:, :, None] / scale
+        return np.concatenate([(mean[ys] - coef @ mean)[:, :, None], coef], axis=2)
+
+    return fits
 
 
-#: Models of ``impute_rows`` by name: from sums of a class of rows to coefficients.
-ROW_MODELS = {"mlr": _ridge_sums, "pls": _pls_sums}
+#: Models of ``impute_rows`` by name: from sums of a class of rows to its fits.
+ROW_MODELS: dict[str, Callable[..., Fits]] = {"mlr": _ridge_class, "pls": _pls_class}
+#: Patterns to fill and classes to fit of a task's block at most, bytes of either, rows of a class summed in one place, and numbers of a batch of fits.
+TARGETS, CLASSES, BLOCK_BYTES, CLASS_ROWS, BATCH = 4096, 512, 1 << 25, 50_000, 1 << 16
 
 
 def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method: str, least: int = 3) -> DataFrame:
     """(by, row, col, filled): ``impute_by_rows`` of each matrix, by classes of rows with the same present cells.
 
     Rows that have another's missing cells and share a subset of its present ones are the rows of one pattern of present cells, so all models follow
-    from each pattern's cross-products. Rows of a pattern share their coefficients; work grows with the pairs of patterns, not of rows. The columns are
-    those of the whole table; the driver holds them and the patterns, a bit string each.
+    from each pattern's cross-products. Rows of a pattern share their coefficients; work grows with the pairs of patterns to fill and patterns of
+    ``least`` rows, which are dealt as a grid of blocks of both. The columns are those of the whole table; the driver holds their names alone.
     """
     rows = df.select(F.col(by).alias("g"), F.col(row).alias("r"), F.col(col).alias("c"), finite(value).alias("v"))
     names = sorted(x[0] for x in rows.select("c").distinct().collect())
-    d, fit = len(names), ROW_MODELS[method]
+    d, model = len(names), ROW_MODELS[method]
     cell = {c: F.max(F.when(F.col("c") == F.lit(c), F.col("v"))) for c in names}
     wide = rows.groupBy("g", "r").agg(F.array(*[F.coalesce(v, F.lit(float("nan"))) for v in cell.values()]).alias("x"))
     wide = wide.withColumn("p", F.concat(*[F.when(F.isnan(F.col("x")[j]), "0").otherwise("1") for j in range(d)])).persist()
     kind = {c: rows.schema[c].dataType.simpleString() for c in "grc"}
-    numbered = {(x[0], x[1]): k for k, x in enumerate(wide.select("g", "p").distinct().collect())}
-    of_group: dict[object, tuple[np.ndarray, np.ndarray]] = {}
-    for group in {g for g, _ in numbered}:
-        own = [(k, p) for (g, p), k in numbered.items() if g == group]
-        of_group[group] = np.array([k for k, _ in own]), np.array([[ch == "1" for ch in p] for _, p in own])
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -294,29 +314,57 @@ def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method:
             mean, n = mean + gap * k / (n + k), n + k
         return pdf.iloc[:1].assign(n=n, m=[mean.tobytes()], s=[cross.tobytes()])
 
-    def models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, list] = {}
-        for pdf in batches:
-            for g, p, n, m, s in zip(pdf["g"], pdf["p"], pdf["n"], pdf["m"], pdf["s"], strict=True):
-                numbers, seen = of_group[g]
-                own, mean, cross = np.array([ch == "1" for ch in p]), np.frombuffer(m), np.frombuffer(s).reshape(d, d)
-                for i in np.flatnonzero(~seen.all(axis=1) & (seen | own).all(axis=1) & (seen & own).any(axis=1)) if n >= least else []:
-                    xs, ys = np.flatnonzero(seen[i] & own), np.flatnonzero(~seen[i])
-                    held = total.setdefault(int(numbers[i]), [0, np.zeros((d + 1, len(ys)))])
-                    held[0] += n - 1
-                    held[1][np.concatenate([[0], xs + 1])] += (n - 1) * fit(n, mean, cross, xs, ys)
-        yield pd.DataFrame({"k": list(total), "w": [w for w, _ in total.values()], "b": [b.tobytes() for _, b in total.values()]})
+    def fitted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Sums of the coefficients of a block of patterns, which have as many holes each, over a block of classes, weighted by their rows less 1."""
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ["g", "h", "tb", "cb", "p", "w", "b"]})
+        left, right = left.sort_values("p"), right.sort_values("p")
+        has, own = (np.array([[ch == "1" for ch in p] for p in side["p"]]) for side in (left, right))
+        h = int(left["h"].iloc[0])
+        ys = np.nonzero(~has)[1].reshape(-1, h)
+        fits = (~has).astype(np.float32) @ (~own).T.astype(np.float32) == 0  # the class has all the holes
+        total, weight, size = np.zeros((len(left), h, d + 1)), np.zeros(len(left)), max(1, BATCH // (h * d))
+        for k, (n, m, s) in enumerate(zip(right["n"], right["m"], right["s"], strict=True)):
+            at = np.flatnonzero(fits[:, k]) if own[k].sum() > h else []
+            if len(at):
+                fit = model(n, np.frombuffer(m), np.frombuffer(s).reshape(d, d), own[k])
+                weight[at] += n - 1
+                for some in (at[lo : lo + size] for lo in range(0, len(at), size)):
+                    total[some] += (n - 1) * fit(ys[some])
+        out = left[["g", "h", "tb", "cb", "p"]].assign(w=weight, b=[b.tobytes() for b in total])
+        return out[weight > 0]
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "b": [(np.sum([np.frombuffer(b) for b in pdf["b"]], axis=0) / pdf["w"].sum()).tobytes()]})
-
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    classes = wide.select("g", "p", "x").mapInPandas(sums, f"g {kind['g']}, p string, n bigint, m binary, s binary")
-    whole = classes.groupBy("g", "p").applyInPandas(merged, f"g {kind['g']}, p string, n bigint, m binary, s binary").repartition(tasks, "g", "p")
-    found = whole.mapInPandas(models, "k int, w bigint, b binary").groupBy("k").applyInPandas(added, "k int, b binary")
-    patterns = df.sparkSession.createDataFrame([(g, p, k) for (g, p), k in numbered.items()], f"_g {kind['g']}, _p string, k int")
-    models_of = found.join(patterns, "k").select("_g", "_p", "b")
-    joined = wide.join(models_of, F.col("g").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_p")), "left").select("g", "r", "x", "b")
+        pdf = pdf.sort_values(["p", "cb"])
+        first = np.flatnonzero((pdf["p"] != pdf["p"].shift()).to_numpy())
+        b, w = (np.add.reduceat(v, first, axis=0) for v in (np.array([np.frombuffer(b) for b in pdf["b"]]), pdf["w"].to_numpy(float)))
+        return pdf.iloc[first][["g", "p"]].assign(b=[v.tobytes() for v in b / w[:, None]])
+
+    def same(*columns: str) -> Column:
+        return functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+
+    counts = wide.groupBy("g", "p").agg(F.count("*").alias("n"), (d - F.length(F.regexp_replace("p", "0", ""))).alias("h")).persist()
+    large = counts.filter(F.col("n") >= least)
+    open_ = counts.filter((F.col("h") > 0) & (F.col("h") < d))
+    # Blocks of patterns by their number of holes, and of classes; a row for each group and number of holes.
+    most = F.greatest(F.least(F.lit(TARGETS), F.floor(F.lit(BLOCK_BYTES) / (8 * (d + 1) * F.col("h")))), F.lit(1))
+    grid = open_.groupBy("g", "h").agg(F.count("*").alias("t")).select("g", "h", F.ceil(F.col("t") / most).cast("int").alias("tbs"))
+    split = large.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / max(1, min(CLASSES, BLOCK_BYTES // (8 * d * d)))).cast("int").alias("cbs"))
+    grid = grid.join(split, same("g")).select(F.col("g").alias("_g"), F.col("h").alias("_h"), "tbs", "cbs")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("p"), F.col(n)).cast("int")
+
+    known = large.select(F.col("g").alias("_g"), F.col("p").alias("_p"), "n")
+    deal = F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / CLASS_ROWS))
+    trained = wide.join(known, same("g", "p")).repartition(tasks, "g", "p", deal).sortWithinPartitions("g", "p", "r").select("g", "p", "x")
+    moments = f"g {kind['g']}, p string, n bigint, m binary, s binary"
+    classes = trained.mapInPandas(sums, moments).groupBy("g", "p").applyInPandas(merged, moments)
+    classes = classes.join(grid, same("g")).select("g", F.col("_h").alias("h"), every("tbs").alias("tb"), place("cbs").alias("cb"), "p", "n", "m", "s")
+    targets = open_.join(grid, same("g", "h")).select("g", "h", place("tbs").alias("tb"), every("cbs").alias("cb"), "p")
+    keys, sort = ["g", "h", "tb", "cb"], f"g {kind['g']}, p string, b binary"
+    parts = targets.groupBy(*keys).cogroup(classes.groupBy(*keys)).applyInPandas(fitted, f"g {kind['g']}, h int, tb int, cb int, p string, w double, b binary")
+    found = parts.groupBy("g", "h", "tb", F.pmod(F.xxhash64("p"), F.lit(61))).applyInPandas(added, sort).withColumnsRenamed({"g": "_g", "p": "_p"})
+    joined = wide.join(found, same("g", "p"), "left").select("g", "r", "x", "b")
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -324,7 +372,7 @@ def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method:
             for i, b in enumerate(pdf["b"]):
                 if b is not None:
                     holes = np.isnan(x[i])
-                    x[i, holes] = np.append(1.0, np.nan_to_num(x[i])) @ np.frombuffer(b).reshape(d + 1, -1)
+                    x[i, holes] = np.frombuffer(b).reshape(-1, d + 1) @ np.append(1.0, np.nan_to_num(x[i]))
             yield pdf[["g", "r"]].assign(x=list(x))
 
     out = joined.mapInPandas(filled, f"g {kind['g']}, r {kind['r']}, x array<double>")
