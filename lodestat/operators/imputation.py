@@ -227,19 +227,14 @@ Fits = Callable[[np.ndarray], np.ndarray]
 def _ridge_class(n: int, mean: np.ndarray, cross: np.ndarray, own: np.ndarray, lam: float = 1.0) -> Fits:
     """Fits of ``_ridge`` to a class of rows, from its number, means and centred cross-products; ``own`` marks the columns it has.
 
-    The fits take the predicted columns (models x holes) and give (models, holes, 1 + columns) coefficients on all the other own columns. With the
-    intercept taken out, one inverse over the own columns has them all: - inverse(y, y)^-1 inverse(y, x).
+    The fits take the predicted columns (models x holes) and give (models, holes, 1 + columns) coefficients on the other own columns; those of predicted
+    columns are for cells that are missing. With the intercept taken out, one inverse over the own columns has all fits: - inverse(y, y)^-1 inverse(y, x).
     """
     at = np.flatnonzero(own)
     inverse = np.zeros_like(cross)
     inverse[np.ix_(at, at)] = np.linalg.inv(cross[np.ix_(at, at)] + n * lam / (n + lam) * np.outer(mean[at], mean[at]) + lam * np.eye(len(at)))
-
-    def fits(ys: np.ndarray) -> np.ndarray:
-        coef = -np.linalg.solve(inverse[ys[:, :, None], ys[:, None, :]], inverse[ys])
-        np.put_along_axis(coef, np.broadcast_to(ys[:, None, :], (*ys.shape, ys.shape[1])), 0.0, axis=2)
-        return np.concatenate([(n / (n + lam) * (mean[ys] - coef @ mean))[:, :, None], coef], axis=2)
-
-    return fits
+    lines = np.column_stack([n / (n + lam) * (inverse @ mean), -inverse])
+    return lambda ys: np.linalg.inv(inverse[ys[:, :, None], ys[:, None, :]]) @ lines[ys]
 
 
 def _pls_class(n: int, mean: np.ndarray, cross: np.ndarray, own: np.ndarray, k: int = 2) -> Fits:
@@ -248,31 +243,38 @@ def _pls_class(n: int, mean: np.ndarray, cross: np.ndarray, own: np.ndarray, k:
     sd = np.where(sd > 1e-9 * np.maximum(np.abs(mean), 1e-300), sd, 0.0)
     scale = np.where(sd > 0, sd, 1.0)
     z = np.where(np.outer(sd, sd) > 0, cross / np.outer(scale, scale), 0.0)
+    turn = np.column_stack([-mean / scale, np.diag(1 / scale)])  # from weights of standard scores to 1 + columns
 
     def fits(ys: np.ndarray) -> np.ndarray:
         xs = np.repeat(own[None].astype(float), len(ys), axis=0)
         np.put_along_axis(xs, ys, 0.0, axis=1)
-        ab, live, past = z[ys] * xs[:, None, :], np.ones(len(ys), dtype=bool), []
-        coef, width = np.zeros_like(ab), xs.sum(axis=1)
+        ab, live, width, past = z[ys], np.ones(len(ys), dtype=bool), xs.sum(axis=1), []
+        ab *= xs[:, None, :]
         for step in range(min(k, n - 1)):
+            if step:
+                ab -= (tt * out)[:, :, None] * load[:, None, :]
             value, vector = np.linalg.eigh(ab @ ab.transpose(0, 2, 1))
             top = np.sqrt(np.maximum(value[:, -1], 0.0))
             live &= (step < width) & (top >= 1e-10 * n)
             if not live.any():
                 break
-            u = np.einsum("bh,bhd->bd", vector[:, :, -1], ab) * (live / np.where(live, top, 1.0))[:, None]
-            au, turned = (u @ z) * xs, u
-            for load, tt, r in past:
+            u = (vector[:, None, :, -1] @ ab)[:, 0] * (live / np.where(live, top, 1.0))[:, None]
+            along, turned = u @ z, u
+            au, out = along * xs, np.take_along_axis(along, ys, axis=1)
+            for load, tt, before, r in past:
                 on = np.einsum("bd,bd->b", load, u)[:, None]
-                au, turned = au - tt * on * load, turned - on * r
+                au -= tt * on * load
+                out -= tt * on * before
+                turned = turned - on * r
             tt = np.einsum("bd,bd->b", u, au)[:, None]
             tt = np.where(tt > 0, tt, 1.0)
-            load, out = au / tt, np.einsum("bhd,bd->bh", ab, u) / tt
-            ab = ab - (tt * out)[:, :, None] * load[:, None, :]
-            coef += out[:, :, None] * turned[:, None, :]
-            past.append((load, tt, turned))
-        coef *= scale[ys][:, :, None] / scale
-        return np.concatenate([(mean[ys] - coef @ mean)[:, :, None], coef], axis=2)
+            load, out = au / tt, out / tt
+            past.append((load, tt, out, turned))
+        coef = np.zeros((*ys.shape, 1 + len(mean)))
+        if past:
+            coef += np.stack([out * scale[ys] for *_, out, _ in past], axis=2) @ np.stack([r @ turn for *_, r in past], axis=1)
+        coef[:, :, 0] += mean[ys]
+        return coef
 
     return fits
 
@@ -300,37 +302,44 @@ def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method:
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Moments of each run of rows of a class: a row for it and for each batch that it goes on in."""
         for pdf in batches:
-            for (g, p), part in pdf.groupby(["g", "p"], sort=False, dropna=False):
-                x = np.nan_to_num(np.array(part["x"].tolist(), dtype=float))
-                mean = x.mean(axis=0)
-                yield pd.DataFrame({"g": [g], "p": [p], "n": [len(x)], "m": [mean.tobytes()], "s": [((x - mean).T @ (x - mean)).tobytes()]})
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, code = np.nan_to_num(np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), d)), pdf.groupby(["g", "p"], sort=False, dropna=False).ngroup().to_numpy()
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            parts = [x[lo:hi] for lo, hi in zip(first, [*first[1:], len(x)], strict=True)]
+            means = [part.mean(axis=0) for part in parts]
+            cross = [((part - m).T @ (part - m)).tobytes() for part, m in zip(parts, means, strict=True)]
+            yield pdf.iloc[first][["g", "p"]].assign(n=[len(part) for part in parts], m=[m.tobytes() for m in means], s=cross)
+
+    def merged(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         n, mean, cross = 0, np.zeros(d), np.zeros((d, d))
         for k, m, s in zip(pdf["n"], pdf["m"], pdf["s"], strict=True):
             gap = np.frombuffer(m) - mean
             cross = cross + np.frombuffer(s).reshape(d, d) + np.outer(gap, gap) * n * k / (n + k)
             mean, n = mean + gap * k / (n + k), n + k
-        return pdf.iloc[:1].assign(n=n, m=[mean.tobytes()], s=[cross.tobytes()])
+        return n, mean, cross
 
     def fitted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Sums of the coefficients of a block of patterns, which have as many holes each, over a block of classes, weighted by their rows less 1."""
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in ["g", "h", "tb", "cb", "p", "w", "b"]})
-        left, right = left.sort_values("p"), right.sort_values("p")
-        has, own = (np.array([[ch == "1" for ch in p] for p in side["p"]]) for side in (left, right))
+        left, right = left.sort_values("p"), right.sort_values(["p", "n", "m"])
+        first = np.flatnonzero((right["p"] != right["p"].shift()).to_numpy())
+        has, own = (np.array([[ch == "1" for ch in p] for p in side]) for side in (left["p"], right["p"].iloc[first]))
         h = int(left["h"].iloc[0])
         ys = np.nonzero(~has)[1].reshape(-1, h)
         fits = (~has).astype(np.float32) @ (~own).T.astype(np.float32) == 0  # the class has all the holes
         total, weight, size = np.zeros((len(left), h, d + 1)), np.zeros(len(left)), max(1, BATCH // (h * d))
-        for k, (n, m, s) in enumerate(zip(right["n"], right["m"], right["s"], strict=True)):
+        for k, (lo, hi) in enumerate(zip(first, [*first[1:], len(right)], strict=True)):
             at = np.flatnonzero(fits[:, k]) if own[k].sum() > h else []
             if len(at):
-                fit = model(n, np.frombuffer(m), np.frombuffer(s).reshape(d, d), own[k])
+                n, mean, cross = merged(right.iloc[lo:hi])
+                fit = model(n, mean, cross, own[k])
                 weight[at] += n - 1
                 for some in (at[lo : lo + size] for lo in range(0, len(at), size)):
-                    total[some] += (n - 1) * fit(ys[some])
+                    coef = fit(ys[some])
+                    coef *= n - 1
+                    total[some] += coef
         out = left[["g", "h", "tb", "cb", "p"]].assign(w=weight, b=[b.tobytes() for b in total])
         return out[weight > 0]
 
@@ -351,19 +360,23 @@ def impute_rows(df: DataFrame, by: str, row: str, col: str, value: str, method:
     grid = open_.groupBy("g", "h").agg(F.count("*").alias("t")).select("g", "h", F.ceil(F.col("t") / most).cast("int").alias("tbs"))
     split = large.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / max(1, min(CLASSES, BLOCK_BYTES // (8 * d * d)))).cast("int").alias("cbs"))
     grid = grid.join(split, same("g")).select(F.col("g").alias("_g"), F.col("h").alias("_h"), "tbs", "cbs")
+    blocks = grid.groupBy("_g").agg(F.max("cbs").alias("cbs"), F.sort_array(F.collect_list(F.struct(F.col("_h").alias("h"), "tbs"))).alias("blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("p"), F.col(n)).cast("int")
 
-    known = large.select(F.col("g").alias("_g"), F.col("p").alias("_p"), "n")
-    deal = F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / CLASS_ROWS))
+    known = large.join(blocks, same("g")).select(F.col("g").alias("_g"), F.col("p").alias("_p"), F.col("n").alias("rows"), place("cbs").alias("cb"), "blocks")
+    deal = F.pmod(F.xxhash64("r"), F.ceil(F.col("rows") / CLASS_ROWS))
     trained = wide.join(known, same("g", "p")).repartition(tasks, "g", "p", deal).sortWithinPartitions("g", "p", "r").select("g", "p", "x")
     moments = f"g {kind['g']}, p string, n bigint, m binary, s binary"
-    classes = trained.mapInPandas(sums, moments).groupBy("g", "p").applyInPandas(merged, moments)
-    classes = classes.join(grid, same("g")).select("g", F.col("_h").alias("h"), every("tbs").alias("tb"), place("cbs").alias("cb"), "p", "n", "m", "s")
+    classes = trained.mapInPandas(sums, moments)
+    classes = classes.join(known, same("g", "p")).select("g", F.explode("blocks").alias("z"), "cb", "p", "n", "m", "s")
+    classes = classes.select("g", "z.h", every("z.tbs").alias("tb"), "cb", "p", "n", "m", "s")
     targets = open_.join(grid, same("g", "h")).select("g", "h", place("tbs").alias("tb"), every("cbs").alias("cb"), "p")
     keys, sort = ["g", "h", "tb", "cb"], f"g {kind['g']}, p string, b binary"
+    # With a given number of tasks blocks are not put together because their rows are few.
+    targets, classes = (side.repartition(4 * tasks, *keys) for side in (targets, classes))
     parts = targets.groupBy(*keys).cogroup(classes.groupBy(*keys)).applyInPandas(fitted, f"g {kind['g']}, h int, tb int, cb int, p string, w double, b binary")
-    found = parts.groupBy("g", "h", "tb", F.pmod(F.xxhash64("p"), F.lit(61))).applyInPandas(added, sort).withColumnsRenamed({"g": "_g", "p": "_p"})
+    found = parts.groupBy("g", "h", "tb", F.pmod(F.hash("p"), F.lit(8))).applyInPandas(added, sort).withColumnsRenamed({"g": "_g", "p": "_p"})
     joined = wide.join(found, same("g", "p"), "left").select("g", "r", "x", "b")
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
